@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,10 +25,18 @@ def local_session(app: str = "scoretables", cores: str | None = None) -> SparkSe
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in spark.checkpoint.dir; one of our own only where none is set."""
+    return (
+        spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or os.path.join(tempfile.gettempdir(), "scoretables-checkpoint")
+    )
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a local one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or "/tmp/scoretables-checkpoint")
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and go on from there: lost executors replay nothing before it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
