@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.votes import region_offset
 
@@ -15,3 +19,96 @@ def expected_pages(pages: DataFrame, book: str, index: str, printed: str, titles
     want = F.col(index) - F.col("offset")
     rows = pages.join(off, book, "left")
     return rows.withColumn("page", F.when(F.array_contains(candidates, want), want).otherwise(F.col(printed)))
+
+
+def longest_non_decreasing(values: list[int]) -> set[int]:
+    """Places of one longest non-decreasing subsequence."""
+    tails: list[int] = []  # values ending a subsequence of each length
+    ends: list[int] = []
+    back = []
+    for i, v in enumerate(values):
+        at = bisect_right(tails, v)
+        tails[at:at + 1] = [v]
+        ends[at:at + 1] = [i]
+        back.append(ends[at - 1] if at else -1)
+    keep, i = set(), ends[-1] if ends else -1
+    while i >= 0:
+        keep.add(i)
+        i = back[i]
+    return keep
+
+
+def monotone_keep(toc: DataFrame, book: str, number: str, page: str) -> DataFrame:
+    """Contents entries with `keep`: false for those whose page breaks the rising order.
+
+    One row per book and song number, so a group is as long as the book's list of songs, whatever the votes were.
+    """
+    fields = [toc.schema[c] for c in (book, number, page)] + [T.StructField("keep", T.BooleanType())]
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(number, ignore_index=True)
+        kept = longest_non_decreasing(pdf[page].tolist())
+        return pdf.assign(keep=[i in kept for i in range(len(pdf))])
+
+    return toc.select(book, number, page).groupBy(book).applyInPandas(mark, T.StructType(fields))
+
+
+def number_titles(titles: DataFrame, offsets: DataFrame, toc: DataFrame, book: str) -> DataFrame:
+    """(book, page, k, number, how): the song number of every title of a book, in reading order.
+
+    `titles`: page, k, read (number read or NULL), one row per title; `offsets`: offset; `toc`: number, at (page).
+    A number read stands if the contents list it on this page, or if it goes on from the last one by at most six
+    and its listed page is within one.  Else the list decides by place, then its next free number, else the last
+    number plus one.  `how` is `read`, `listed` or `next`.
+    """
+    ids = titles.select(book).schema[book]
+    out = T.StructType([ids, T.StructField("page", T.LongType()), T.StructField("k", T.LongType()), T.StructField("number", T.LongType()), T.StructField("how", T.StringType())])
+    t = titles.join(offsets, book, "left").select(book, F.lit(0).alias("kind"), F.col("page").cast("bigint").alias("page"), F.col("k").cast("bigint").alias("k"), F.col("read").cast("bigint").alias("read"), F.col("offset").cast("bigint").alias("offset"))
+    c = toc.select(book, F.lit(1).alias("kind"), F.col("at").cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("k"), F.col("number").cast("bigint").alias("read"), F.lit(None).cast("bigint").alias("offset"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        listed = pdf[pdf.kind == 1].sort_values("read")
+        at = dict(zip(listed.read, listed.page))
+        by_page: dict = {}
+        for n, p in at.items():
+            by_page.setdefault(p, []).append(n)
+        rows, prev = [], 0
+        for page, group in pdf[pdf.kind == 0].sort_values(["page", "k"]).groupby("page", sort=True):
+            off = group.offset.iloc[0]
+            printed = None if pd.isna(off) else page - off
+            expect = list(by_page.get(printed, []))
+            left = list(expect)
+            for j, (k, read) in enumerate(zip(group.k, group.read)):
+                r = None if pd.isna(read) else int(read)
+                near = r is not None and prev < r <= prev + 6 and (r not in at or printed is None or abs(at[r] - printed) <= 1)
+                free = [x for x in left if x > prev]
+                if r is not None and (r in left or near):
+                    n, how = r, "read"
+                elif len(expect) == len(group) and expect[j] > prev:
+                    n, how = expect[j], "listed"
+                elif free:
+                    n, how = free[0], "listed"
+                else:
+                    n, how = prev + 1, "next"
+                if n in left:
+                    left.remove(n)
+                rows.append((pdf[book].iloc[0], page, k, int(n), how))
+                prev = int(n)
+        return pd.DataFrame(rows, columns=[book, "page", "k", "number", "how"])
+
+    return t.unionByName(c).groupBy(book).applyInPandas(fold, out)
+
+
+def order_align(syllables: Column, notes: Column) -> Column:
+    """Place of the note each syllable of a line goes to: the nearest free one, in order, leaving room for the rest."""
+    n, m = F.size(notes), F.size(syllables)
+    start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("out"))
+
+    def put(s, x):
+        room = F.greatest(s["next"] + 1, n - (m - s["k"] - 1))
+        gaps = F.transform(F.slice(notes, s["next"] + 1, F.greatest(F.lit(0), room - s["next"])), lambda v: F.abs(v - x))
+        j = F.when(s["next"] >= n, n - 1).otherwise(s["next"] + F.array_position(gaps, F.array_min(gaps)).cast("int") - 1)
+        nxt = F.when(s["next"] >= n, s["next"]).otherwise(j + 1)
+        return F.struct(nxt.alias("next"), (s["k"] + 1).alias("k"), F.array_append(s["out"], j).alias("out"))
+
+    return F.when(n > 0, F.aggregate(syllables, start, put, lambda s: s["out"])).otherwise(F.array().cast("array<int>"))
