@@ -31,7 +31,7 @@ def _(t):
     return g.select("book", "kept", "entries", (F.array_sort(pages) == pages).alias("rising"))
 
 
-TITLES = """tt AS (SELECT book, page, k, arg_min(rd, o_orderkey) AS rd FROM (SELECT o_custkey % 300 AS book, o_orderkey % 25 AS page, o_orderkey // 25 % 2 AS k, o_orderkey,
+TITLES = """tt AS (SELECT book, page, k, (arg_min({'r': rd}, o_orderkey)).r AS rd FROM (SELECT o_custkey % 300 AS book, o_orderkey % 25 AS page, o_orderkey // 25 % 2 AS k, o_orderkey,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderkey % 25 * 2 + o_orderkey // 25 % 2 + o_custkey % 3 ELSE NULL END AS rd FROM orders) GROUP BY ALL)"""
 
 

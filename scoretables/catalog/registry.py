@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import load_table
+from ..sources.tables import load_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,11 @@ class Tables:
             raise AttributeError(name)
         return load_table(self.spark, self.folder, name)
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents, spread for work on their texts."""
+        return spread(self.documents, "doc_id")
+
 
 def query(name: str, sql: str | None = None):
     """Enter a function of `Tables` as a query; `sql` gives the same result in DuckDB."""

@@ -94,7 +94,7 @@ def _(t):
 @query("S7_incremental_apply", """WITH d AS (SELECT DISTINCT text FROM documents), c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 2 = 0)
 SELECT md5(d.text) AS digest, length(d.text)::BIGINT AS size, c.text IS NOT NULL AS cached FROM d LEFT JOIN c USING (text)""")
 def _(t):
-    docs = t.documents.select(S.content_key("v1", F.col("text")).alias("key"), "text", "doc_id")
+    docs = t.texts.select(S.content_key("v1", F.col("text")).alias("key"), "text", "doc_id")
 
     def work(df, cached=False):
         return df.select("key", F.md5("text").alias("digest"), F.length("text").cast(L).alias("size"), F.lit(cached).alias("cached"))

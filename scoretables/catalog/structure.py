@@ -91,7 +91,7 @@ def _(t):
 
 @query("X15_script_direction", f"SELECT source, bool_or(translate(text, '{ACCENTED}', '{FOLDED}') <> text) AS fold FROM documents GROUP BY ALL")
 def _(t):
-    return PT.script_direction(t.documents, ["source"], "text", ACCENTED, FOLDED)
+    return PT.script_direction(t.texts, ["source"], "text", ACCENTED, FOLDED)
 
 
 @query("X17_split_staves", f"""{EV}, e AS (SELECT user_id, event_id, k % 3 + 1 AS staff FROM ev) SELECT event_id, staff - 1 AS staff_part, CASE WHEN staff > 1 THEN 0 END::BIGINT AS staff_of, staff AS back FROM e""")

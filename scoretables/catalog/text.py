@@ -18,7 +18,7 @@ BARE = "regexp_replace(line, '[\"'')\\]]+$', '')"
 
 
 def doc_lines(t):
-    return X.lines(t.documents, "text", "doc_id", "source", "lang")
+    return X.lines(t.texts, "text", "doc_id", "source", "lang")
 
 
 @query("T1_punct_score", f"""WITH {LINES} SELECT source, (CASE WHEN regexp_matches({BARE}, '[.!?;]$') THEN 6
@@ -38,7 +38,7 @@ def _(t):
 SELECT ch, CASE WHEN ch IN ('(','[','{') THEN 'open' WHEN ch IN (')',']','}') THEN 'close' WHEN ch IN ('.',',',';',':','!','?') THEN 'stop'
   WHEN ch IN ('-','_','''') THEN 'middle' ELSE 'none' END AS kind, count(*) AS n FROM ch WHERE ch <> '' GROUP BY ALL""")
 def _(t):
-    ch = t.documents.select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''")
+    ch = t.texts.select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''")
     n = ch.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
     return n.select("ch", X.punct_class("ch", OPENS, CLOSES, STOPS, MIDDLES).alias("kind"), "n")
 
@@ -48,7 +48,7 @@ def _(t):
 SELECT doc_id, han::BIGINT AS han, latin::BIGINT AS latin,
   CASE WHEN han = 0 AND latin = 0 THEN 'Other' WHEN han*2 >= latin THEN 'Han' ELSE 'Latin' END AS script FROM k""")
 def _(t):
-    return t.documents.select("doc_id", X.han_count("text").cast(L).alias("han"), X.latin_count("text").cast(L).alias("latin"),
+    return t.texts.select("doc_id", X.han_count("text").cast(L).alias("han"), X.latin_count("text").cast(L).alias("latin"),
                               X.script_of("text").alias("script"))
 
 
@@ -197,7 +197,7 @@ def _(t):
  coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset_
 FROM lines""")
 def _(t):
-    return X.line_table(t.documents, "doc_id", "text").select(
+    return X.line_table(t.texts, "doc_id", "text").select(
         "doc_id", F.col("line_no").cast(L).alias("line_no"), F.length("line").cast(L).alias("len"), F.col("offset").cast(L).alias("offset_"))
 
 
@@ -207,7 +207,7 @@ ACCENTED, FOLDED = "àâäáãçéèêëíîïñóôöõúùûüß", "aaaaaceeee
 @query("T15_normalize_variants", f"""SELECT doc_id, md5(translate(text, '{ACCENTED}', '{FOLDED}')) AS digest,
   (length(text) - length(translate(text, '{ACCENTED}', '')))::BIGINT AS folded FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", F.md5(X.normalize_variants("text", ACCENTED, FOLDED)).alias("digest"),
+    return t.texts.select("doc_id", F.md5(X.normalize_variants("text", ACCENTED, FOLDED)).alias("digest"),
                               (F.length("text") - F.length(F.translate("text", ACCENTED, ""))).cast(L).alias("folded"))
 
 

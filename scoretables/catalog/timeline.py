@@ -157,5 +157,5 @@ SELECT DISTINCT g.song, g.lo AS run_from, g.hi AS run_end, array_to_string(g.st,
 def _(t):
     spans = F.array_compact(F.array(*[F.when(F.expr(c or "true"), F.struct(F.lit(p).cast(L).alias("pass"), F.lit(a).alias("a"), F.lit(b).alias("b"))) for p, a, b, c in RANGES]))
     rows = t.orders.select(F.col("o_orderkey").alias("song"), F.explode(spans).alias("r"))
-    rows = rows.select("song", "r.pass", F.explode(F.sequence(F.col("r.a").cast(L), (F.col("r.b") - 1).cast(L))).alias("measure")).distinct()
+    rows = rows.select("song", "r.pass", F.explode(F.sequence(F.col("r.a").cast(L), (F.col("r.b") - 1).cast(L))).alias("measure"))
     return TL.endings_from_passes(rows, ["song"])

@@ -100,7 +100,7 @@ def _(t):
 
 @query("A14_dict_build", """SELECT md5(text) AS key, count(*) AS cnt, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY ALL""")
 def _(t):
-    return V.dict_build(t.documents.select(F.md5("text").alias("key"), "doc_id", "n_chars"), "key", "doc_id", "n_chars")
+    return V.dict_build(t.texts.select(F.md5("text").alias("key"), "doc_id", "n_chars"), "key", "doc_id", "n_chars")
 
 
 @query("A15_shape_key", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
@@ -155,7 +155,7 @@ SELECT doc_id, item_id, la::BIGINT AS len_a, lb::BIGINT AS len_b, mt::BIGINT AS
 def _(t):
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)).alias("token")
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = t.documents.crossJoin(F.broadcast(n)).select("doc_id", F.pmod("doc_id", "n").alias("item_id"), words("text"))
+    d = t.texts.crossJoin(F.broadcast(n)).select("doc_id", F.pmod("doc_id", "n").alias("item_id"), words("text"))
     m = V.match_f1(d, t.benchmark.select("item_id", words("text")), "doc_id", "item_id", "token")
     return m.withColumn("f1", F.round("f1", 6))
 

@@ -94,23 +94,22 @@ def containment_join(frames: DataFrame, lines: DataFrame, page: list[str], frame
 
 
 def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFrame:
-    """(keep, pos, ch, fixed): each character with the replacement of the first rule its context fits.
+    """(keep, pos, ch, fixed): the characters to replace, each by the first rule its context fits.
 
     `rules`: rule_no, ch, prev2, prev, next, at_end, fixed; NULL in a condition means any.  Rules are keyed by
-    their character and carried as one short array per character.
+    their character and carried as one short array per character, so other characters drop out at the join.
     """
     by_ch = rules.groupBy("ch").agg(
         F.sort_array(F.collect_list(F.struct("rule_no", "prev2", "prev", "next", "at_end", "fixed"))).alias("__rules"))
-    ch = F.filter(F.split(F.col(text), ""), lambda c: c != "")
-    rows = df.select(*keep, ch.alias("__c"))
-    n = F.size("__c")
-    at = lambda i: F.when(i >= 0, F.get(F.col("__c"), i))
-    rows = rows.select(*keep, F.posexplode(F.transform("__c", lambda c, i: F.struct(
-        c.alias("ch"), at(i - 2).alias("p2"), at(i - 1).alias("p1"), at(i + 1).alias("nx"), (i == n - 1).alias("end")))).alias("pos", "k"))
-    rows = rows.select(*keep, "pos", "k.*").join(by_ch, "ch", "left")
+    line = F.col(text)
+    rows = df.select(*keep, line.alias("__line"), F.posexplode(F.split(line, "")).alias("pos", "ch")).join(by_ch, "ch")
+    n, pos = F.length("__line"), F.col("pos")
+    at = lambda i: F.when((i >= 0) & (i < n), F.substring("__line", i + 1, F.lit(1)))
+    rows = rows.select(*keep, "pos", "ch", "__rules", at(pos - 2).alias("p2"), at(pos - 1).alias("p1"), at(pos + 1).alias("nx"), (pos == n - 1).alias("end"))
     fits = F.filter("__rules", lambda r: reduce(lambda a, b: a & b, [
         r[c].isNull() | F.coalesce(r[c] == F.col(v), F.lit(False)) for c, v in (("prev2", "p2"), ("prev", "p1"), ("next", "nx"), ("at_end", "end"))]))
-    return rows.select(*keep, "pos", "ch", F.coalesce(F.get(fits, F.lit(0))["fixed"], F.col("ch")).alias("fixed"))
+    rows = rows.select(*keep, "pos", "ch", F.get(fits, F.lit(0))["fixed"].alias("fixed"))
+    return rows.filter("fixed <> ch")
 
 
 def cascade(rules: DataFrame, contexts: DataFrame, conditions: list[str], order: str, props: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .scan import Ordered, running_max, running_min
+from .scan import Ordered, running_min
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -53,42 +53,38 @@ def exact_then_fuzzy(objs: DataFrame, shapes: DataFrame, obj: str, key: str, sig
 def near_links(rects: DataFrame, page: list[str], id_: str, x: str, y: str, w: str, h: str, m: float) -> DataFrame:
     """Links (page, a, b) whose chains connect the same boxes as "within `m` of each other on both axes".
 
-    Boxes that touch one grid cell of side `m` are all near each other, so each cell links its boxes to one of them.
-    Two cells that touch need one link at most: side by side the closest edges decide; corner to corner the boxes no
-    other one of the cell beats on both axes do.  So the number of links grows with the boxes, not with the pairs.
+    Boxes that touch one grid cell of side `m` are all near each other, so each cell ties its boxes to the least of
+    them, and two neighbouring cells need at most one link between those.  Side by side, the closest edges decide it;
+    corner to corner, one ordered pass does.  The links grow with the boxes, not with the pairs.
     """
     keep = [*page, "cx", "cy"]
-    cols = [F.col(c) for c in (x, y, w, h)]
-    b = rects.select(*page, F.col(id_).alias("id"), cols[0].alias("x0"), cols[1].alias("y0"), (cols[0] + cols[2]).alias("x1"), (cols[1] + cols[3]).alias("y1"))
-    b = b.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") / m), F.floor(F.col("x1") / m))))
-    b = b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") / m), F.floor(F.col("y1") / m))))
-    ext = lambda c, f: f(F.struct(F.col(c).alias("v"), "id")).alias(c + ("_hi" if f is F.max else "_lo"))
-    cells = b.groupBy(*keep).agg(F.min("id").alias("rep"), ext("x1", F.max), ext("x0", F.min), ext("y1", F.max), ext("y0", F.min))
-    star = b.join(cells.select(*keep, "rep"), keep).filter("id <> rep").select(*page, F.col("rep").alias("a"), F.col("id").alias("b"))
-
-    def beside(dx, dy, here, there):
-        other = cells.select(*page, (F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.col(there).alias("__o"))
-        met = cells.join(other, keep).filter(F.col("__o.v") - F.col(f"{here}.v") <= m)
-        return met.select(*page, F.col(f"{here}.id").alias("a"), F.col("__o.id").alias("b"))
-
-    links = [star, beside(1, 0, "x1_hi", "x0_lo"), beside(0, 1, "y1_hi", "y0_lo")]
-    # corner to corner: right-lower boxes of a cell against left-upper ones of the next, and the other diagonal
+    x0, y0, x1, y1 = F.col(x), F.col(y), F.col(x) + F.col(w), F.col(y) + F.col(h)
+    b = rects.select(*page, F.col(id_).alias("id"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    for lo, hi, cell in (("x0", "x1", "cx"), ("y0", "y1", "cy")):
+        b = b.withColumn(cell, F.explode(F.sequence(F.floor(F.col(lo) / m), F.floor(F.col(hi) / m))))
+    b = cut_lineage(b)  # read by several steps below
+    cells = cut_lineage(b.groupBy(*keep).agg(
+        F.min("id").alias("rep"), F.max("x1").alias("x1"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.min("y0").alias("y0")))
+    reps = cells.select(*keep, "rep")
+    links = [b.join(reps, keep).filter("id <> rep").select(*page, F.col("rep").alias("a"), F.col("id").alias("b"))]
+    for dx, dy, edge, other in ((1, 0, "x1", "x0"), (0, 1, "y1", "y0")):
+        there = cells.select(*page, (F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.col(other).alias("__e"), F.col("rep").alias("b"))
+        met = cells.join(there, keep).filter(F.col("__e") - F.col(edge) <= m)
+        links.append(met.select(*page, F.col("rep").alias("a"), "b"))
+    # Corner to corner only the cell a box ends in matters: a box that goes on is met beside or below.
+    ends = {c: F.floor(F.col(c) / m) == F.col("c" + c[0]) for c in ("x0", "x1", "y0", "y1")}
     for sy in (1, -1):
-        low = b.withColumn("px", -F.col("x1")).withColumn("py", -F.col("y1") if sy == 1 else F.col("y0"))
-        high = b.withColumn("px", F.col("x0")).withColumn("py", F.col("y0") if sy == 1 else -F.col("y1"))
-        fronts = []
-        for side in (low, high):
-            o = Ordered.of(side.withColumn("npy", -F.col("py")), keep, ["px", "py", "id"], probe=b.select(*keep)).add(best=running_max("npy", before=True))
-            fronts.append(o.filter(F.col("best").isNull() | (F.col("npy") > F.col("best"))).done().select(*keep, "id", "px", "py"))
-        # along a front px rises and py falls, so the partner with the least py among those close enough in x decides
-        a = fronts[0].select(*keep, F.col("id").alias("a"), F.col("px").alias("ax"), F.col("py").alias("ay"))
-        c = fronts[1].select(*page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("id").alias("b"), F.col("px").alias("bx"), F.col("py").alias("by"))
-        rows = a.select(*keep, (F.col("ax") * -1 + m).alias("at"), F.lit(1).alias("kind"), F.col("a").alias("who"), F.col("ay").alias("yy"))
-        rows = rows.unionByName(c.select(*keep, F.col("bx").alias("at"), F.lit(0).alias("kind"), F.col("b").alias("who"), F.col("by").alias("yy")))
-        best = F.when(F.col("kind") == 0, F.struct(F.col("yy").alias("y"), F.col("who").alias("who")))
-        o = Ordered.of(rows, keep, ["at", "kind", "who"], probe=b.select(*keep)).add(mate=running_min(best))
-        hit = o.filter((F.col("kind") == 1) & (F.col("mate.y") + F.col("yy") <= m)).done()
-        links.append(hit.select(*page, F.col("who").alias("a"), F.col("mate.who").alias("b")))
+        near_y, far_y = ("y1", "y0") if sy == 1 else ("y0", "y1")
+        # a lies left of the corner, b right of it; all four values shrink towards the corner
+        left = b.filter(ends["x1"] & ends[near_y]).select(
+            *keep, (F.lit(m) + F.col("x1")).alias("at"), F.lit(1).alias("kind"), "id", (-sy * F.col(near_y)).alias("yy"))
+        right = b.filter(ends["x0"] & ends[far_y]).select(
+            *page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("x0").alias("at"), F.lit(0).alias("kind"), "id", (sy * F.col(far_y)).alias("yy"))
+        o = Ordered.of(left.unionByName(right), keep, ["at", "kind", "id"], probe=b.select(*keep))
+        o = o.add(mate=running_min(F.when(F.col("kind") == 0, F.col("yy"))))
+        hit = o.filter((F.col("kind") == 1) & (F.col("mate") + F.col("yy") <= m)).done().select(*keep).distinct()
+        there = reps.select(*page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("rep").alias("b"))
+        links.append(hit.join(reps, keep).join(there, keep).select(*page, F.col("rep").alias("a"), "b"))
     out = reduce(lambda p, q: p.unionByName(q), links).filter("a <> b")
     return out.select(*page, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import Ordered, lag, last_value, row_number, running_sum
+from ..operators.scan import Ordered, lag, last_value, lead, row_number, running_sum
 from ..operators.sequence import flag, merge_ties
+from ..session import cut_lineage
 
 # Fixed value: velocity of notes without one.
 DEFAULT_VELOCITY = 100
@@ -147,26 +148,30 @@ def endings_from_passes(played: DataFrame, song: list[str]) -> DataFrame:
     `played`: song, measure, pass.  Neighbouring measures with equal passes form a segment.  Segments after one
     that split its passes among them - none twice, all covered, at least two - are its endings.
     """
-    per = played.groupBy(*song, "measure").agg(F.array_sort(F.collect_set("pass")).alias("set"))
-    o = Ordered.of(per, song, ["measure"], probe=played.select(*song)).add(__was=lag(F.struct("measure", "set")))
+    per = played.groupBy(*song, "measure").agg(F.sort_array(F.collect_set("pass")).alias("set"))
+    o = Ordered.of(per, song, ["measure"], probe=played.select(*song)).add(__was=lag(F.struct("measure", "set")), __nx=lead("set"))
     same = (F.col("__was.measure") == F.col("measure") - 1) & (F.col("__was.set") == F.col("set"))
     o = o.with_column("__new", 1 - flag(same)).add(seg=running_sum("__new"))
-    segs = o.df.groupBy(*song, "seg").agg(F.min("measure").alias("run_from"), (F.max("measure") + 1).alias("run_end"), F.first("set").alias("set"))
+    segs = o.df.groupBy(*song, "seg").agg(F.min("measure").alias("run_from"), (F.max("measure") + 1).alias("run_end"), F.first("set").alias("set"),
+        F.max_by("__nx", "measure").alias("__nx"))
     # a segment's endings number at most as many as its passes, so it looks that many segments ahead
-    ahead = segs.filter(F.size("set") > 1).select(
+    segs = cut_lineage(segs)  # read three times below
+    starts = (F.size("__nx") < F.size("set")) & (F.size(F.array_except("__nx", "set")) == 0)
+    segs, heads = segs.drop("__nx"), segs.filter(starts)
+    ahead = heads.select(
         *song, F.col("seg").alias("head"), F.col("set").alias("all"), F.posexplode(F.sequence(F.col("seg") + 1, F.col("seg") + F.size("set"))).alias("k", "seg"))
     ahead = ahead.join(segs.select(*song, "seg", "set"), [*song, "seg"])
-    heads = ahead.groupBy(*song, "head").agg(F.first("all").alias("all"), F.array_sort(F.collect_list(F.struct("k", "set"))).alias("next"))
+    heads = ahead.groupBy(*song, "head").agg(F.first("all").alias("all"), F.sort_array(F.collect_list(F.struct("k", "set"))).alias("next"))
     start = F.struct(F.array().cast("array<bigint>").alias("acc"), F.lit(0).alias("n"), F.lit(0).alias("stop"))
 
     def take(s, x):
         go = (s["stop"] == 0) & (x["k"] == s["n"]) & (F.size(F.array_intersect(s["acc"], x["set"])) == 0)
         acc = F.when(go, F.concat(s["acc"], x["set"])).otherwise(s["acc"])
-        full = F.array_sort(acc) == F.col("all")
+        full = F.sort_array(acc) == F.col("all")
         return F.struct(acc.alias("acc"), (s["n"] + F.when(go, 1).otherwise(0)).alias("n"), F.when(~go | full, 1).otherwise(s["stop"]).alias("stop"))
 
     heads = heads.withColumn("got", F.aggregate("next", start, take))
-    ok = (F.array_sort("got.acc") == F.col("all")) & (F.col("got.n") >= 2)
+    ok = (F.sort_array("got.acc") == F.col("all")) & (F.col("got.n") >= 2)
     heads = heads.filter(ok).select(*song, "head", (F.col("head") + F.col("got.n")).alias("last"))
     # a head that is the last ending of a group before it does not count; along a chain of such, every second one does
     h = Ordered.of(heads, song, ["head"], probe=played.select(*song)).add(__pl=lag("last"))

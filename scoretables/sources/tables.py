@@ -62,3 +62,12 @@ def load_table(spark: SparkSession, folder: str, name: str, schema: str | None =
 
 def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     return {n: load_table(spark, folder, n) for n in names or BOUND}
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """A small input that sits in a few splits, spread over the cores; large inputs pass through unchanged.
+
+    For work that is heavy per row (texts), where one split would keep one core busy and the others idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
