@@ -51,14 +51,14 @@ def _(t):
     return V.mode_vote(t.events, ["user_id"], "event_type", {"first": F.min("event_id")})
 
 
-@query("A11_agree_within", f"""{EV}, d AS (SELECT event_id, ts::DATE::VARCHAR || ':' || (user_id % 40)::VARCHAR AS sys, k % 15 - 7 AS fifths, value > 10 AS sure, event_type FROM ev),
+@query("A11_agree_within", f"""{EV}, d AS (SELECT event_id, (event_id // 700)::VARCHAR || ':' || (user_id % 40)::VARCHAR AS sys, k % 15 - 7 AS fifths, value > 10 AS sure, event_type FROM ev),
 kv AS (SELECT sys, fifths, count(*) AS n, sum(sure::INT) AS s, min(event_id) AS f FROM d GROUP BY ALL),
 kw AS (SELECT sys, fifths AS agreed, s > 0 AS agreed_sure FROM (SELECT *, row_number() OVER (PARTITION BY sys ORDER BY n DESC, s DESC, abs(fifths) DESC, f) AS r FROM kv) WHERE r = 1),
 tv AS (SELECT sys, event_type, count(*) AS n FROM d GROUP BY ALL), tm AS (SELECT sys, max(n) AS m FROM tv GROUP BY ALL),
 tw AS (SELECT sys, min(event_type) AS w, any_value(m) AS votes FROM tv JOIN tm USING (sys) WHERE n = m GROUP BY sys HAVING count(*) = 1)
 SELECT event_id, agreed AS agreed_key, agreed_sure, coalesce(w, event_type) AS agreed_time, votes FROM d JOIN kw USING (sys) LEFT JOIN tw USING (sys)""")
 def _(t):
-    d = ev(t).select("event_id", F.concat_ws(":", F.to_date("ts").cast("string"), F.pmod("user_id", F.lit(40)).cast("string")).alias("sys"),
+    d = ev(t).select("event_id", F.concat_ws(":", F.floor(F.col("event_id") / 700).cast("string"), F.pmod("user_id", F.lit(40)).cast("string")).alias("sys"),
                      (F.pmod("k", F.lit(15)) - 7).alias("fifths"), (F.col("value") > 10).alias("sure"), "event_type")
     rows = V.agree_key(d, ["sys"], "fifths", "sure", "event_id").withColumnRenamed("agreed", "agreed_key")
     rows = V.agree_time(rows, ["sys"], "event_type").withColumnRenamed("agreed", "agreed_time")

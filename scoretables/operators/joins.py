@@ -170,7 +170,8 @@ def misaligned_onsets(onsets: DataFrame, peers: DataFrame, keys: list[str], x: s
     q = onsets.select(*keys, x, t).distinct().withColumn("__kind", F.lit(1))
     both = p.unionByName(q)
     spot = F.when(F.col("__kind") == 0, F.struct(F.col(x).alias("x"), F.col(t).alias("t")))
-    o = Ordered.of(both, keys, [x, "__kind", t]).with_column("__spot", spot)
+    raw = peers.select(*keys).unionByName(onsets.select(*keys))
+    o = Ordered.of(both, keys, [x, "__kind", t], probe=raw).with_column("__spot", spot)
     o = o.add(__lp=last_value("__spot", before=True), __np=next_value("__spot", before=True))
     # on a peer: the nearest peer of another time on either side, carried along runs of one time
     o = o.with_column("__lo", F.when((F.col("__kind") == 0) & (F.col("__lp.t") != F.col(t)), F.col("__lp.x")))

@@ -58,14 +58,17 @@ def clamped_depth(df: DataFrame, keys, order, starts: Column, ends: Column, name
     return add_depth(Ordered.of(df, keys, order), starts, ends, name).done()
 
 
-def merge_ties(notes: DataFrame, keys, order, t0: str, t1: str, tie_stop: Column, *keep: str) -> DataFrame:
-    """One row per sounding note: a tie stop joins the note before it on the same part and pitch when they touch."""
-    o = Ordered.of(notes, keys, order).add(__end=lag(t1))
+def merge_ties(notes: DataFrame, keys, order, t0: str, t1: str, tie_stop: Column, *keep: str, probe: DataFrame | None = None) -> DataFrame:
+    """One row per sounding note: a tie stop joins the note before it on the same part and pitch when they touch.
+
+    `keep` columns come from the note that starts it.
+    """
+    o = Ordered.of(notes, keys, order, probe=probe).add(__end=lag(t1))
     o = o.with_column("__new", 1 - flag(tie_stop & (F.abs(F.col("__end") - F.col(t0)) < 1e-6))).add(__isl=running_sum("__new"))
-    first = F.struct(*order)
+    # pieces follow each other in time, so the last one ends last; just one of them is the start
     return o.df.groupBy(*keys, "__isl").agg(
-        F.min(t0).alias(t0), F.max_by(t1, first).alias(t1), F.count(F.lit(1)).alias("pieces"),
-        *[F.min_by(k, first).alias(k) for k in keep]).drop("__isl")
+        F.min(t0).alias(t0), F.max(t1).alias(t1), F.count(F.lit(1)).alias("pieces"),
+        *[F.max(F.when(F.col("__new") == 1, F.col(k))).alias(k) for k in keep]).drop("__isl")
 
 
 def carried_lyric(notes: DataFrame, part, order, t0: str, t1: str, pass_: str, word: str, extend: str, starts: Column, ends: Column) -> DataFrame:

@@ -45,7 +45,8 @@ def build_timeline(passes: DataFrame, measures: DataFrame, notes: DataFrame, son
     t0 = F.col("onset") + F.col("pos") - F.col("cut_from")
     n = n.select(*song, "part", "pitch", t0.alias("t0"), (t0 + F.col("dur")).alias("t1"), "pass_ix", "measure", "note_ix", "pass",
                  F.coalesce("velocity", F.lit(float(DEFAULT_VELOCITY))).alias("velocity"), "tie_stop")
-    return merge_ties(n, [*song, "part", "pitch"], ["t0", "pass_ix", "measure", "note_ix"], "t0", "t1", F.col("tie_stop"), "velocity", "pass")
+    return merge_ties(n, [*song, "part", "pitch"], ["t0", "pass_ix", "measure", "note_ix"], "t0", "t1", F.col("tie_stop"), "velocity", "pass",
+                      probe=notes.select(*song, "part", "pitch"))
 
 
 def repeat_passes(measures: DataFrame, song: list[str], order: str, fwd: Column, bwd: Column, endings: str) -> DataFrame:
