@@ -123,7 +123,7 @@ def _(t):
     return tally(note_rows(t), "fifths", "chromatic", P.sounding_fifths("fifths", "chromatic").cast(L).alias("sounding"))
 
 
-@query("P9_degree_of_key", f"""WITH k AS (SELECT p_partkey % 15 - 7 AS home, p_size % 15 - 7 AS fifths, count(*) AS n
+@query("P9_degree_of_key", f"""WITH k AS (SELECT p_partkey % 15 - 7 AS home, (p_size % 15 - 7)::BIGINT AS fifths, count(*) AS n
   FROM part GROUP BY ALL), d AS (SELECT *, {wrap_sql('fifths - home', -8, 12)} AS d FROM k),
 s AS (SELECT *, CASE WHEN d >= 6 THEN '#' WHEN d <= -2 THEN 'b' ELSE '' END AS sign FROM d),
 g AS (SELECT *, sign || list_position([0,2,4,-1,1,3,5], (CASE sign WHEN '#' THEN d-7 WHEN 'b' THEN d+7 ELSE d END)::INT)::VARCHAR AS degree FROM s)

@@ -219,9 +219,8 @@ def _(t):
     rows = t.part.select(
         "p_partkey", F.when(F.pmod("p_size", F.lit(7)) != 0, F.col("p_partkey")).alias("number"),
         F.when(F.pmod("p_size", F.lit(11)) != 0, F.concat("p_name", F.lit("/"), "p_type")).alias("title"))
-    width = rows.agg(F.length(F.max("number").cast("string")).alias("w"))  # one row
-    rows = rows.crossJoin(F.broadcast(width))
-    return rows.select("p_partkey", X.safe_name("number", "title", "w", F.col("p_partkey") + 1).alias("name"))
+    width = rows.agg(F.length(F.max("number").cast("string"))).scalar()
+    return rows.select("p_partkey", X.safe_name("number", "title", width, F.col("p_partkey") + 1).alias("name"))
 
 
 @query("T17_clean_ref_lines", """WITH d AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN turn % 10 ELSE NULL END AS mm, text FROM conversations),

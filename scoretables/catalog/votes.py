@@ -154,8 +154,8 @@ s AS (SELECT item_id, sum(b) AS lb FROM b GROUP BY ALL)
 SELECT doc_id, item_id, la::BIGINT AS len_a, lb::BIGINT AS len_b, mt::BIGINT AS matched, round(2*mt/(la+lb), 6)::DOUBLE AS f1, 2*mt/(la+lb) >= 0.5 AS is_match FROM m JOIN s USING (item_id)""")
 def _(t):
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)).alias("token")
-    n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = t.texts.crossJoin(F.broadcast(n)).select("doc_id", F.pmod("doc_id", "n").alias("item_id"), words("text"))
+    n = t.benchmark.agg(F.count(F.lit(1))).scalar()
+    d = t.texts.withColumn("item_id", F.pmod("doc_id", n)).select("doc_id", "item_id", words("text"))
     m = V.match_f1(d, t.benchmark.select("item_id", words("text")), "doc_id", "item_id", "token")
     return m.withColumn("f1", F.round("f1", 6))
 
@@ -192,7 +192,7 @@ r AS (SELECT l_suppkey, count(*) AS rows_, max(n) AS mx FROM y GROUP BY ALL) SEL
 def _(t):
     items = t.lineitem.filter("l_returnflag <> 'R'")
     y = F.col("l_extendedprice") / 500
-    return V.staff_rows(items, "l_suppkey", y).crossJoin(V.max_row_cells(items, "l_suppkey", y))  # one row each
+    return V.staff_rows(items, "l_suppkey", y)
 
 
 @query("F1_match_any", """SELECT o_orderpriority, count(*) AS n FROM orders WHERE contains(o_orderpriority, 'URG') OR contains(o_orderpriority, 'LOW') GROUP BY ALL""")

@@ -117,18 +117,18 @@ def cascade(rules: DataFrame, contexts: DataFrame, conditions: list[str], order:
     rule latest in `order` wins.  One equi-join per kind of rule (which conditions it states)."""
     ctx = contexts.select(*conditions).distinct()
     parts = []
+    types = dict(rules.dtypes)
     for bits in range(2 ** len(conditions)):
         on = [c for i, c in enumerate(conditions) if bits >> i & 1]
         kind = reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in on else F.col(c).isNull() for c in conditions])
         r = rules.filter(kind).select(*on, order, *props)
         if on:
             parts.append(ctx.join(r, on).select(*conditions, order, *props))
-        else:
-            top = r.agg(F.max(order).alias(order), *[F.max_by(p, F.when(F.col(p).isNotNull(), F.col(order))).alias(p) for p in props],
-                        *[F.max(F.when(F.col(p).isNotNull(), F.col(order))).alias(f"__o_{p}") for p in props])
-            for p in props:  # one row: the base values, each with the place of its rule
-                one = top.select(F.col(f"__o_{p}").alias(order), *[(F.col(q) if q == p else F.lit(None).cast(dict(rules.dtypes)[q])).alias(q) for q in props])
-                parts.append(ctx.crossJoin(F.broadcast(one)).select(*conditions, order, *props))
+            continue
+        for p in props:  # rules for every context: the last one that sets the property
+            last = r.filter(F.col(p).isNotNull())
+            value = {order: last.agg(F.max(order)).scalar(), p: last.agg(F.max_by(p, order)).scalar()}
+            parts.append(ctx.select(*conditions, value[order].alias(order), *[value.get(q, F.lit(None).cast(types[q])).alias(q) for q in props]))
     met = reduce(lambda a, b: a.unionByName(b), parts)
     return met.groupBy(*conditions).agg(*[F.max_by(p, F.when(F.col(p).isNotNull(), F.col(order))).alias(p) for p in props])
 

@@ -72,10 +72,15 @@ def quantile_table(df: DataFrame, keys: list[str], picks: dict) -> DataFrame:
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def attach(a: DataFrame, one: DataFrame) -> DataFrame:
+    """Columns of a one-row frame on every row of `a` (NULL when it has no row)."""
+    return a.withColumn("__row", one.select(F.struct(*one.columns)).scalar()).select(*a.columns, "__row.*")
+
+
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be NULL; the key columns are those of `a`."""
     if not keys:
-        return a.crossJoin(F.broadcast(b))  # b has one row
+        return attach(a, b)
     renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"__j_{k}"), keys, b)
     on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__j_{k}")) for k in keys])
     return a.join(renamed, on, how).drop(*[f"__j_{k}" for k in keys])
@@ -85,13 +90,13 @@ def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, p25, p50, p75 and the median absolute deviation over the median."""
     base = quantiles(df, keys, value, {"p25": floor_index(0.25), "p50": floor_index(0.5), "p75": floor_index(0.75)})
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    dev = counts.join(base.select(*keys, "p50"), keys) if keys else counts.crossJoin(F.broadcast(base.select("p50")))
+    dev = counts.join(base.select(*keys, "p50"), keys) if keys else attach(counts, base.select("p50"))
     dev = dev.select(*keys, F.abs(F.col(value) - F.col("p50")).alias("__dev"), "__w")
     dev = dev.filter(F.col("__dev").isNotNull() & ~F.isnan("__dev") & (F.abs("__dev") != float("inf")))
     dev = dev.groupBy(*keys, "__dev").agg(F.sum("__w").alias("__m"))
     o = Ordered.of(dev, keys, ["__dev"], probe=df.select(*keys)).add(__cum=running_sum("__m"), __n=total("sum", "__m"))
     mad = o.df.groupBy(*(keys or [ALL])).agg(F.min(F.when(F.col("__cum") > F.floor(F.col("__n") / 2), F.col("__dev"))).alias("mad"))
-    out = base.join(mad, keys) if keys else base.crossJoin(F.broadcast(mad.drop(ALL)))
+    out = base.join(mad, keys) if keys else attach(base, mad.drop(ALL))
     ratio = F.when(F.col("p50") != 0, F.try_divide(F.col("mad"), F.abs("p50"))).otherwise(F.lit(0.0))
     return out.withColumn("mad_ratio", ratio).drop("mad")
 
@@ -106,11 +111,11 @@ def content_box(df: DataFrame, keys: list[str], x: str, y: str, w: str, h: str)
     d = df.select(*keys, F.col(x).alias("x0"), F.col(y).alias("y0"), (F.col(x) + F.col(w)).alias("x1"), (F.col(y) + F.col(h)).alias("y1"))
     box = quantile_table(d, keys, {"x0_q": ("x0", round_index(0.02)), "y0_q": ("y0", round_index(0.02)),
                                    "x1_q": ("x1", round_index(0.98)), "y1_q": ("y1", round_index(0.98))})
-    tops = d.join(box, keys) if keys else d.crossJoin(F.broadcast(box))  # without keys: one row
+    tops = d.join(box, keys) if keys else attach(d, box)
     tops = tops.select(*keys, F.when(F.col("y0") < F.col("y0_q"), F.col("y0")).alias("__head"),
                        F.when(F.col("y0") > F.col("y1_q"), F.col("y0")).alias("__foot"))
     bands = quantile_table(tops, keys, {"header_top": ("__head", round_index(0.05)), "footer_bottom": ("__foot", round_index(0.95))})
-    box = box.join(bands, keys, "left") if keys else box.join(F.broadcast(bands), F.lit(True), "left")
+    box = box.join(bands, keys, "left") if keys else attach(box, bands)
     return box.select(
         *keys, F.col("x0_q").alias("x"), F.col("y0_q").alias("y"), (F.col("x1_q") - F.col("x0_q")).alias("w"),
         (F.col("y1_q") - F.col("y0_q")).alias("h"), "header_top", "footer_bottom")
@@ -136,7 +141,7 @@ def gap_clusters(df: DataFrame, keys: list[str], value: str, tol, relative: bool
 def drop_noise(clusters: DataFrame, keys: list[str], share: float = 0.1, least: int = 8) -> DataFrame:
     """Keep groups (column `n`) of at least `least` members and `share` of all members under `keys`."""
     sums = clusters.groupBy(*keys).agg(F.sum("n").alias("__all"))
-    rows = clusters.join(sums, keys) if keys else clusters.crossJoin(F.broadcast(sums))
+    rows = clusters.join(sums, keys) if keys else attach(clusters, sums)
     return rows.filter(F.col("n") >= F.greatest(F.lit(least), F.col("__all") * share)).drop("__all")
 
 

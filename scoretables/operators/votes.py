@@ -140,15 +140,9 @@ def cells_target(notes: DataFrame, keys: list[str], measure: str, beats: Column,
 
 
 def staff_rows(items: DataFrame, page: str, y: Column) -> DataFrame:
-    """Distinct note baselines, counted page by page and summed (one row)."""
-    per = items.select(page, F.floor(y + 0.5).alias("__y")).distinct().groupBy(page).agg(F.count(F.lit(1)).alias("__n"))
-    return per.agg(F.sum("__n").alias("staff_rows"))
-
-
-def max_row_cells(items: DataFrame, page: str, y: Column) -> DataFrame:
-    """Most note cells on one row of a page (one row)."""
+    """One row: distinct note baselines, counted page by page, and the most note cells on one of them."""
     per = items.groupBy(page, F.floor(y + 0.5).alias("__y")).agg(F.count(F.lit(1)).alias("__n"))
-    return per.agg(F.max("__n").alias("max_row_cells"))
+    return per.agg(F.count(F.lit(1)).alias("staff_rows"), F.max("__n").alias("max_row_cells"))
 
 
 def match_f1(pairs_tokens: DataFrame, ref_tokens: DataFrame, item: str, ref: str, token: str, least: float = 0.5) -> DataFrame:
