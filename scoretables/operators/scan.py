@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_ROWS_CONF = "scoretables.maxGroupRows"
 MAX_ROWS = 2_000_000
 MAX_BLOCKS = 2_000  # groups are only cut so finely that about this many blocks arise in all
@@ -145,7 +147,8 @@ class Ordered:
         cut = df.join(F.broadcast(cuts), same, "left").withColumn(
             BLOCK, F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(found)
         )
-        return cls(cut.drop("__cuts", *[f"__k_{k}" for k in keys]), keys, order, True)
+        # written once: the rows before this point are not computed again for every block summary
+        return cls(cut_lineage(cut.drop("__cuts", *[f"__k_{k}" for k in keys])), keys, order, True)
 
     # -- passes ---------------------------------------------------------------------------------
 
@@ -194,7 +197,7 @@ class Ordered:
                 w = by.orderBy(F.col(BLOCK).desc() if p.backward else F.col(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
                 c = AGG[p.kind](f"__s_{name}").over(w) if p.kind in AGG else F.last(f"__s_{name}", ignorenulls=True).over(w)
             carries.append(c.alias(f"__c_{name}"))
-        carry = blocks.select(*[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col(BLOCK).alias("__kb"), *carries)
+        carry = cut_lineage(blocks.select(*[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col(BLOCK).alias("__kb"), *carries))
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in self.keys])
         out = df.select("*", *[self._local(p, True).alias(f"__l_{name}") for name, p in passes.items()])
         out = out.join(F.broadcast(carry), same & (F.col(BLOCK) == F.col("__kb")), "left")
