@@ -31,7 +31,7 @@ def codewords(k: int, seed: int = 10) -> np.ndarray:
     """Codewords (+1, -1) of k classes: every way to part them for few classes, else random parts."""
     if k <= 7:
         bits = [[1 if (c << 1 | 1) >> i & 1 else -1 for i in range(k)] for c in range(2 ** max(k - 1, 1) - 1)]
-        return np.array(bits, np.float32).T.reshape(k, -1)
+        return np.array(bits, np.float32).T.reshape(k, len(bits))
     n = max(15, math.ceil(10 * math.log2(k)))
     rng = np.random.default_rng(seed)
     tries = [rng.choice(np.array([-1, 1], np.float32), (k, n)) for _ in range(50)]
