@@ -162,6 +162,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def column(df: DataFrame, name: str, kind: str, alias: str) -> Column:
+    """A column by another name and type; as it is where it has them, so that equal plans stay equal."""
+    if name == alias and dict(df.dtypes)[name] == kind:
+        return F.col(name)
+    return F.col(name).cast(kind).alias(alias)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from training: crc32 of the id as text leaves remainder 1 by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))

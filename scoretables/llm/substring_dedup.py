@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, Words, grams, mix, pieces, table, within
+from .common import U64, Texts, Words, column, grams, mix, pieces, table, within
 from .registry import query
 
 GRAM = 5
@@ -126,16 +126,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     words; texts with fewer than n words, and rows without a doc_id, keep all and give no reference.  Rows with equal
     doc_id don't remove each other's words.  Other columns don't matter; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("crc", (F.coalesce(F.crc32("text"), F.lit(0)) - (1 << 31)).cast("int"))  # tells rows of one doc_id apart
+    rows = docs.select(column(docs, doc_id, "bigint", "doc_id"), column(docs, text, "string", "text"))
+    # Tells rows of one doc_id apart where there are any; it is shuffled with every row.
+    repeated = not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    keys, kinds = (["doc_id", "crc"], "doc_id bigint, crc int") if repeated else (["doc_id"], "doc_id bigint")
+    if repeated:
+        rows = rows.withColumn("crc", (F.crc32("text") - (1 << 31)).cast("int"))
     known = rows.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     listed = _frequent(known, n)
     least = _least_documents(known, listed["window"], n)
 
     # Whole copies of an earlier document need no parse.
     first = known.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    same = known.select("doc_id", "crc", F.xxhash64("text").alias("h"), F.md5("text").alias("m")).join(first, ["h", "m"]).filter("doc_id > source")
-    copies = same.select("doc_id", "crc", "source").distinct()
+    same = known.select(*keys, F.xxhash64("text").alias("h"), F.md5("text").alias("m")).join(first, ["h", "m"]).filter("doc_id > source")
+    copies = same.select(*keys, "source").distinct()
 
     def anchors(batches):
         for p in pieces(batches, "text"):
@@ -143,12 +147,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
             at, i = np.unique(w.anchor_at, return_index=True)
             i = i[~_listed(w.anchor[i], listed["anchor"])[0]]
             i = i[_once(w.doc[i], w.anchor[i])]
-            yield pa.RecordBatch.from_arrays([_signed(w.anchor[i]), *(p.column(c).take(pa.array(w.doc[i])) for c in ("doc_id", "crc"))], ["anchor", "doc_id", "crc"])
+            yield pa.RecordBatch.from_arrays([_signed(w.anchor[i]), *(p.column(c).take(pa.array(w.doc[i])) for c in keys)], ["anchor", *keys])
 
-    every = known.mapInArrow(anchors, "anchor bigint, doc_id bigint, crc int")
+    every = known.mapInArrow(anchors, f"anchor bigint, {kinds}")
     block = Window.partitionBy("anchor")
     shared = every.withColumns({"lo": F.min("doc_id").over(block), "hi": F.max("doc_id").over(block)}).filter("lo < hi")
-    marks = shared.groupBy("doc_id", "crc").agg(F.collect_list("anchor").alias("anchors"))
+    marks = shared.groupBy(*keys).agg(F.collect_list("anchor").alias("anchors"))
 
     def windows(batches):
         for p in pieces(batches, "text"):
@@ -163,13 +167,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
             i = np.flatnonzero((go | often) & ~_listed(w.hash, listed["window"])[0])
             # windows of frequent anchors are dealt by their own hash
             block = np.where(often[i], w.hash[i], w.anchor[i])
-            yield pa.RecordBatch.from_arrays([_signed(block), _signed(w.hash[i]), *(p.column(c).take(pa.array(w.doc[i])) for c in ("doc_id", "crc")), pa.array(w.place[i].astype(np.int32))],
-                                             ["block", "window", "doc_id", "crc", "place"])
+            yield pa.RecordBatch.from_arrays([_signed(block), _signed(w.hash[i]), *(p.column(c).take(pa.array(w.doc[i])) for c in keys), pa.array(w.place[i].astype(np.int32))],
+                                             ["block", "window", *keys, "place"])
 
-    texts = known.join(marks, ["doc_id", "crc"], "left").join(copies, ["doc_id", "crc"], "left").select("doc_id", "crc", "text", "anchors", "source")
-    looked = texts.mapInArrow(windows, "block bigint, window bigint, doc_id bigint, crc int, place int")
+    texts = known.join(marks, keys, "left").join(copies, keys, "left").select(*keys, "text", "anchors", "source")
+    looked = texts.mapInArrow(windows, f"block bigint, window bigint, {kinds}, place int")
     looked = looked.withColumn("source", F.min("doc_id").over(Window.partitionBy("block", "window"))).filter("source < doc_id")
-    found = looked.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("place", "source")).alias("found"))
+    found = looked.groupBy(*keys).agg(F.collect_list(F.struct("place", "source")).alias("found"))
 
     def parse(batches):
         for p in pieces(batches, "text"):
@@ -205,7 +209,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
                  pa.array(parses, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())]))), pa.array(kept, pa.binary()).cast(pa.string())],
                 ["doc_id", "n_words", "n_removed", "factors", "kept"])
 
-    out = known.join(copies, ["doc_id", "crc"], "left").join(found, ["doc_id", "crc"], "left").select("doc_id", "text", "source", "found")
+    out = known.join(copies, keys, "left").join(found, keys, "left").select("doc_id", "text", "source", "found")
     blank = rows.filter("doc_id IS NULL OR text IS NULL").select("doc_id", "text", F.lit(None).cast("bigint").alias("source"), F.lit(None).cast("array<struct<place:int,source:bigint>>").alias("found"))
     return out.unionByName(blank).mapInArrow(parse, "doc_id bigint, n_words bigint, n_removed bigint, factors array<struct<start: bigint, length: bigint, source: bigint>>, kept string")
 
