@@ -5,9 +5,10 @@ the set, read as a truncated exponential value on an exponentially spaced scale,
 Groups of registers (bands) are hashed; documents that share a band meet, their similarity is estimated from both
 sketches by likelihood, and what may reach the threshold is confirmed on the full sets.
 
-Within a band bucket no all-pairs list is made.  Every member meets the bucket's least one.  Once those links have
+Within a band bucket no all-pairs list is made.  Every member meets two heads of its bucket.  Once those links have
 joined components, only buckets that still hold several components go on: small ones with their pairs between
-components, large ones by other groupings of the registers, and at the last level by all pairs between components.
+components, large ones as families (buckets that share members).  A family is cut into chunks, and two chunks at a time
+are compared in one task: only pairs between components, by estimate and then in full, and only links come out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.shapes import components
 from ..session import cut_lineage
 from .common import U64, binary, mix, pieces, shingle_sets, stream, table
 from .registry import query
@@ -28,9 +28,10 @@ from .registry import query
 ROWS, BANDS = 4, 40
 REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Buckets up to this size are settled by their pairs between components; larger ones are grouped anew.
+#: Buckets up to this size are settled by their pairs between components; larger ones as families.
 SMALL = 64
-LEVELS = 3
+#: Documents of a family's chunk.
+CHUNK = 512
 #: Standard errors that the estimate may lie below the threshold before a pair is left out.
 SLACK = 6.0
 
@@ -69,12 +70,17 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return grid[np.arange(len(grid)), score.argmax(axis=1)]
 
 
-def band_keys(regs: np.ndarray, level: int, parent: np.ndarray) -> np.ndarray:
-    """Bucket keys of each sketch at a level: the registers are dealt to the bands in another order at each."""
-    order = np.arange(REGISTERS) if level == 0 else np.random.default_rng(level).permutation(REGISTERS)
-    r = regs[:, order].reshape(len(regs), BANDS, ROWS).astype(U64)
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Bucket key of each band of each sketch."""
+    r = regs.reshape(len(regs), BANDS, ROWS).astype(U64)
     packed = r[:, :, 0] | r[:, :, 1] << U64(16) | r[:, :, 2] << U64(32) | r[:, :, 3] << U64(48)
-    return mix(mix(packed) ^ stream(200 + level, BANDS)[None, :] ^ mix(parent.astype(U64))[:, None]).view(np.int64)
+    return mix(mix(packed) ^ stream(200, BANDS)[None, :]).view(np.int64)
+
+
+def least_likely(percent: int) -> float:
+    """Estimates under this are taken to be under the threshold."""
+    t = percent / 100
+    return t - SLACK * math.sqrt(t * (1 - t) / REGISTERS)
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -93,17 +99,20 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int
     return rows.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n_shingles bigint, regs binary")
 
 
-def _buckets(members: DataFrame, level: int) -> DataFrame:
-    """(key, id) of each member in each band; members have (key, id, regs)."""
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), REGISTERS)
+
+
+def _buckets(reps: DataFrame) -> DataFrame:
+    """(key, id) of each set in each band."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), np.uint16).reshape(b.num_rows, REGISTERS)
-                keys = band_keys(regs, level, b.column("key").to_numpy())
+                keys = band_keys(_matrix(b.column("regs")))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column("id").to_numpy(), BANDS))], ["key", "id"])
 
-    return members.select("key", "id", "regs").mapInArrow(run, "key bigint, id bigint")
+    return reps.select("id", "regs").mapInArrow(run, "key bigint, id bigint")
 
 
 def _confirm(pairs: DataFrame, sk: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -113,11 +122,8 @@ def _confirm(pairs: DataFrame, sk: DataFrame, texts: DataFrame, k: int, percent:
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(b.num_rows, REGISTERS) for c in ("ra", "rb"))
-            j = estimate(x, y, b.column("na").to_numpy().astype(float), b.column("nb").to_numpy().astype(float))
-            t = percent / 100
-            keep = pa.array(j >= t - SLACK * math.sqrt(t * (1 - t) / REGISTERS))
-            yield b.select(["a", "b"]).filter(keep)
+            j = estimate(_matrix(b.column("ra")), _matrix(b.column("rb")), b.column("na").to_numpy().astype(float), b.column("nb").to_numpy().astype(float))
+            yield b.select(["a", "b"]).filter(pa.array(j >= least_likely(percent)))
 
     def linked(batches):
         for b in batches:
@@ -133,42 +139,117 @@ def _confirm(pairs: DataFrame, sk: DataFrame, texts: DataFrame, k: int, percent:
     return maybe.distinct().join(side[1], "b").join(side[0], "a").select("a", "b", "ta", "tb").mapInArrow(linked, "a bigint, b bigint")
 
 
+def linked(pairs: DataFrame) -> DataFrame:
+    """(node, root) of each node of the pairs (a, b): the least node that chains of pairs lead to.
+
+    Each round points every node to its least neighbour or itself and goes on with the pairs of what is pointed to;
+    their number falls from round to round, and for stars it is nothing after two.  Rounds are written to the shared
+    folder, so that a lost executor doesn't replay them.
+    """
+    e = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    steps = []
+    while not e.isEmpty():
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+        steps.append(low)
+        x, y = (low.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "ab")
+        e = e.join(x, "a").join(y, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b").distinct()
+        e = cut_lineage(e)
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for n, low in enumerate(reversed(steps)):
+        further = out.select(F.col("node").alias("root"), F.col("root").alias("end"))
+        out = low.join(further, "root", "left").select("node", F.coalesce("end", "root").alias("root")) if n else low
+    return out
+
+
+def _families(family: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components (comp) of the same family; family: (id, family, comp).
+
+    Enough links come out to join what belongs together: once two components have met in a task, their other pairs
+    are left out there.
+    """
+    size = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    mine = F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int")
+    rows = cut_lineage(family.join(size, "family").withColumn("mine", mine))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    met = met.join(reps, "id").join(texts, "id").select("family", "lo", "hi", "mine", "id", "comp", "n_shingles", "regs", "text")
+
+    def compare(group: pa.Table) -> pa.Table:
+        lo, mine = group.column("lo")[0].as_py(), group.column("mine").to_numpy()
+        same = lo == group.column("hi")[0].as_py()
+        ids, comp, n = (group.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
+        regs, text, sets = _matrix(group.column("regs")), group.column("text"), {}
+
+        def own(i):
+            if i not in sets:
+                sets[i] = shingle_sets(text.slice(i, 1).combine_chunks(), k)[0]
+            return sets[i]
+
+        joined: dict[int, int] = {}
+
+        def root(c):
+            while (up := joined.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        right = np.arange(len(ids)) if same else np.flatnonzero(mine != lo)
+        for i in np.flatnonzero(mine == lo).tolist():
+            to = right[(comp[right] != comp[i]) & ((right > i) if same else True)]
+            to = to[100 * np.minimum(n[to], n[i]) >= percent * np.maximum(n[to], n[i])]
+            if not len(to):
+                continue
+            to = to[(regs[to] == regs[i]).sum(axis=1) >= (least_likely(percent) - 0.05) * REGISTERS]
+            to = to[estimate(np.broadcast_to(regs[i], (len(to), REGISTERS)), regs[to], np.full(len(to), float(n[i])), n[to].astype(float)) >= least_likely(percent)] if len(to) else to
+            for j in to.tolist():
+                p, q = root(comp[i]), root(comp[j])
+                if p != q:
+                    both = len(np.intersect1d(own(i), own(j), assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        joined[max(p, q)] = min(p, q)
+                        out.append((ids[i], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return met.groupBy("family", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+
+
 def links(docs: DataFrame, sk: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(node, root): sets linked by chains of pairs at or over the threshold, named by their least document."""
     reps = sk.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2").agg(F.min(F.struct("id", "n_shingles", "regs")).alias("m"))
     reps = cut_lineage(reps.select("m.id", "m.n_shingles", "m.regs"))
-    members = cut_lineage(_buckets(reps.withColumn("key", F.lit(0).cast("bigint")), 0))
-    found, texts = [], None
-    for level in range(LEVELS):
-        heads = members.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        met = cut_lineage(members.join(heads, "key").select("key", "id", "head", "n").distinct())
-        pairs = met.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-        if texts is None:
-            want = met.select("id").distinct()
-            texts = cut_lineage(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(want, "id", "left_semi"))
-        found.append(cut_lineage(_confirm(pairs, reps, texts, k, percent)))
-        tree = components(_all(found), "a", "b")
-        live = met.join(tree.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        open_ = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-        live = cut_lineage(live.join(open_, "key", "left_semi"))
-        last = level == LEVELS - 1
-        few = live if last else live.filter(F.col("n") <= SMALL)
-        few = few.filter("id <> head")
-        x, y = (few.select("key", F.col("id").alias(c), F.col("root").alias("r" + c)) for c in "ab")
-        cross = x.join(y, "key").filter("a < b AND ra <> rb").select("a", "b").distinct()
-        found.append(cut_lineage(_confirm(cross, reps, texts, k, percent)))
-        many = live.filter(F.col("n") > SMALL)
-        if last or many.isEmpty():
-            break
-        members = cut_lineage(_buckets(many.select("key", "id").join(reps, "id"), level + 1))
-    return components(_all(found), "a", "b")
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    lot = F.struct(F.xxhash64("id").alias("lot"), "id")
+    heads = _buckets(reps).groupBy("key").agg(F.min(lot).alias("p"), F.max(lot).alias("q"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    heads = heads.select("key", F.col("p.id").alias("head"), F.col("q.id").alias("tail"), "n")
+    met = cut_lineage(_buckets(reps).join(heads, "key"))
+    want = met.select("id").distinct()
+    texts = cut_lineage(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(want, "id", "left_semi"))
+    star = met.select("id", F.explode(F.array("head", "tail")).alias("to")).filter("id <> to")
+    star = star.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+    found = cut_lineage(_confirm(star, reps, texts, k, percent))
+
+    tree = cut_lineage(linked(found).withColumnRenamed("node", "id"))
+    live = met.join(tree, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    live = cut_lineage(live.join(open_, "key", "left_semi"))
+    many = live.filter(F.col("n") > SMALL)
+    more = []
+    if not many.isEmpty():
+        family = linked(many.select(F.col("head").alias("a"), F.col("id").alias("b"))).select(F.col("node").alias("id"), F.col("root").alias("family"))
+        family = cut_lineage(family.join(many.select("id", F.col("root").alias("comp")).distinct(), "id"))
+        more.append(_families(family, reps, texts, k, percent))
+        live = live.join(family.select("id", "family"), "id", "left")
+    else:
+        live = live.withColumn("family", F.lit(None).cast("bigint"))
+    few = live.filter((F.col("n") <= SMALL) & (F.col("id") != F.col("head")) & (F.col("id") != F.col("tail")))
+    x, y = (few.select("key", F.col("id").alias(c), F.col("root").alias("r" + c), F.col("family").alias("f" + c)) for c in "ab")
+    cross = x.join(y, "key").filter("a < b AND ra <> rb AND NOT coalesce(fa = fb, false)").select("a", "b").distinct()
+    more.append(_confirm(cross, reps, texts, k, percent))
+    # what was found joins the components known so far
+    all_links = tree.select(F.col("id").alias("a"), F.col("root").alias("b"))
+    for m in more:
+        all_links = all_links.unionByName(m)
+    return linked(all_links)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
