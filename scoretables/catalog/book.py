@@ -57,13 +57,14 @@ def _(t):
     return B.number_titles(titles, books.withColumn("offset", F.lit(0)), toc, "book")
 
 
-@query("W31_order_align", """WITH RECURSIVE e AS (SELECT vec_id, list_sort(list_transform(embedding[1:8], lambda x: x::DOUBLE)) AS sx, list_sort(list_transform(embedding[9:9 + vec_id % 12], lambda x: x::DOUBLE)) AS nx FROM embeddings),
+@query("W31_order_align", """WITH RECURSIVE e AS (SELECT vec_id, list_sort(list_transform(embedding[1:20 + vec_id % 25], lambda x: x::DOUBLE)) AS sx, list_sort(list_transform(embedding[21 + vec_id % 25:], lambda x: x::DOUBLE)) AS nx FROM embeddings),
 f AS (SELECT vec_id, sx, nx, 0 AS k, 0 AS nxt, NULL::INT AS j FROM e UNION ALL SELECT vec_id, sx, nx, k + 1, CASE WHEN nxt >= len(nx) THEN nxt ELSE jj + 1 END, CASE WHEN nxt >= len(nx) THEN len(nx) - 1 ELSE jj END FROM (
  SELECT *, list_position(list_transform(nx, lambda v, i: CASE WHEN i - 1 >= nxt AND i - 1 < greatest(nxt + 1, len(nx) - (len(sx) - k - 1)) THEN abs(v - sx[k + 1]) END),
    list_min(list_transform(nx, lambda v, i: CASE WHEN i - 1 >= nxt AND i - 1 < greatest(nxt + 1, len(nx) - (len(sx) - k - 1)) THEN abs(v - sx[k + 1]) END)))::INT - 1 AS jj FROM f WHERE k < len(sx)))
 SELECT vec_id, k::BIGINT AS syllable, j::BIGINT AS note FROM f WHERE k > 0""")
 def _(t):
     d = F.col("embedding").cast("array<double>")
-    e = t.embeddings.select("vec_id", F.array_sort(F.slice(d, 1, 8)).alias("sx"), F.array_sort(F.slice(d, 9, (F.pmod("vec_id", F.lit(12)) + 1).cast("int"))).alias("nx"))
+    cut = (F.pmod("vec_id", F.lit(25)) + 20).cast("int")  # the values before it are syllables, the others notes
+    e = t.embeddings.select("vec_id", F.array_sort(F.slice(d, F.lit(1), cut)).alias("sx"), F.array_sort(F.slice(d, cut + 1, F.size(d))).alias("nx"))
     r = e.select("vec_id", F.posexplode(B.order_align(F.col("sx"), F.col("nx"))).alias("k", "note"))
     return r.select("vec_id", (F.col("k") + 1).cast(L).alias("syllable"), F.col("note").cast(L).alias("note"))

@@ -138,8 +138,8 @@ def _(t):
     return H.connected_frames(li_rects(t), ["page"], "id", ["x", "y", "w", "h"], 4.0, 3, 6.0, 3.0)
 
 
-FOUND = "SELECT o_custkey % 50 AS book, o_orderkey % 130 AS number, o_custkey % 90 AS page FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 7 < 2"
-TOC = "SELECT o_custkey % 50 AS book, o_orderkey % 120 AS number, o_custkey % 90 AS page FROM orders WHERE o_orderstatus = 'F'"
+FOUND = "SELECT o_custkey % 50 AS book, o_orderkey % 400 AS number, o_custkey % 90 AS page FROM orders WHERE o_orderstatus <> 'F'"
+TOC = "SELECT o_custkey % 50 AS book, o_orderkey % 390 AS number, o_custkey % 90 AS page FROM orders WHERE o_orderstatus = 'F'"
 
 
 @query("J9_toc_reconcile", f"""WITH f AS ({FOUND}), t AS ({TOC}), w AS (SELECT book, number, min(page) AS want FROM t GROUP BY ALL),
@@ -150,8 +150,8 @@ UNION ALL SELECT book, 'duplicate', number, NULL, NULL FROM h WHERE n > 1
 UNION ALL SELECT f.book, 'page', f.number, want, f.page FROM f JOIN w USING (book, number) WHERE want <> f.page""")
 def _(t):
     book, page = F.pmod("o_custkey", F.lit(50)).alias("book"), F.pmod("o_custkey", F.lit(90)).alias("page")
-    found = t.orders.filter((F.col("o_orderstatus") == "O") & (F.pmod("o_orderkey", F.lit(7)) < 2)).select(book, F.pmod("o_orderkey", F.lit(130)).alias("number"), page)
-    toc = t.orders.filter("o_orderstatus = 'F'").select(book, F.pmod("o_orderkey", F.lit(120)).alias("number"), page)
+    found = t.orders.filter("o_orderstatus <> 'F'").select(book, F.pmod("o_orderkey", F.lit(400)).alias("number"), page)
+    toc = t.orders.filter("o_orderstatus = 'F'").select(book, F.pmod("o_orderkey", F.lit(390)).alias("number"), page)
     return J.toc_reconcile(found, toc, "book", "number", "page")
 
 
@@ -258,7 +258,7 @@ def _(t):
     return R.upsert_latest(base, now.filter(F.pmod("key", F.lit(3)) == 0), ["key"])
 
 
-@query("J16_refrain_or_verse", """WITH l AS (SELECT conv_id, turn // 2 AS note, turn, turn % 3 AS verse, CASE WHEN length(text) % 4 = 0 THEN '' ELSE left(text, 6) END AS txt, role = 'system' AS ref, conv_id % 3 AS pass FROM conversations),
+@query("J16_refrain_or_verse", """WITH l AS (SELECT conv_id, turn // 2 AS note, turn, turn % 3 AS verse, CASE WHEN length(text) % 4 = 0 THEN '' ELSE text END AS txt, role = 'system' AS ref, conv_id % 3 AS pass FROM conversations),
 last AS (SELECT conv_id, verse, max(note) AS m FROM l WHERE txt <> '' GROUP BY ALL),
 e AS (SELECT l.*, last.m IS NULL OR l.note > last.m AS ended FROM l LEFT JOIN last ON last.conv_id = l.conv_id AND last.verse = l.pass),
 g AS (SELECT conv_id, note, arg_min(txt, turn) FILTER (verse = pass) AS own, arg_min(txt, turn) FILTER (ref) AS rf, arg_min(txt, verse*100 + turn) FILTER (txt <> '') AS low, bool_or(ended) AS ended FROM e GROUP BY ALL),
@@ -267,7 +267,7 @@ SELECT conv_id, note, nullif(word, '') AS word FROM w""")
 def _(t):
     n = F.length("text")
     l = t.conversations.select("conv_id", F.floor(F.col("turn") / 2).alias("note"), "turn", F.pmod("turn", F.lit(3)).alias("verse"),
-                               F.when(n % 4 == 0, "").otherwise(F.left("text", F.lit(6))).alias("txt"), (F.col("role") == "system").alias("ref"),
+                               F.when(n % 4 == 0, "").otherwise(F.col("text")).alias("txt"), (F.col("role") == "system").alias("ref"),
                                F.pmod("conv_id", F.lit(3)).alias("pass"))
     last = l.filter("txt <> ''").groupBy("conv_id", F.col("verse").alias("pass")).agg(F.max("note").alias("m"))
     e = l.join(last, ["conv_id", "pass"], "left").withColumn("ended", F.col("m").isNull() | (F.col("note") > F.col("m")))

@@ -63,12 +63,12 @@ def _(t):
 
 @query("T6_verse_prefix_strip", """WITH v AS (SELECT conv_id, turn, (turn + 1)::VARCHAR || '.' || CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS v FROM conversations)
 SELECT conv_id, turn, v = regexp_replace(v, '^\\d+\\.(.)', '\\1') AS kept, length(regexp_replace(v, '^\\d+\\.(.)', '\\1'))::BIGINT AS len,
-  left(regexp_replace(v, '^\\d+\\.(.)', '\\1'), 40) AS head FROM v""")
+  md5(regexp_replace(v, '^\\d+\\.(.)', '\\1')) AS digest FROM v""")
 def _(t):
     v = F.concat((F.col("turn") + 1).cast("string"), F.lit("."), F.when(F.pmod("turn", F.lit(3)) == 2, "").otherwise(F.col("text")))
     s = X.verse_prefix_strip("v")
     return t.conversations.withColumn("v", v).select(
-        "conv_id", "turn", (F.col("v") == s).alias("kept"), F.length(s).cast(L).alias("len"), F.left(s, F.lit(40)).alias("head"))
+        "conv_id", "turn", (F.col("v") == s).alias("kept"), F.length(s).cast(L).alias("len"), F.md5(s).alias("digest"))
 
 
 def pick(values, key, n=None):
@@ -83,11 +83,8 @@ def sql_list(values):
 TEMPO_HEADS = ["J = c. ", "= ", "J=ca. ", "q ＝ circa ", "歌 = ", "tempo "]
 
 
-@query("T7_metronome", f"""WITH m AS (SELECT p_partkey, {sql_list(TEMPO_HEADS)}[p_partkey % 6 + 1] || (p_size * 6)::VARCHAR AS txt FROM part),
-x AS (SELECT *, regexp_extract(txt, '[=＝]\\s*(c(?:a|irca)?\\s*\\.?\\s*)?(\\d ?\\d ?\\d?)', 2) AS b,
-  regexp_extract(txt, '[=＝]\\s*(c(?:a|irca)?\\s*\\.?\\s*)?(\\d ?\\d ?\\d?)', 1) AS ca FROM m)
-SELECT p_partkey, txt, CASE WHEN NOT regexp_matches(txt, '[㐀-鿿]') AND b <> '' AND try_cast(b AS INT) BETWEEN 30 AND 260 THEN try_cast(b AS BIGINT) END AS bpm,
- CASE WHEN NOT regexp_matches(txt, '[㐀-鿿]') AND b <> '' AND try_cast(b AS INT) BETWEEN 30 AND 260 THEN length(ca) > 0 END AS circa FROM x""")
+@query("T7_metronome", f"""WITH m AS (SELECT p_partkey, {sql_list(TEMPO_HEADS)}[p_partkey % 6 + 1] || (p_size * 6)::VARCHAR AS txt, p_size * 6 AS bpm, p_partkey % 6 AS head FROM part)
+SELECT p_partkey, txt, CASE WHEN head < 4 AND bpm BETWEEN 30 AND 260 THEN bpm::BIGINT END AS bpm, CASE WHEN head < 4 AND bpm BETWEEN 30 AND 260 THEN head <> 1 END AS circa FROM m""")
 def _(t):
     rows = t.part.select("p_partkey", F.concat(pick(TEMPO_HEADS, "p_partkey"), (F.col("p_size") * 6).cast("string")).alias("txt"))
     m = X.metronome("txt")
@@ -97,16 +94,18 @@ def _(t):
 WORDS = ["m f", "P.P.", "sfz", "D.C. al Fine", "Fine.", "To Coda", "coda", "d.s. al coda", "poco rit.", "allegro"]
 
 
-@query("T8_words", f"""WITH w AS (SELECT {sql_list(WORDS)}[p_partkey % 10 + 1] || CASE WHEN p_size % 3 = 0 THEN ' ' || p_name ELSE '' END AS txt FROM part),
-x AS (SELECT txt, lower(regexp_replace(txt, '[\\s.]', '', 'g')) AS d, lower(trim(txt)) AS l, count(*) AS n FROM w GROUP BY ALL)
-SELECT txt, CASE WHEN d IN ('ppp','pp','p','mp','mf','fff','ff','f','sfz','sf','fz','fp') THEN d END AS dynamic,
- CASE WHEN regexp_matches(l, '^(?:d\\.?\\s*[sc]\\b.*|fine\\.?|to\\s*coda.*|coda)$') THEN CASE WHEN l LIKE 'fine%' THEN 'Fine' WHEN l LIKE 'to%' THEN 'ToCoda'
-   WHEN l LIKE 'coda%' THEN 'Coda' WHEN regexp_replace(l, '[. ]', '', 'g') LIKE 'ds%' THEN 'DalSegno' ELSE 'DaCapo' END END AS jump,
- regexp_matches(l, '\\b(rit|allegro|poco|fine|coda)\\b|\\bd\\. ?[sc]\\b') AS term, n FROM x""")
+TERMS = ["fine", "coda", "d.c", "d.s", "poco", "rit", "allegro", "molto", "tempo"]
+
+
+@query("T8_words", f"""WITH k(i, dynamic, jump, stays, term) AS (VALUES (0, 'mf', NULL, false, false), (1, 'pp', NULL, false, false), (2, 'sfz', NULL, false, false),
+ (3, NULL, 'DaCapo', true, true), (4, NULL, 'Fine', false, true), (5, NULL, 'ToCoda', true, true), (6, NULL, 'Coda', false, true), (7, NULL, 'DalSegno', true, true), (8, NULL, NULL, false, true), (9, NULL, NULL, false, true)),
+w AS (SELECT p_partkey % 10 AS i, p_size % 3 = 0 AS long, CASE WHEN p_size % 3 = 0 THEN p_name END AS name FROM part)
+SELECT {sql_list(WORDS)}[i + 1] || coalesce(' ' || name, '') AS txt, CASE WHEN NOT long THEN dynamic END AS dynamic, CASE WHEN NOT long OR stays THEN jump END AS jump,
+ term OR (long AND list_has_any(string_split(lower(name), ' '), {sql_list(TERMS)})) AS term, count(*) AS n FROM w JOIN k USING (i) GROUP BY ALL""")
 def _(t):
     txt = F.concat(pick(WORDS, "p_partkey"), F.when(F.pmod("p_size", F.lit(3)) == 0, F.concat(F.lit(" "), F.col("p_name"))).otherwise(""))
     return tally(t.part.select(txt.alias("txt")), "txt", X.dynamic("txt").alias("dynamic"), X.jump("txt").alias("jump"),
-                 X.has_term("txt").alias("term"))
+                 X.has_term("txt", TERMS).alias("term"))
 
 
 CREDITS = ["词曲：", "作词: ", "编 曲：", "译配:", "打谱：", "Arr: ", "", ""]
@@ -124,10 +123,8 @@ def _(t):
 SECTIONS = ["[Verse 1]", "【副歌】", "( Chorus )", "Pre-Chorus 2", "主歌", "verses", "[Bridge", "尾声 3"]
 
 
-@query("T10_section_word", f"""WITH s AS (SELECT {sql_list(SECTIONS)}[p_partkey % 8 + 1] || CASE WHEN p_size % 5 = 0 THEN p_name ELSE '' END AS txt FROM part),
-x AS (SELECT txt, regexp_replace(regexp_replace(trim(txt), '^[【\\[（(]\\s*', ''), '\\s*[】\\]）)]$', '') AS w, count(*) AS n FROM s GROUP BY ALL)
-SELECT txt, CASE WHEN regexp_matches(w, '(?i)^(intro|verse|chorus|pre-?chorus|bridge|coda|outro|ending|interlude|solo|refrain|tag|前奏|主歌|副歌|间奏|尾奏|尾声|桥段|插曲)\\s*\\d*$')
- THEN w END AS section, n FROM x""")
+@query("T10_section_word", f"""WITH s AS (SELECT p_partkey % 8 AS i, CASE WHEN p_size % 5 = 0 THEN p_name ELSE '' END AS name FROM part)
+SELECT {sql_list(SECTIONS)}[i + 1] || name AS txt, CASE WHEN name = '' THEN ['Verse 1', '副歌', 'Chorus', 'Pre-Chorus 2', '主歌', NULL, 'Bridge', '尾声 3'][i + 1] END AS section, count(*) AS n FROM s GROUP BY ALL""")
 def _(t):
     txt = F.concat(pick(SECTIONS, "p_partkey"), F.when(F.pmod("p_size", F.lit(5)) == 0, F.col("p_name")).otherwise(""))
     return tally(t.part.select(txt.alias("txt")), "txt", X.section_word("txt").alias("section"))
@@ -150,15 +147,12 @@ def _(t):
                  p["kind"].alias("kind"), p["quality"].alias("quality"), p["bass"].alias("bass"))
 
 
-CHORD_RE = r"([#♯b♭]?[A-G][#♯b♭]?(?:maj|min|dim|aug|sus|add|m|M)?(?:\d{2,}|[02-9])?(?:sus\d*|add\d*)?(?:/[#♯b♭]?[A-G][#♯b♭]?)?)"
-SPACED_SQL = (
-    "regexp_replace(regexp_replace(regexp_replace({x}, '(?i)D\\s*[.,·]\\s*[CS]\\s*[.,·]?(?:\\s*al\\s*[.,·]?\\s*(?:Fine|Coda))?"
-    "|\\bFine\\b|\\bTo\\s*Coda\\b', ' ', 'g'), '\\d\\s*[=＝:：]\\s*[#♯b♭]?[A-G]|(?:[#♯b♭]?[A-G]\\s*)?\\d+\\s*/\\s*\\d+', ' ', 'g'),"
-    " '[\\s()（）:：\\-–—_,.·、|]', ' ', 'g')"
-)
+CHORD_RE = f"({X.chord_pattern()})"
+SPACED_SQL = "regexp_replace({x}, '" + X.chord_noise() + "', ' ', 'g')"
+FIRST_WORDS, RIGHTS = ["the", "and", "words", "music"], ["copyright", "license", "©"]
 
 
-@query("T11_chord_coverage", f"""WITH {LINES}, s AS (SELECT doc_id, {SPACED_SQL.format(x='line')} AS sp FROM lines),
+@query("T11_chord_coverage", f"""WITH {LINES}, s AS (SELECT doc_id, {SPACED_SQL.replace('{x}', 'line')} AS sp FROM lines),
 k AS (SELECT doc_id, length(replace(sp, ' ', '')) AS total, regexp_extract_all(sp, '{CHORD_RE}', 1) AS toks FROM s),
 h AS (SELECT doc_id, total, len(toks) AS ntok, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0) AS hit FROM k)
 SELECT doc_id, sum(hit)::BIGINT AS hit, sum(total)::BIGINT AS total, sum(ntok)::BIGINT AS tokens,
@@ -170,15 +164,18 @@ def _(t):
         F.count_if(F.col("c.is_chords")).alias("chord_lines"))
 
 
-@query("T12_classify_line", f"""WITH {LINES}, s AS (SELECT lang, trim(line) AS t, {SPACED_SQL.format(x='trim(line)')} AS sp FROM lines),
-k AS (SELECT *, length(replace(sp, ' ', '')) AS total, regexp_extract_all(sp, '{CHORD_RE}', 1) AS toks FROM s),
-h AS (SELECT *, len(toks) AS ntok, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0) AS hit FROM k)
-SELECT lang, CASE WHEN (CASE WHEN ntok >= 2 THEN hit >= total*0.85 ELSE ntok = 1 AND hit = total END) THEN 'annotation'
-  WHEN regexp_matches(t, '(?i)^\\s*(?:the|and|words|music)\\b') THEN 'credit' WHEN regexp_matches(t, '(?i)^\\s*(?:copyright|license|©)') THEN 'rights'
+IS_SECTION = "regexp_replace(lower({w}), '\\s*[0-9]+$', '') IN " + str(tuple(X.SECTION_WORDS))
+
+
+@query("T12_classify_line", f"""WITH {LINES}, s AS (SELECT lang, trim(line) AS t, string_split_regex(regexp_replace(trim(line), '{X.BRACKETED}', ' ', 'g'), '\\s+') AS ws FROM lines),
+b AS (SELECT lang, t, array_to_string(list_filter(ws, lambda w, i: NOT ({IS_SECTION.replace('{w}', 'w')}) AND NOT (regexp_full_match(w, '[0-9]+') AND i > 1 AND coalesce({IS_SECTION.replace('{w}', 'ws[i - 1]')}, false))), ' ') AS bare FROM s),
+k AS (SELECT *, length(replace(sp, ' ', '')) AS total, regexp_extract_all(sp, '{CHORD_RE}', 1) AS toks FROM (SELECT *, {SPACED_SQL.replace('{x}', 'bare')} AS sp FROM b)),
+h AS (SELECT *, len(toks) AS ntok, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0) AS hit, lower(regexp_extract(t, '^(\\w+)', 1)) AS word FROM k)
+SELECT lang, CASE WHEN t <> '' AND (trim(bare) = '' OR (regexp_matches(bare, '[A-Za-z]') AND CASE WHEN ntok >= 2 THEN hit >= total*0.85 ELSE ntok = 1 AND hit = total END)) THEN 'annotation'
+  WHEN word IN ('the', 'and', 'words', 'music') THEN 'credit' WHEN word IN ('copyright', 'license') OR t LIKE '©%' THEN 'rights'
   WHEN regexp_matches(t, '[（(]\\d+[)）]\\s*$') THEN 'toc' WHEN regexp_matches(t, '[0-9)]\\s*$') THEN 'index' ELSE 'text' END AS kind, count(*) AS n FROM h GROUP BY ALL""")
 def _(t):
-    kind = X.classify_line("line", latin_credit=r"(?i)^\s*(?:the|and|words|music)\b", rights=r"(?i)^\s*(?:copyright|license|©)",
-                           index=r"[0-9)]\s*$")
+    kind = X.classify_line("line", credit=FIRST_WORDS, rights=RIGHTS, index=r"[0-9)]\s*$")
     return tally(doc_lines(t), "lang", kind.alias("kind"))
 
 
@@ -223,14 +220,13 @@ def _(t):
     return rows.select("p_partkey", X.safe_name("number", "title", width, F.col("p_partkey") + 1).alias("name"))
 
 
-@query("T17_clean_ref_lines", """WITH d AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN turn % 10 ELSE NULL END AS mm, text FROM conversations),
+@query("T17_clean_ref_lines", f"""WITH d AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN turn % 10 ELSE NULL END AS mm, text FROM conversations),
 l AS (SELECT conv_id, turn, mm, unnest(range(len(p))) AS i, unnest(p) AS line FROM (SELECT conv_id, turn, mm, string_split_regex(text, '\\r\\n|\\r|\\n') AS p FROM d)),
 s AS (SELECT *, 0 AS k FROM l WHERE mm IS NULL UNION ALL SELECT l.*, k FROM l, (VALUES (1), (2)) v(k) WHERE mm IS NOT NULL AND i = 0),
-c AS (SELECT *, trim(regexp_replace(regexp_replace(trim(line), '(?i)^[（(]?\\s*(?:副歌|副|和|合|chorus|refrain)\\s*[:：)）]\\s*', ''),
-   '^\\s*(?:\\d{1,2}|[一二三四五六七八九十])\\s*[.．、:：)）]\\s*', '')) AS clean FROM s WHERE trim(line) <> ''
-   AND NOT regexp_matches(trim(line), '(?i)^\\[[a-z]+:.*\\]$') AND NOT regexp_matches(trim(line), '(?i)^(?:歌曲|歌名|曲名|专辑|作词|作曲|词|曲|词曲|演唱|歌手|编曲|原唱|ti|ar|al|by|offset)\\s*[:：]'))
+c AS (SELECT *, trim(regexp_replace(trim(line), '^\\d{{1,2}}\\s*[.:)]\\s*', '')) AS clean FROM s WHERE trim(line) <> ''
+   AND NOT coalesce(lower(trim(CASE WHEN contains(line, ':') THEN split_part(line, ':', 1) END)) IN {tuple(X.LYRIC_META)}, false))
 SELECT conv_id, turn, i::BIGINT AS line_no, CASE k WHEN 1 THEN mm*60 + 5.5 WHEN 2 THEN mm*60 + 90 END::DOUBLE AS at_, md5(clean) AS line FROM c
-WHERE clean <> '' AND NOT regexp_matches(clean, '(?i)^(?:副歌|副|和|合|间奏|尾声|结尾|重复|重唱|独唱|齐唱|合唱|领|众|男|女|男声|女声|chorus|refrain|verse|bridge|coda|intro|outro|ending)\\s*\\d*$')""")
+WHERE clean <> '' AND regexp_replace(lower(clean), '\\s*[0-9]+$', '') NOT IN {tuple(X.LYRIC_LABELS)}""")
 def _(t):
     mm = F.pmod("turn", F.lit(10))
     stamps = F.concat(F.lit("["), mm.cast("string"), F.lit(":05.5]["), (mm + 1).cast("string"), F.lit(":30]"))

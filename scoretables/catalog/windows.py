@@ -110,7 +110,7 @@ def _(t):
 
 
 @query("W9_carried_lyric", """WITH c AS (SELECT conv_id, turn, turn::DOUBLE AS t0, turn + CASE WHEN length(text) % 5 = 0 THEN 0.5 ELSE 1 END AS t1, turn // 4 AS pass,
-  CASE WHEN role = 'user' THEN left(text, 5) END AS word, length(text) % 3 = 0 AS ext, (length(text) % 4 = 0)::INT AS st, (length(text) % 4 = 1)::INT AS en FROM conversations),
+  CASE WHEN role = 'user' THEN text END AS word, length(text) % 3 = 0 AS ext, (length(text) % 4 = 0)::INT AS st, (length(text) % 4 = 1)::INT AS en FROM conversations),
 d AS (SELECT *, sum(st - en) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM c), e AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY conv_id ORDER BY turn)) AS depth FROM d),
 f AS (SELECT *, coalesce(lag(depth) OVER w, 0) AS open_, CASE WHEN word IS NOT NULL OR NOT coalesce(lag(pass) OVER w = pass AND abs(lag(t1) OVER w - t0) < 1e-6, false) THEN 1 ELSE 0 END AS head
   FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
@@ -121,7 +121,7 @@ def _(t):
     n = F.length("text")
     notes = t.conversations.select(
         "conv_id", "turn", F.col("turn").cast("double").alias("t0"), (F.col("turn") + F.when(n % 5 == 0, 0.5).otherwise(1.0)).alias("t1"),
-        F.floor(F.col("turn") / 4).alias("pass"), F.when(F.col("role") == "user", F.left("text", F.lit(5))).alias("word"),
+        F.floor(F.col("turn") / 4).alias("pass"), F.when(F.col("role") == "user", F.col("text")).alias("word"),
         (n % 3 == 0).alias("ext"), F.when(n % 4 == 0, 1).otherwise(0).alias("st"), F.when(n % 4 == 1, 1).otherwise(0).alias("en"))
     r = Q.carried_lyric(notes, ["conv_id"], ["turn"], "t0", "t1", "pass", "word", "ext", F.col("st"), F.col("en"))
     return r.select("conv_id", "turn", "lyric")

@@ -1,38 +1,17 @@
 """Repeated stretches of a song, found without forming pairs of equal measures.
 
-Songs up to `SHORT` measures are compared diagonal by diagonal inside a task.  Longer ones go through
-suffix ranks: stretches are ranked by doubling their length, neighbours in rank order give each position its
-best partner, and a binary search over the ranks gives the length they share.
+Stretches are ranked by doubling their length, neighbours in rank order give each position its best partner, and a
+binary search over the ranks gives the length they share.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .scan import Ordered, lag, last_value, lead, next_value, row_number, running_sum, total
 
-SHORT = 2_000
-
-
-def _edges_of(codes: np.ndarray, least: int) -> dict[int, int]:
-    """Longest repeat per edge of one song; edge e lies after measure e (from 0), -1 before the first."""
-    best: dict[int, int] = {}
-    n = len(codes)
-    for d in range(1, n):
-        same = np.concatenate(([0], (codes[: n - d] == codes[d:]).astype(np.int8), [0]))
-        turns = np.flatnonzero(np.diff(same))
-        for lo, hi in zip(turns[::2], turns[1::2]):
-            if hi - lo >= least:
-                for e in (lo - 1, hi - 1, lo + d - 1, hi + d - 1):
-                    best[int(e)] = max(best.get(int(e), 0), int(hi - lo))
-    return best
-
-
 def _ranked(rows: DataFrame, song, by: list[str]) -> DataFrame:
     """(song, __pos, __rank): equal on `by` means equal rank."""
     now = F.struct(*by)
@@ -71,42 +50,26 @@ def _starts(rows: DataFrame, song, longest: int) -> DataFrame:
     return pairs.groupBy(*song, "__pos").agg(F.max("__len").alias("len"))
 
 
-def repeat_segments(rows: DataFrame, song, order, value: str, least: int = 2, short: int = SHORT) -> DataFrame:
+def repeat_segments(rows: DataFrame, song, order, value: str, least: int = 2) -> DataFrame:
     """Edges of repeated stretches: (song, edge, len) with the longest stretch that starts after or ends at the edge.
 
-    Measures count from 0, edge -1 lies before the first.  NULL values match nothing.
+    Measures count from 0, edge -1 lies before the first.  NULL values match nothing; NaN equals NaN, and -0.0 equals
+    0.0.  A NULL song is a song.
     """
-    song, order = list(song), list(order)
-    sizes = rows.groupBy(*song).agg(F.count(F.lit(1)).alias("__n"))
-    longest = sizes.agg(F.max("__n")).first()[0] or 0
-    fields = [rows.schema[s] for s in song] + [T.StructField("edge", T.LongType()), T.StructField("len", T.LongType())]
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        codes = pd.factorize(pdf[value])[0].astype(np.int64)
-        codes[codes < 0] = -1 - np.arange((codes < 0).sum())
-        best = _edges_of(codes, least)
-        out = pd.DataFrame({"edge": list(best), "len": list(best.values())}, dtype="int64")
-        for i, s in enumerate(song):
-            out.insert(i, s, pdf[s].iloc[0])
-        return out
-
-    cols = list(dict.fromkeys([*song, *order, value]))
-    if longest <= short:
-        return rows.select(*cols).groupBy(*song).applyInPandas(within, T.StructType(fields))
-    few = rows.join(sizes.filter(F.col("__n") <= short).drop("__n"), song, "left_semi")
-    many = rows.join(sizes.filter(F.col("__n") > short).drop("__n"), song, "left_semi")
-    near = few.select(*cols).groupBy(*song).applyInPandas(within, T.StructType(fields))
-    o = Ordered.of(many, song, order).add(__pos=row_number(), __size=total("sum", F.lit(1).cast("long")))
-    text = F.when(F.col(value).isNotNull(), F.concat(F.lit("="), F.to_json(F.struct(value)))).otherwise(
+    key = ["__song"]
+    # a struct is equal to another with NULLs in the same places, so joins on it keep NULL songs
+    rows = rows.withColumn("__song", F.struct(*song))
+    same = F.col(value) + 0.0 if dict(rows.dtypes)[value] in ("double", "float") else F.col(value)
+    o = Ordered.of(rows, key, list(order)).add(__pos=row_number(), __size=total("sum", F.lit(1).cast("long")))
+    text = F.when(F.col(value).isNotNull(), F.concat(F.lit("="), F.to_json(F.struct(same.alias("v"))))).otherwise(
         F.concat(F.lit("#"), F.col("__pos").cast("string")))
     o = o.with_column("__txt", text).add(__l=lag("__txt"), __r=lead("__txt"))
     base = cut_lineage(o.done().select(
-        *song, "__pos", "__size", "__txt", F.coalesce("__l", F.lit("<")).alias("__left"), F.coalesce("__r", F.lit(">")).alias("__right")))
-    fwd = _starts(base.select(*song, "__pos", "__txt", "__left"), song, longest)
-    back = base.select(*song, (F.col("__size") + 1 - F.col("__pos")).alias("__pos"), "__txt", F.col("__right").alias("__left"))
-    bwd = _starts(back, song, longest).join(base.groupBy(*song).agg(F.first("__size").alias("__size")), song)
-    far = fwd.select(*song, (F.col("__pos") - 2).alias("edge"), "len").unionByName(
-        bwd.select(*song, (F.col("__size") - F.col("__pos")).alias("edge"), "len"))
-    far = far.filter(F.col("len") >= least).groupBy(*song, "edge").agg(F.max("len").alias("len"))
-    return near.unionByName(far)
+        *key, "__pos", "__size", "__txt", F.coalesce("__l", F.lit("<")).alias("__left"), F.coalesce("__r", F.lit(">")).alias("__right")))
+    longest = base.agg(F.max("__size")).first()[0] or 0
+    fwd = _starts(base.select(*key, "__pos", "__txt", "__left"), key, longest)
+    back = base.select(*key, (F.col("__size") + 1 - F.col("__pos")).alias("__pos"), "__txt", F.col("__right").alias("__left"))
+    bwd = _starts(back, key, longest).join(base.groupBy(*key).agg(F.first("__size").alias("__size")), key)
+    out = fwd.select(*key, (F.col("__pos") - 2).alias("edge"), "len").unionByName(
+        bwd.select(*key, (F.col("__size") - F.col("__pos")).alias("edge"), "len"))
+    return out.filter(F.col("len") >= least).groupBy(*key, "edge").agg(F.max("len").alias("len")).select("__song.*", "edge", "len")

@@ -2,10 +2,9 @@
 
 A plain window sends a whole group to one task.  `Ordered` does the same work, but first asks
 (one column-pruned count per key) whether any group is larger than `max_rows`.  If none is, the
-pass is a plain window.  If some are, only those groups are cut into blocks along their order;
-each block is a window of its own, and a small table of block summaries carries the running state
-from block to block.  That table has a bounded number of rows (see `MAX_BLOCKS`), so it is
-broadcast and the rows keep their partitioning.
+pass is a plain window.  If some are, only those groups are cut into blocks of about `max_rows`
+rows along their order; each block is a window of its own, and a table of block summaries carries
+the running state from block to block, itself ordered by this class, so it may be of any size.
 
 The order must be total (no two rows of a group equal on all order columns).
 """
@@ -22,12 +21,11 @@ from ..session import cut_lineage
 
 MAX_ROWS_CONF = "scoretables.maxGroupRows"
 MAX_ROWS = 2_000_000
-MAX_BLOCKS = 2_000  # groups are only cut so finely that about this many blocks arise in all
-OVERSAMPLE = 16
+LEAST_SUMMARIES = 1_000  # block summaries of a group are cut up only beyond this number, however small max_rows is
 BLOCK = "__block"
 ALL = "__all"
-# Largest group and row count per plan asked in this session.  They only choose between two ways to the same
-# result, so a stale entry costs time, never rows.
+# Largest group and rows of the large groups, per plan and size of its inputs asked in this session.  They only
+# choose between two ways to the same result, so a stale entry costs time, never rows.
 _SIZES: dict[tuple, tuple[int, int]] = {}
 
 
@@ -100,12 +98,12 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
 class Ordered:
     """Rows grouped by `keys` and ordered by `order` (ascending), ready for passes."""
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], blocked: bool):
-        self.df, self.keys, self.order, self.blocked = df, keys, order, blocked
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], blocked: bool, max_rows: int):
+        self.df, self.keys, self.order, self.blocked, self.max_rows = df, keys, order, blocked, max_rows
 
     @classmethod
     def of(cls, df: DataFrame, keys, order, probe: DataFrame | None = None, max_rows: int | None = None) -> "Ordered":
-        """`probe`: a cheaper frame with the same keys whose group sizes stand for those of `df`."""
+        """`probe`: a cheaper frame with the same keys whose groups are at least as large as those of `df`."""
         keys, order = list(keys), list(order)
         if not keys:
             df = df.withColumn(ALL, F.lit(0))
@@ -114,41 +112,22 @@ class Ordered:
             max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
         asked = (df if probe is None else probe).select(*keys)
         counts = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        plan = (asked.sparkSession.sparkContext.applicationId, asked.semanticHash())
+        size = int(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        plan = (asked.sparkSession.sparkContext.applicationId, asked.semanticHash(), size, max_rows)
         if plan not in _SIZES:
-            got = counts.agg(F.max("__n").alias("top"), F.sum("__n").alias("all")).first()
-            _SIZES[plan] = (got["top"] or 0, got["all"] or 0)
+            got = counts.agg(F.max("__n").alias("top"), F.sum(F.when(F.col("__n") > max_rows, F.col("__n"))).alias("rows")).first()
+            _SIZES[plan] = (got["top"] or 0, got["rows"] or 0)
         top, rows = _SIZES[plan]
         if top <= max_rows:
-            return cls(df, keys, order, False)
-        limit = max(max_rows, rows // MAX_BLOCKS)
-        big = counts.filter(F.col("__n") > limit).select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+            return cls(df, keys, order, False, max_rows)
+        big = counts.filter(F.col("__n") > max_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
-        at = F.struct(*[F.col(o).alias(o) for o in order])
-        step = max(1, limit // OVERSAMPLE)
-        sample = df.join(F.broadcast(big), same, "left_semi").filter(F.pmod(F.xxhash64(*order), F.lit(step)) == 0)
-        cuts = sample.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
-            F.filter(F.sort_array(F.collect_list(at)), lambda x, i: (i + 1) % OVERSAMPLE == 0).alias("__cuts")
-        )
-        # binary search: how many cuts lie at or before the row
-        start = F.struct(F.lit(0).alias("lo"), F.size("__cuts").alias("hi"))
-
-        def halve(s, _):
-            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-            low = F.get("__cuts", mid) <= at
-            go = s["lo"] < s["hi"]
-            return F.struct(
-                F.when(go & low, mid + 1).otherwise(s["lo"]).alias("lo"),
-                F.when(go & ~low, mid).otherwise(s["hi"]).alias("hi"),
-            )
-
-        bits = (MAX_BLOCKS * OVERSAMPLE).bit_length()
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, halve, lambda s: s["lo"])
-        cut = df.join(F.broadcast(cuts), same, "left").withColumn(
-            BLOCK, F.when(F.col("__cuts").isNull(), F.lit(-1)).otherwise(found)
-        )
-        # written once: the rows before this point are not computed again for every block summary
-        return cls(cut_lineage(cut.drop("__cuts", *[f"__k_{k}" for k in keys])), keys, order, True)
+        # Ranges over keys and order: a group's rows lie in neighbouring partitions, whose numbers are its blocks.  They
+        # are written once, as the ranges come from a sample; the other groups' rows stay where they are.
+        cut = df.join(big, same, "left_semi").repartitionByRange(rows // max_rows + 1, *keys, *order)
+        cut = cut_lineage(cut.withColumn(BLOCK, F.spark_partition_id()))
+        rest = df.join(big, same, "left_anti").withColumn(BLOCK, F.lit(-1))
+        return cls(rest.unionByName(cut), keys, order, True, max_rows)
 
     # -- passes ---------------------------------------------------------------------------------
 
@@ -177,7 +156,7 @@ class Ordered:
             for name, p in passes.items():
                 got = self._local(p, False)
                 df = df.withColumn(name, got["v"] if p.kind == "lag" else got)
-            return Ordered(df, self.keys, self.order, False)
+            return Ordered(df, self.keys, self.order, False, self.max_rows)
         at = F.struct(*[F.col(o) for o in self.order])
         aggs = []
         for name, p in passes.items():
@@ -188,19 +167,12 @@ class Ordered:
                 pick = F.min_by if p.backward else F.max_by
                 aggs.append(pick(p.value, F.when(p.value.isNotNull(), at)).alias(f"__s_{name}"))
         blocks = df.filter(F.col(BLOCK) >= 0).groupBy(*self.keys, BLOCK).agg(*aggs)
-        carries = []
-        for name, p in passes.items():
-            by = Window.partitionBy(*self.keys)
-            if p.kind.startswith("total_"):
-                c = AGG[p.kind[6:]](f"__s_{name}").over(by)
-            else:
-                w = by.orderBy(F.col(BLOCK).desc() if p.backward else F.col(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
-                c = AGG[p.kind](f"__s_{name}").over(w) if p.kind in AGG else F.last(f"__s_{name}", ignorenulls=True).over(w)
-            carries.append(c.alias(f"__c_{name}"))
-        carry = cut_lineage(blocks.select(*[F.col(k).alias(f"__k_{k}") for k in self.keys], F.col(BLOCK).alias("__kb"), *carries))
+        passed = Ordered.of(cut_lineage(blocks.withColumnRenamed(BLOCK, "__kb")), self.keys, ["__kb"], max_rows=max(self.max_rows, LEAST_SUMMARIES))
+        passed = passed.add(**{f"__c_{name}": Pass(p.kind if p.kind != "lag" else "last", F.col(f"__s_{name}"), True, p.backward) for name, p in passes.items()})
+        carry = passed.df.select(*[F.col(k).alias(f"__k_{k}") for k in self.keys], "__kb", *[f"__c_{name}" for name in passes])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in self.keys])
         out = df.select("*", *[self._local(p, True).alias(f"__l_{name}") for name, p in passes.items()])
-        out = out.join(F.broadcast(carry), same & (F.col(BLOCK) == F.col("__kb")), "left")
+        out = out.join(carry, same & (F.col(BLOCK) == F.col("__kb")), "left")
         for name, p in passes.items():
             here, there = F.col(f"__l_{name}"), F.col(f"__c_{name}")
             if p.kind.startswith("total_"):
@@ -211,13 +183,13 @@ class Ordered:
                 got = _merge(p.kind, here, there)
             out = out.withColumn(name, got)
         drop = [f"__{x}_{name}" for x in "lc" for name in passes] + [f"__k_{k}" for k in self.keys] + ["__kb"]
-        return Ordered(out.drop(*drop), self.keys, self.order, True)
+        return Ordered(out.drop(*drop), self.keys, self.order, True, self.max_rows)
 
     def with_column(self, name: str, c: Column) -> "Ordered":
-        return Ordered(self.df.withColumn(name, c), self.keys, self.order, self.blocked)
+        return Ordered(self.df.withColumn(name, c), self.keys, self.order, self.blocked, self.max_rows)
 
     def filter(self, c: Column) -> "Ordered":
-        return Ordered(self.df.filter(c), self.keys, self.order, self.blocked)
+        return Ordered(self.df.filter(c), self.keys, self.order, self.blocked, self.max_rows)
 
     def done(self) -> DataFrame:
         return self.df.drop(BLOCK, ALL)

@@ -51,7 +51,7 @@ def add_depth(o: Ordered, starts: Column, ends: Column, name="depth") -> Ordered
     o = o.with_column("__delta", starts - ends).add(__sum=running_sum("__delta"))
     o = o.add(__low=running_min("__sum"))
     o = o.with_column(name, F.col("__sum") - F.least(F.lit(0), F.col("__low")))
-    return Ordered(o.df.drop("__delta", "__sum", "__low"), o.keys, o.order, o.blocked)
+    return Ordered(o.df.drop("__delta", "__sum", "__low"), o.keys, o.order, o.blocked, o.max_rows)
 
 
 def clamped_depth(df: DataFrame, keys, order, starts: Column, ends: Column, name="depth") -> DataFrame:
@@ -126,7 +126,7 @@ def islands(o: Ordered, member: Column, name: str) -> Ordered:
     """Number the stretches of consecutive members: rows that are none get numbers of their own."""
     o = o.with_column("__m", flag(member)).add(__wasm=lag("__m"))
     o = o.with_column("__new", F.when((F.col("__m") == 1) & (F.col("__wasm") == 1), 0).otherwise(1)).add(**{name: running_sum("__new")})
-    return Ordered(o.df.drop("__wasm", "__new"), o.keys, o.order, o.blocked)
+    return Ordered(o.df.drop("__wasm", "__new"), o.keys, o.order, o.blocked, o.max_rows)
 
 
 def grow_region(pages: DataFrame, book, order, seed: Column, eligible: Column, name="grown") -> DataFrame:

@@ -80,7 +80,7 @@ def near_links(rects: DataFrame, page: list[str], id_: str, x: str, y: str, w: s
             *keep, (F.lit(m) + F.col("x1")).alias("at"), F.lit(1).alias("kind"), "id", (-sy * F.col(near_y)).alias("yy"))
         right = b.filter(ends["x0"] & ends[far_y]).select(
             *page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("x0").alias("at"), F.lit(0).alias("kind"), "id", (sy * F.col(far_y)).alias("yy"))
-        o = Ordered.of(left.unionByName(right), keep, ["at", "kind", "id"], probe=b.select(*keep))
+        o = Ordered.of(left.unionByName(right), keep, ["at", "kind", "id"])
         o = o.add(mate=running_min(F.when(F.col("kind") == 0, F.col("yy"))))
         hit = o.filter((F.col("kind") == 1) & (F.col("mate") + F.col("yy") <= m)).done().select(*keep).distinct()
         there = reps.select(*page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("rep").alias("b"))

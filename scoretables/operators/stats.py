@@ -90,13 +90,13 @@ def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, p25, p50, p75 and the median absolute deviation over the median."""
     base = quantiles(df, keys, value, {"p25": floor_index(0.25), "p50": floor_index(0.5), "p75": floor_index(0.75)})
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    dev = counts.join(base.select(*keys, "p50"), keys) if keys else attach(counts, base.select("p50"))
+    dev = null_safe_join(counts, base.select(*keys, "p50"), keys)
     dev = dev.select(*keys, F.abs(F.col(value) - F.col("p50")).alias("__dev"), "__w")
     dev = dev.filter(F.col("__dev").isNotNull() & ~F.isnan("__dev") & (F.abs("__dev") != float("inf")))
     dev = dev.groupBy(*keys, "__dev").agg(F.sum("__w").alias("__m"))
     o = Ordered.of(dev, keys, ["__dev"], probe=df.select(*keys)).add(__cum=running_sum("__m"), __n=total("sum", "__m"))
     mad = o.df.groupBy(*(keys or [ALL])).agg(F.min(F.when(F.col("__cum") > F.floor(F.col("__n") / 2), F.col("__dev"))).alias("mad"))
-    out = base.join(mad, keys) if keys else attach(base, mad.drop(ALL))
+    out = null_safe_join(base, mad.drop(ALL), keys)
     ratio = F.when(F.col("p50") != 0, F.try_divide(F.col("mad"), F.abs("p50"))).otherwise(F.lit(0.0))
     return out.withColumn("mad_ratio", ratio).drop("mad")
 
@@ -111,11 +111,11 @@ def content_box(df: DataFrame, keys: list[str], x: str, y: str, w: str, h: str)
     d = df.select(*keys, F.col(x).alias("x0"), F.col(y).alias("y0"), (F.col(x) + F.col(w)).alias("x1"), (F.col(y) + F.col(h)).alias("y1"))
     box = quantile_table(d, keys, {"x0_q": ("x0", round_index(0.02)), "y0_q": ("y0", round_index(0.02)),
                                    "x1_q": ("x1", round_index(0.98)), "y1_q": ("y1", round_index(0.98))})
-    tops = d.join(box, keys) if keys else attach(d, box)
+    tops = null_safe_join(d, box, keys)
     tops = tops.select(*keys, F.when(F.col("y0") < F.col("y0_q"), F.col("y0")).alias("__head"),
                        F.when(F.col("y0") > F.col("y1_q"), F.col("y0")).alias("__foot"))
     bands = quantile_table(tops, keys, {"header_top": ("__head", round_index(0.05)), "footer_bottom": ("__foot", round_index(0.95))})
-    box = box.join(bands, keys, "left") if keys else attach(box, bands)
+    box = null_safe_join(box, bands, keys, "left")
     return box.select(
         *keys, F.col("x0_q").alias("x"), F.col("y0_q").alias("y"), (F.col("x1_q") - F.col("x0_q")).alias("w"),
         (F.col("y1_q") - F.col("y0_q")).alias("h"), "header_top", "footer_bottom")
@@ -141,29 +141,29 @@ def gap_clusters(df: DataFrame, keys: list[str], value: str, tol, relative: bool
 def drop_noise(clusters: DataFrame, keys: list[str], share: float = 0.1, least: int = 8) -> DataFrame:
     """Keep groups (column `n`) of at least `least` members and `share` of all members under `keys`."""
     sums = clusters.groupBy(*keys).agg(F.sum("n").alias("__all"))
-    rows = clusters.join(sums, keys) if keys else attach(clusters, sums)
+    rows = null_safe_join(clusters, sums, keys)
     return rows.filter(F.col("n") >= F.greatest(F.lit(least), F.col("__all") * share)).drop("__all")
 
 
 def families(df: DataFrame, keys: list[str], size: str, width: str, y: str, tol: float = 0.06, share: float = 0.001) -> DataFrame:
     """Per size cluster: centre, range, count, median width and the y spread; noise clusters left out."""
     lab = gap_clusters(df, keys, size, tol, relative=True).drop("n")
-    rows = df.join(lab, [*keys, size])
+    rows = null_safe_join(df, lab, [*keys, size])
     by = [*keys, "cluster"]
     span = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"))
     mids = quantile_table(rows, by, {
         "center": (size, median_index), "mid_width": (width, round_index(0.5)), "y10": (y, round_index(0.1)),
         "y50": (y, round_index(0.5)), "y90": (y, round_index(0.9))})
-    return drop_noise(span.join(mids, by), keys, share)
+    return drop_noise(null_safe_join(span, mids, by), keys, share)
 
 
 def body_rows(df: DataFrame, keys: list[str], height: str, share: float = 0.72) -> DataFrame:
     """Rows at least `share` as tall as the body of their line (the median of the upper half of the heights)."""
     pos = df.filter(F.col(height) > 0)
     med = quantiles(pos, keys, height, {"__mid": floor_index(0.5)}).drop("n")
-    upper = pos.join(med, keys).filter(F.col(height) >= F.col("__mid"))
+    upper = null_safe_join(pos, med, keys).filter(F.col(height) >= F.col("__mid"))
     top = quantiles(upper, keys, height, {"body": floor_index(0.5)}).drop("n")
-    return pos.join(top, keys).filter(F.col(height) >= F.col("body") * share)
+    return null_safe_join(pos, top, keys).filter(F.col(height) >= F.col("body") * share)
 
 
 def two_class_split(df: DataFrame, keys: list[str], value: str, height: str, ratio: float = 2.5) -> DataFrame:
@@ -188,7 +188,7 @@ def two_class_split(df: DataFrame, keys: list[str], value: str, height: str, rat
         F.max_by(F.struct((m1 - m0).alias("d"), F.sqrt(F.col("__prev") * F.col(value)).alias("cut")),
                  F.when(F.col("__score") >= 0, F.struct(F.col("__score"), -F.col(value)))).alias("__b"))
     inf = F.lit(float("inf"))
-    out = groups.join(best, keys, "left")
+    out = null_safe_join(groups, best, keys, "left")
     cut = F.when(F.coalesce(F.col("__n"), F.lit(0)) < 2, F.col("__h") * 0.3).when(
         F.col("__b").isNull() | (F.col("__b.d") < F.log(F.lit(ratio))), inf).otherwise(F.col("__b.cut"))
     return out.select(*keys, cut.alias("boundary"))

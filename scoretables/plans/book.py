@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.votes import region_offset
 
@@ -21,36 +17,29 @@ def expected_pages(pages: DataFrame, book: str, index: str, printed: str, titles
     return rows.withColumn("page", F.when(F.array_contains(candidates, want), want).otherwise(F.col(printed)))
 
 
-def longest_non_decreasing(values: list[int]) -> set[int]:
-    """Places of one longest non-decreasing subsequence."""
-    tails: list[int] = []  # values ending a subsequence of each length
-    ends: list[int] = []
-    back = []
-    for i, v in enumerate(values):
-        at = bisect_right(tails, v)
-        tails[at:at + 1] = [v]
-        ends[at:at + 1] = [i]
-        back.append(ends[at - 1] if at else -1)
-    keep, i = set(), ends[-1] if ends else -1
-    while i >= 0:
-        keep.add(i)
-        i = back[i]
-    return keep
-
-
 def monotone_keep(toc: DataFrame, book: str, number: str, page: str) -> DataFrame:
     """Contents entries with `keep`: false for those whose page breaks the rising order.
 
     One row per book and song number, so a group is as long as the book's list of songs, whatever the votes were.
+    Every entry prolongs the longest chain of earlier entries that ends on no later page; the longest chain is kept,
+    of equal ones the one that ends last.
     """
-    fields = [toc.schema[c] for c in (book, number, page)] + [T.StructField("keep", T.BooleanType())]
+    entries = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), F.col(page).alias("p"))))
+    books = toc.groupBy(book).agg(entries.alias("__entries"))
+    chain = "array<" + dict(toc.dtypes)[number] + ">"
+    of_page = "struct<p:" + dict(toc.dtypes)[page] + ",chain:" + chain + ">"
+    nothing = F.array().cast(chain)
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(number, ignore_index=True)
-        kept = longest_non_decreasing(pdf[page].tolist())
-        return pdf.assign(keep=[i in kept for i in range(len(pdf))])
+    def longest(chains):
+        return F.aggregate(chains, nothing, lambda best, x: F.when(F.size(x["chain"]) >= F.size(best), x["chain"]).otherwise(best))
 
-    return toc.select(book, number, page).groupBy(book).applyInPandas(mark, T.StructType(fields))
+    def prolong(chains, e):
+        before = longest(F.filter(chains, lambda x: x["p"] <= e["p"]))
+        return F.array_append(chains, F.struct(e["p"].alias("p"), F.array_append(before, e["n"]).alias("chain")).cast(of_page))
+
+    kept = longest(F.aggregate("__entries", F.array().cast(f"array<{of_page}>"), prolong))
+    rows = books.select(book, kept.alias("__kept"), F.explode("__entries").alias("__e"))
+    return rows.select(book, F.col("__e.n").alias(number), F.col("__e.p").alias(page), F.array_contains("__kept", F.col("__e.n")).alias("keep"))
 
 
 def number_titles(titles: DataFrame, offsets: DataFrame, toc: DataFrame, book: str) -> DataFrame:
@@ -60,43 +49,39 @@ def number_titles(titles: DataFrame, offsets: DataFrame, toc: DataFrame, book: s
     A number read stands if the contents list it on this page, or if it goes on from the last one by at most six
     and its listed page is within one.  Else the list decides by place, then its next free number, else the last
     number plus one.  `how` is `read`, `listed` or `next`.
+
+    What a title needs to know of the list comes to it by joins; the numbers then follow in one pass over the array of
+    a book's titles.
     """
-    ids = titles.select(book).schema[book]
-    out = T.StructType([ids, T.StructField("page", T.LongType()), T.StructField("k", T.LongType()), T.StructField("number", T.LongType()), T.StructField("how", T.StringType())])
-    t = titles.join(offsets, book, "left").select(book, F.lit(0).alias("kind"), F.col("page").cast("bigint").alias("page"), F.col("k").cast("bigint").alias("k"), F.col("read").cast("bigint").alias("read"), F.col("offset").cast("bigint").alias("offset"))
-    c = toc.select(book, F.lit(1).alias("kind"), F.col("at").cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("k"), F.col("number").cast("bigint").alias("read"), F.lit(None).cast("bigint").alias("offset"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        listed = pdf[pdf.kind == 1].sort_values("read")
-        at = dict(zip(listed.read, listed.page))
-        by_page: dict = {}
-        for n, p in at.items():
-            by_page.setdefault(p, []).append(n)
-        rows, prev = [], 0
-        for page, group in pdf[pdf.kind == 0].sort_values(["page", "k"]).groupby("page", sort=True):
-            off = group.offset.iloc[0]
-            printed = None if pd.isna(off) else page - off
-            expect = list(by_page.get(printed, []))
-            left = list(expect)
-            for j, (k, read) in enumerate(zip(group.k, group.read)):
-                r = None if pd.isna(read) else int(read)
-                near = r is not None and prev < r <= prev + 6 and (r not in at or printed is None or abs(at[r] - printed) <= 1)
-                free = [x for x in left if x > prev]
-                if r is not None and (r in left or near):
-                    n, how = r, "read"
-                elif len(expect) == len(group) and expect[j] > prev:
-                    n, how = expect[j], "listed"
-                elif free:
-                    n, how = free[0], "listed"
-                else:
-                    n, how = prev + 1, "next"
-                if n in left:
-                    left.remove(n)
-                rows.append((pdf[book].iloc[0], page, k, int(n), how))
-                prev = int(n)
-        return pd.DataFrame(rows, columns=[book, "page", "k", "number", "how"])
-
-    return t.unionByName(c).groupBy(book).applyInPandas(fold, out)
+    big = [F.col(x).cast("bigint").alias(x) for x in ("page", "k", "read")]
+    t = titles.join(offsets, book, "left").select(book, *big, (F.col("page") - F.col("offset")).cast("bigint").alias("printed"))
+    entries = toc.select(book, F.col("number").cast("bigint").alias("number"), F.col("at").cast("bigint").alias("at"))
+    on_page = entries.groupBy(book, F.col("at").alias("printed")).agg(F.sort_array(F.collect_list("number")).alias("listed"))
+    of_read = entries.select(book, F.col("number").alias("read"), F.col("at").alias("read_at"))
+    beside = Window.partitionBy(book, "page")  # the titles of one page
+    t = t.join(on_page, [book, "printed"], "left").join(of_read, [book, "read"], "left").select(
+        book, "page", "k", "read", F.coalesce("listed", F.array().cast("array<bigint>")).alias("listed"),
+        F.coalesce(F.abs(F.col("read_at") - F.col("printed")) <= 1, F.lit(True)).alias("placed"),
+        F.row_number().over(beside.orderBy("k")).alias("nth"), F.count(F.lit(1)).over(beside).alias("titles"))
+    books = t.groupBy(book).agg(F.sort_array(F.collect_list(F.struct("page", "k", "read", "listed", "placed", "nth", "titles"))).alias("__titles"))
+    done = "array<struct<page:bigint,k:bigint,number:bigint,how:string>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("open"), F.array().cast(done).alias("done"))
+
+    def give(s, x):
+        last = s["last"]
+        open_ = F.when(x["nth"] == 1, x["listed"]).otherwise(s["open"])
+        follows = (x["read"] > last) & (x["read"] <= last + 6) & x["placed"]
+        own = F.get(x["listed"], x["nth"] - 1)
+        choice = F.coalesce(
+            F.when(F.array_contains(open_, x["read"]) | follows, F.struct(x["read"].alias("number"), F.lit("read").alias("how"))),
+            F.when((F.size(x["listed"]) == x["titles"]) & (own > last), F.struct(own.alias("number"), F.lit("listed").alias("how"))),
+            F.get(F.transform(F.slice(F.filter(open_, lambda n: n > last), 1, 1), lambda n: F.struct(n.alias("number"), F.lit("listed").alias("how"))), F.lit(0)),
+            F.struct((last + 1).alias("number"), F.lit("next").alias("how")))
+        row = F.struct(x["page"].alias("page"), x["k"].alias("k"), choice["number"].alias("number"), choice["how"].alias("how"))
+        return F.struct(choice["number"].alias("last"), F.filter(open_, lambda n: n != choice["number"]).alias("open"), F.array_append(s["done"], row).cast(done).alias("done"))
+
+    rows = books.select(book, F.explode(F.aggregate("__titles", start, give, lambda s: s["done"])).alias("__r"))
+    return rows.select(book, "__r.*")
 
 
 def order_align(syllables: Column, notes: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,13 @@ def local_session(app: str = "scoretables", cores: str | None = None) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one of our own only where none is set."""
-    return (
-        spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        or spark.conf.get("spark.checkpoint.dir", None)
-        or os.path.join(tempfile.gettempdir(), "scoretables-checkpoint")
-    )
+    """The folder the session names in spark.checkpoint.dir; one of our own only in a local session without it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "scoretables-checkpoint")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

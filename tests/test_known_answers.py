@@ -83,6 +83,15 @@ def test_words(spark):
     assert list(r)[3:] == ["mf", "DaCapo", 4, 6, "open", "Han", "副歌"]
 
 
+def test_credits_and_terms(spark):
+    small = F.lit(True)
+    r = one(spark, X.is_credit(F.lit("希伯词 1826")), X.is_credit(F.lit("希伯, 1826"), smaller=small), X.is_credit(F.lit("某某 曲"), smaller=small), X.is_credit(F.lit("爱曲")),
+            X.creator_type(F.lit("编 曲：某")), X.creator_type(F.lit("某某 作词")), X.creator_type(F.lit("某（词")), X.has_term(F.lit("poco rit."), ["rit"]), X.has_term(F.lit("D. C. al"), ["d.c"]),
+            X.has_term(F.lit("writ"), ["rit"]), X.metronome(F.lit("a=b = circa 7 2")), X.jump(F.lit("D C")), X.jump(F.lit("scoda")))
+    assert list(r)[:10] == [False, True, True, False, "arranger", "lyricist", "composer", True, True, False]
+    assert tuple(r[10]) == (72, True) and r[11] == "DaCapo" and r[12] is None
+
+
 def test_chords(spark):
     p = one(spark, X.chord_parse(F.lit("F#m7/C#")), X.chord_normalize(F.lit("CM")), X.chord_normalize(F.lit("C♯SUS4")),
             X.chord_coverage(F.lit("C#mF#mBm7E"))["is_chords"], X.chord_coverage(F.lit("still"))["is_chords"], X.chord_coverage(F.lit("Em F.C/E G"))["is_chords"])
@@ -91,7 +100,8 @@ def test_chords(spark):
 
 
 def test_line_kinds(spark):
-    kinds = {"词：某人": "credit", "Words by X": "credit", "Copyright 1990": "rights", "12 圣哉（35）": "toc", "圣哉三一 156": "index", "我的神": "text", "C#mF#mBm7E": "annotation"}
+    kinds = {"词：某人": "credit", "Words by X": "credit", "Copyright 1990": "rights", "12 圣哉（35）": "toc", "圣哉三一 156": "index", "我的神": "text", "C#mF#mBm7E": "annotation",
+             "[Verse 1]": "annotation", "副歌": "annotation", "Chorus 2 Am G": "annotation", "词，曲：某": "credit", "music": "credit", "musical": "text", "(c) 1999 X": "rights"}
     got = one(spark, *[X.classify_line(F.lit(k)) for k in kinds])
     assert list(got) == list(kinds.values())
 
@@ -102,6 +112,9 @@ def test_index_pairs(spark):
 
 
 def test_reference_lyrics_in_time_order(spark):
+    rows = [("b", "【副歌】主啊\n[Chorus]\n我（1）信（阿们）\n副歌：爱\n二、光 1\n词曲：某")]
+    got = X.clean_ref_lines(spark.createDataFrame(rows, "doc string, text string"), "doc", "text").orderBy("line_no").collect()
+    assert [r.line for r in got] == ["主啊", "我信（阿们）", "爱", "光 1"]
     text = "[ti:name]\n[00:10.5][00:40]1. 我主\n[00:20]副歌\n[00:30]（副歌）你好"
     df = spark.createDataFrame([("d", text), ("e", "作词：某\n一、主爱\n\nverse 2")], "doc string, text string")
     got = [(r.doc, r.at, r.line) for r in X.clean_ref_lines(df, "doc", "text").orderBy("doc", "at", "line_no").collect()]

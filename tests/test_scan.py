@@ -44,3 +44,36 @@ def test_statistics_without_keys(skewed):
     box = S.content_box(d, [], "x", "y", "w", "h").first()
     assert (box.y, box.h) == (60.0, 2941.0 - 60.0)
     assert S.drop_noise(S.gap_clusters(d, [], "x", 0.5), [], 0.01).count() == 40
+
+
+def test_statistics_keep_the_null_group(spark):
+    rows = [(g, float(v), 2.0, float(v)) for g in (None, "a") for v in (1, 2, 2, 3, 30, 31)]
+    d = spark.createDataFrame(rows, "g string, x double, w double, y double")
+    both = {None, "a"}
+    assert {r.g for r in S.summarize(d, ["g"], "x").collect()} == both
+    box = S.content_box(d.withColumn("h", F.lit(1.0)), ["g"], "x", "y", "w", "h").collect()
+    assert {r.g for r in box} == both
+    assert {r.g for r in S.body_rows(d, ["g"], "x").collect()} == both
+    assert {r.g for r in S.families(d.withColumn("h", F.lit(1.0)), ["g"], "x", "w", "y").collect()} <= both
+    cut = {r.g: r.boundary for r in S.two_class_split(d.withColumn("h", F.lit(10.0)), ["g"], "x", "h").collect()}
+    assert cut[None] == cut["a"] and cut["a"] > 3
+
+
+def test_summaries_of_blocks_are_cut_up_too(skewed, monkeypatch):
+    from scoretables.operators import scan
+
+    monkeypatch.setattr(scan, "LEAST_SUMMARIES", 5)
+    passes = dict(s=running_sum("v"), sb=running_sum("v", backward=True), last=last_value("v"), p=lag("v"), all=total("sum", "v"))
+    plain = Ordered.of(skewed, ["g"], ["t", "id"], max_rows=10**6).add(**passes).done()
+    got = Ordered.of(skewed, ["g"], ["t", "id"], max_rows=60).add(**passes).done()
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_rows_of_played_measures_are_counted(tiny_groups):
+    from scoretables.plans.timeline import played_measures
+
+    spark = tiny_groups
+    measures = spark.createDataFrame([(1, m, 4.0) for m in range(40)], "song int, measure int, len double")
+    passes = spark.createDataFrame([(1, p, 0, 40, 1, 0.0, None) for p in range(20)], "song int, pass_ix int, mid int, end_mid int, pass int, offset double, until double")
+    out = played_measures(passes, measures, ["song"])
+    assert out.count() == 800 and out.agg(F.max("onset")).first()[0] == 799 * 4.0
