@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import Ordered, last_value, next_value
+from .scan import Ordered, last_value, lead, next_value
+from .stats import attach
 
 
 def resolve_marks(marks: DataFrame, elements: DataFrame, doc: list[str], start: str, end: str, element: str, pos: str) -> DataFrame:
@@ -25,17 +26,45 @@ def buckets(lo: Column, hi: Column, width) -> Column:
     return F.sequence(F.floor(lo / width), F.floor(hi / width))
 
 
+def _level(length: Column, width) -> Column:
+    """0 for lengths up to `width`, one more for each doubling: an interval touches two buckets of its level's size, or
+    a third by its end."""
+    return F.when(length > width, F.ceil(F.log2(length / width))).otherwise(0).cast("int")
+
+
+def _levels(*columns: tuple[DataFrame, Column]) -> list[int]:
+    """The levels that occur, a few dozen at most whatever the lengths."""
+    found = set()
+    for df, level in columns:
+        found |= set(df.agg(F.collect_set(level).alias("l")).first()["l"])
+    return sorted(found) or [0]
+
+
+def _spread(df: DataFrame, lo: Column, hi: Column, width, levels: Column) -> DataFrame:
+    """Rows once for each bucket (`__lv`, `__bk`) that [lo, hi] touches at the given levels."""
+    rows = df.withColumn("__lv", F.explode(levels))
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("__lv"))
+    return rows.withColumn("__bk", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
+
+
 def overlap_join(notes: DataFrame, bars: DataFrame, keys: list[str], note: tuple[str, str], bar: tuple[str, str], width) -> DataFrame:
     """Every note with every bar it overlaps, clipped to the bar (`from_`, `to_`); ranges are half open.
 
-    Both sides are cut into buckets of `width` (about a bar); a pair meets in the first bucket they share only.
+    Buckets start at `width` (about a bar) and double by level.  A range enters the buckets of its own level and of the
+    longer levels that occur, so one very long range costs a few rows.  A pair meets at the longer one's level, in the
+    first bucket they share.
     """
-    n = notes.withColumn("__bk", F.explode(buckets(F.col(note[0]), F.col(note[1]), width)))
-    b = bars.withColumn("__bk", F.explode(buckets(F.col(bar[0]), F.col(bar[1]), width)))
-    first = F.greatest(F.floor(F.col(note[0]) / width), F.floor(F.col(bar[0]) / width))
-    met = n.join(b, [*keys, "__bk"]).filter(
-        (F.col("__bk") == first) & (F.col(note[1]) > F.col(bar[0])) & (F.col(note[0]) < F.col(bar[1])))
-    return met.withColumn("from_", F.greatest(note[0], bar[0])).withColumn("to_", F.least(note[1], bar[1])).drop("__bk")
+    n_level, b_level = _level(F.col(note[1]) - F.col(note[0]), width), _level(F.col(bar[1]) - F.col(bar[0]), width)
+    levels = F.array(*[F.lit(x) for x in _levels((notes, n_level), (bars, b_level))])
+    n = notes.withColumn("__nl", n_level)
+    n = _spread(n, F.col(note[0]), F.col(note[1]), width, F.filter(levels, lambda x: x >= F.col("__nl")))
+    b = bars.withColumn("__bl", b_level)
+    b = _spread(b, F.col(bar[0]), F.col(bar[1]), width, F.filter(levels, lambda x: x >= F.col("__bl")))
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("__lv"))
+    first = F.greatest(F.floor(F.col(note[0]) / size), F.floor(F.col(bar[0]) / size))
+    met = n.join(b, [*keys, "__lv", "__bk"]).filter(
+        (F.col("__lv") == F.greatest("__nl", "__bl")) & (F.col("__bk") == first) & (F.col(note[1]) > F.col(bar[0])) & (F.col(note[0]) < F.col(bar[1])))
+    return met.withColumn("from_", F.greatest(note[0], bar[0])).withColumn("to_", F.least(note[1], bar[1])).drop("__bk", "__lv", "__nl", "__bl")
 
 
 def asof_attr(rows: DataFrame, changes: DataFrame, keys: list[str], pos: str, id_: str, at: str, change_id: str, values: dict, tol=0) -> DataFrame:
@@ -67,10 +96,16 @@ def prev_next_neighbor(heads: DataFrame, entries: DataFrame, page: list[str], y:
 def point_in_range(points: DataFrame, spans: DataFrame, keys: list[str], pos: str, lo: str, hi: str, always: Column, order: str, *keep: str) -> DataFrame:
     """Each point with the first span (by `order`) that holds it; spans marked `always` hold every point.
 
-    Spans with bounds are spread over the positions they cover, so the join is on equality.
+    Positions may be fractions.  A span enters the two or three buckets of its length's level, a position one bucket of
+    each level that occurs.
     """
     s = spans.select(*keys, F.struct(order, *keep).alias("__s"), always.alias("__a"), F.col(lo).alias("__lo"), F.coalesce(hi, lo).alias("__hi"))
-    fixed = s.filter(~F.col("__a") & (F.col("__hi") >= F.col("__lo"))).withColumn(pos, F.explode(F.sequence("__lo", "__hi")))
+    bound = s.filter(~F.col("__a") & (F.col("__hi") >= F.col("__lo")))
+    level = _level(F.col("__hi") - F.col("__lo"), 1)
+    levels = F.array(*[F.lit(x) for x in _levels((bound, level))])
+    bound = _spread(bound, F.col("__lo"), F.col("__hi"), 1, F.array(level))
+    spots = _spread(points.select(*keys, pos).distinct(), F.col(pos), F.col(pos), 1, levels)
+    fixed = spots.join(bound, [*keys, "__lv", "__bk"]).filter(F.col(pos).between(F.col("__lo"), F.col("__hi")))
     fixed = fixed.groupBy(*keys, pos).agg(F.min_by("__s", f"__s.{order}").alias("__f"))
     free = s.filter("__a").groupBy(*keys).agg(F.min_by("__s", f"__s.{order}").alias("__r"))
     met = points.join(fixed, [*keys, pos], "left").join(free, keys, "left")
@@ -82,15 +117,20 @@ def point_in_range(points: DataFrame, spans: DataFrame, keys: list[str], pos: st
 def containment_join(frames: DataFrame, lines: DataFrame, page: list[str], frame: list[str], line: list[str], tol: float, cell: float) -> DataFrame:
     """Lines that lie inside a frame (within `tol`).  `frame` and `line` name x, y, w, h.
 
-    Frames are spread over grid cells; a line looks only in the cell of its own corner.
+    Frames are spread over the few cells of a grid whose cells are as large as they are (`cell` at least, doubling); a
+    line looks in the cell of its own corner in each grid that occurs.
     """
     fx, fy, fw, fh = map(F.col, frame)
     lx, ly, lw, lh = map(F.col, line)
-    f = frames.withColumn("__cx", F.explode(buckets(fx - tol, fx + fw + tol, cell)))
-    f = f.withColumn("__cy", F.explode(buckets(fy - tol, fy + fh + tol, cell)))
-    ln = lines.withColumn("__cx", F.floor(lx / cell)).withColumn("__cy", F.floor(ly / cell))
+    level = _level(F.greatest(fw, fh) + 2 * tol, cell)
+    levels = F.array(*[F.lit(x) for x in _levels((frames, level))])
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("__lv"))
+    f = _spread(frames, fx - tol, fx + fw + tol, cell, F.array(level)).withColumnRenamed("__bk", "__cx")
+    f = f.withColumn("__cy", F.explode(F.sequence(F.floor((fy - tol) / size), F.floor((fy + fh + tol) / size))))
+    ln = lines.withColumn("__lv", F.explode(levels))
+    ln = ln.withColumn("__cx", F.floor(lx / size)).withColumn("__cy", F.floor(ly / size))
     inside = (lx >= fx - tol) & (ly >= fy - tol) & (lx + lw <= fx + fw + tol) & (ly + lh <= fy + fh + tol)
-    return f.join(ln, [*page, "__cx", "__cy"]).filter(inside).drop("__cx", "__cy")
+    return f.join(ln, [*page, "__lv", "__cx", "__cy"]).filter(inside).drop("__lv", "__cx", "__cy")
 
 
 def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFrame:
@@ -101,11 +141,15 @@ def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFram
     """
     by_ch = rules.groupBy("ch").agg(
         F.sort_array(F.collect_list(F.struct("rule_no", "prev2", "prev", "next", "at_end", "fixed"))).alias("__rules"))
-    line = F.col(text)
-    rows = df.select(*keep, line.alias("__line"), F.posexplode(F.split(line, "")).alias("pos", "ch")).join(by_ch, "ch")
-    n, pos = F.length("__line"), F.col("pos")
-    at = lambda i: F.when((i >= 0) & (i < n), F.substring("__line", i + 1, F.lit(1)))
-    rows = rows.select(*keep, "pos", "ch", "__rules", at(pos - 2).alias("p2"), at(pos - 1).alias("p1"), at(pos + 1).alias("nx"), (pos == n - 1).alias("end"))
+    # each character takes its neighbours along, not its line
+    chars = F.split(F.col(text), "")
+
+    def near(ch, i):
+        at = lambda k: F.get(F.col("__chars"), i + k)
+        return F.struct(i.alias("pos"), ch.alias("ch"), at(-2).alias("p2"), at(-1).alias("p1"), at(1).alias("nx"), (i == F.size("__chars") - 1).alias("end"))
+
+    rows = df.select(*keep, chars.alias("__chars")).select(*keep, F.explode(F.transform("__chars", near)).alias("__c"))
+    rows = rows.select(*keep, "__c.*").join(by_ch, "ch")
     fits = F.filter("__rules", lambda r: reduce(lambda a, b: a & b, [
         r[c].isNull() | F.coalesce(r[c] == F.col(v), F.lit(False)) for c, v in (("prev2", "p2"), ("prev", "p1"), ("next", "nx"), ("at_end", "end"))]))
     rows = rows.select(*keep, "pos", "ch", F.get(fits, F.lit(0))["fixed"].alias("fixed"))
@@ -114,23 +158,25 @@ def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFram
 
 def cascade(rules: DataFrame, contexts: DataFrame, conditions: list[str], order: str, props: list[str]) -> DataFrame:
     """Style of each distinct context: a rule applies where all its non-null conditions equal; per property the
-    rule latest in `order` wins.  One equi-join per kind of rule (which conditions it states)."""
+    rule latest in `order` wins.
+
+    Rules that state the same conditions with the same values are one before they meet a context: per property the
+    latest of them.  Then there is one equi-join for each set of stated conditions.
+    """
     ctx = contexts.select(*conditions).distinct()
+    last = [F.max(F.when(F.col(p).isNotNull(), F.struct(F.col(order).alias("o"), F.col(p).alias("v")))).alias(f"__{p}") for p in props]
     parts = []
-    types = dict(rules.dtypes)
     for bits in range(2 ** len(conditions)):
         on = [c for i, c in enumerate(conditions) if bits >> i & 1]
         kind = reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in on else F.col(c).isNull() for c in conditions])
-        r = rules.filter(kind).select(*on, order, *props)
+        r = rules.filter(kind)
         if on:
-            parts.append(ctx.join(r, on).select(*conditions, order, *props))
-            continue
-        for p in props:  # rules for every context: the last one that sets the property
-            last = r.filter(F.col(p).isNotNull())
-            value = {order: last.agg(F.max(order)).scalar(), p: last.agg(F.max_by(p, order)).scalar()}
-            parts.append(ctx.select(*conditions, value[order].alias(order), *[value.get(q, F.lit(None).cast(types[q])).alias(q) for q in props]))
+            parts.append(ctx.join(r.groupBy(*on).agg(*last), on).select(*conditions, *[f"__{p}" for p in props]))
+        else:
+            parts.append(attach(ctx, r.agg(*last)))
     met = reduce(lambda a, b: a.unionByName(b), parts)
-    return met.groupBy(*conditions).agg(*[F.max_by(p, F.when(F.col(p).isNotNull(), F.col(order))).alias(p) for p in props])
+    best = met.groupBy(*conditions).agg(*[F.max(f"__{p}").alias(f"__{p}") for p in props])
+    return best.select(*conditions, *[F.col(f"__{p}.v").alias(p) for p in props])
 
 
 def capability_loss(used: DataFrame, caps: DataFrame, target: str, feature: str) -> DataFrame:
@@ -210,12 +256,19 @@ def toc_reconcile(found: DataFrame, toc: DataFrame, book: str, number: str, page
     missing: in 1..largest entry but not found; extra: found but not listed (in books that list any); duplicate:
     found more than once; page: listed on another page than found.
     """
-    top = toc.groupBy(book).agg(F.max(number).alias("__top"))
+    top = toc.groupBy(book).agg(F.max(number).cast("bigint").alias("__top"))
     have = found.groupBy(book, number).agg(F.count(F.lit(1)).alias("__n"))
-    all_ = top.select(book, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__top"))).alias(number))
     none = F.lit(None).cast("bigint")
     want = toc.groupBy(book, number).agg(F.min(page).alias("__want"))
-    missing = all_.join(have, [book, number], "left_anti").join(want, [book, number], "left").select(
+    # holes lie between neighbouring found numbers, 0 and the number after the last listed one
+    marks = have.select(book, F.col(number).cast("bigint").alias("__at")).join(top, book).filter((F.col("__at") > 0) & (F.col("__at") <= F.col("__top")))
+    ends = top.select(book, F.explode(F.array(F.lit(0).cast("bigint"), F.col("__top") + 1)).alias("__at"))
+    o = Ordered.of(marks.select(book, "__at").unionByName(ends).distinct(), [book], ["__at"]).add(__next=lead("__at"))
+    holes = o.done().filter(F.col("__next") > F.col("__at") + 1)
+    piece = 1000  # numbers of a hole made from one row
+    holes = holes.withColumn("__lo", F.explode(F.sequence(F.col("__at") + 1, F.col("__next") - 1, F.lit(piece))))
+    missing = holes.select(book, F.explode(F.sequence("__lo", F.least(F.col("__lo") + piece - 1, F.col("__next") - 1))).alias(number))
+    missing = missing.join(want, [book, number], "left").select(
         book, F.lit("missing").alias("kind"), number, F.col("__want").alias("want_page"), none.alias("page"))
     extra = have.join(top.select(book), book, "left_semi").join(want, [book, number], "left_anti").select(
         book, F.lit("extra").alias("kind"), number, none.alias("want_page"), none.alias("page"))

@@ -35,7 +35,9 @@ def exact_then_fuzzy(objs: DataFrame, shapes: DataFrame, obj: str, key: str, sig
 
     Equal keys meet in an equi-join.  The rest are looked up once per distinct signature: two signatures no more
     than `max_dist` bits apart agree in full on at least one of more than `max_dist` pieces, so they meet on that
-    piece; the signature must have more than `max_dist` pieces of `width` bits.  The nearest wins, then the lower label.
+    piece; the signature must have more than `max_dist` pieces of `width` bits.  Of its pieces a signature asks only for
+    the `max_dist` + 1 that fewest shapes have, as one of any so many must agree; a blank piece that most shapes share
+    is not among them.  The nearest wins, then the lower label.
     """
     first = shapes.groupBy(key).agg(F.min(label).alias(label))
     met = objs.join(first, key, "left")
@@ -44,7 +46,10 @@ def exact_then_fuzzy(objs: DataFrame, shapes: DataFrame, obj: str, key: str, sig
     want = miss.select(sig).distinct().select(F.col(sig).alias("__a"), F.explode(_bands(F.col(sig), width)).alias("__k"))
     have = shapes.groupBy(sig).agg(F.min(label).alias(label)).select(
         F.col(sig).alias("__b"), label, F.explode(_bands(F.col(sig), width)).alias("__k"))
-    near = want.join(have, "__k").withColumn("dist", hamming(F.col("__a"), F.col("__b"))).filter(F.col("dist") <= max_dist)
+    often = have.groupBy("__k").agg(F.count(F.lit(1)).alias("__n"))
+    asked = want.join(often, "__k", "left").groupBy("__a").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__k").alias("k")))).alias("__ks"))
+    want = asked.select("__a", F.explode(F.slice("__ks", 1, max_dist + 1)).alias("__p")).filter("__p.n > 0").select("__a", F.col("__p.k").alias("__k"))
+    near = want.join(have, "__k").groupBy("__a", "__b").agg(F.min(label).alias(label)).withColumn("dist", hamming(F.col("__a"), F.col("__b"))).filter(F.col("dist") <= max_dist)
     best = near.groupBy(F.col("__a").alias(sig)).agg(F.min(F.struct("dist", label)).alias("__m"))
     fuzzy = miss.join(best, sig).select(obj, f"__m.{label}", "__m.dist")
     return hits.unionByName(fuzzy)

@@ -17,9 +17,11 @@ def expand_passes(passes: DataFrame, measures: DataFrame, song: list[str]) -> Da
     """One row per played measure.  `passes`: pass_ix, mid, end_mid (half open), pass, offset, until;
     `measures`: measure, len.  Play order is (pass_ix, measure).
 
-    Passes meet the measures of their song, so a long song is not unrolled from a single row.
+    A pass meets the blocks of measures it covers, so neither a long song nor many passes form pairs that don't play.
     """
-    met = passes.join(measures, song)
+    block = 64
+    p = passes.filter(F.col("end_mid") > F.col("mid")).withColumn("__bk", F.explode(F.sequence(F.floor(F.col("mid") / block), F.floor((F.col("end_mid") - 1) / block))))
+    met = p.join(measures.withColumn("__bk", F.floor(F.col("measure") / block)), [*song, "__bk"]).drop("__bk")
     return met.filter((F.col("measure") >= F.col("mid")) & (F.col("measure") < F.col("end_mid")))
 
 
