@@ -9,12 +9,12 @@ from ..plans.beats import beat_check
 from .pitch import L
 from .registry import query
 
-LENGTHS = "ln AS (SELECT l_orderkey, l_linenumber::BIGINT AS measure, l_suppkey % 2 AS voice, sum(l_partkey % 4 + 1)::DOUBLE AS q FROM lineitem GROUP BY ALL)"
+LENGTHS = "ln AS (SELECT l_orderkey, l_linenumber::BIGINT AS measure, l_suppkey % 2 AS voice, sum(l_partkey % 4 + 1)::DOUBLE AS q, min(l_partkey) AS seen FROM lineitem GROUP BY ALL)"
 MEASURES = """mc AS (SELECT l_orderkey, l_linenumber::BIGINT AS measure, bool_or(l_partkey % 17 = 0) AS implicit, max(CASE WHEN l_suppkey % 5 = 0 THEN 3.0 WHEN l_suppkey % 5 = 1 THEN 4.0 END) AS chg FROM lineitem GROUP BY ALL),
 ms AS (SELECT *, coalesce(last_value(chg IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY measure ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4.0) AS w FROM mc)"""
 
 
-@query("W17_beat_check", f"""WITH {LENGTHS}, {MEASURES}, mv AS (SELECT l_orderkey, measure, min(voice) AS v, arg_min(q, voice) AS got FROM ln GROUP BY ALL),
+@query("W17_beat_check", f"""WITH {LENGTHS}, {MEASURES}, mv AS (SELECT l_orderkey, measure, arg_min(voice, seen * 2 + voice) AS v, arg_min(q, seen * 2 + voice) AS got FROM ln GROUP BY ALL),
 a AS (SELECT *, row_number() OVER o AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM ms JOIN mv USING (l_orderkey, measure) WINDOW o AS (PARTITION BY l_orderkey ORDER BY measure)),
 b AS (SELECT *, implicit OR abs(got - w) < 1e-6 AS ok0, got < w - 1e-6 AS sh, first_value(got) OVER z AS g1, first_value(w) OVER z AS w1, last_value(got) OVER z AS gn, last_value(w) OVER z AS wn
   FROM a WINDOW z AS (PARTITION BY l_orderkey ORDER BY measure ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
@@ -29,11 +29,11 @@ SELECT l_orderkey, measure, 'length' AS kind, w::DOUBLE AS want, got FROM k WHER
 SELECT ln.l_orderkey, ln.measure, 'voice', mv.got, ln.q FROM ln JOIN mv USING (l_orderkey, measure) WHERE voice <> v AND abs(q - mv.got) >= 1e-6""")
 def _(t):
     ln = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").cast(L).alias("measure"), F.pmod("l_suppkey", F.lit(2)).alias("voice")).agg(
-        F.sum((F.pmod("l_partkey", F.lit(4)) + 1).cast("double")).alias("q"))
+        F.sum((F.pmod("l_partkey", F.lit(4)) + 1).cast("double")).alias("q"), F.min("l_partkey").alias("seen"))
     s = F.pmod("l_suppkey", F.lit(5))
     m = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").cast(L).alias("measure")).agg(
         F.max(F.pmod("l_partkey", F.lit(17)) == 0).alias("implicit"), F.max(F.when(s == 0, 3.0).when(s == 1, 4.0)).alias("chg"))
     none = F.lit(None).cast("double")
     m = Q.carry_attr(m, ["l_orderkey"], ["measure"], F.col("chg"), none, none, F.lit(4.0), "w")
     m = m.select("l_orderkey", "measure", "implicit", F.array("w").alias("wants"))
-    return beat_check(m, ln, ["l_orderkey"], "measure", "voice", "q")
+    return beat_check(m, ln, ["l_orderkey"], "measure", "voice", "q", seen="seen")

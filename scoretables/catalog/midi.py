@@ -73,13 +73,15 @@ def _(t):
     return quantized(t).select("id", F.col("q_start").cast(L).alias("q_start"), F.col("q_end").cast(L).alias("q_end"))
 
 
-@query("W23_trim_overlaps", f"""{EV}, {NOTES}, {TRIP}, {QUANT}, st AS (SELECT part, q_start, lead(q_start) OVER (PARTITION BY part ORDER BY q_start) AS nx FROM (SELECT DISTINCT part, q_start FROM qq)),
-t1 AS (SELECT qq.part, id, pitch, qq.q_start, CASE WHEN q_end - nx > 0 AND q_end - nx <= 12 AND (q_end - nx)*4 <= q_end - qq.q_start THEN nx ELSE q_end END AS q_end FROM qq JOIN st USING (part, q_start)),
+@query("W23_trim_overlaps", f"""{EV}, {NOTES}, {TRIP}, {QUANT}, st AS (SELECT s.part, q_start, nx, CASE WHEN tb.beat IS NULL THEN 12 ELSE 16 END AS grid FROM (SELECT part, q_start, lead(q_start) OVER (PARTITION BY part ORDER BY q_start) AS nx FROM (SELECT DISTINCT part, q_start FROM qq)) s
+ LEFT JOIN tb ON tb.part = s.part AND tb.beat = floor(nx/48.0)),
+t1 AS (SELECT qq.part, id, pitch, qq.q_start, CASE WHEN q_end - nx > 0 AND q_end - nx <= grid AND (q_end - nx)*4 <= q_end - qq.q_start THEN nx ELSE q_end END AS q_end FROM qq JOIN st USING (part, q_start)),
 t2 AS (SELECT part, pitch, q_start, min(id) AS id, arg_min(q_end, id) AS q_end FROM t1 GROUP BY ALL)
 SELECT part, pitch, q_start, least(q_end, coalesce(lead(q_start) OVER (PARTITION BY part, pitch ORDER BY q_start), q_end))::BIGINT AS q_end, id FROM t2""")
 def _(t):
     q = quantized(t).select("part", "id", "pitch", F.col("q_start").cast(L).alias("q_start"), F.col("q_end").cast(L).alias("q_end"))
-    return N.trim_overlaps(q, ["part"], "q_start", "q_end", "pitch", "id", F.lit(12)).select("part", "pitch", "q_start", "q_end", "id")
+    n = ev_notes(t)
+    return N.trim_overlaps(q, ["part"], "q_start", "q_end", "pitch", "id", 12, N.triplet_beats(n, ["part"], "s", "e", 12)).select("part", "pitch", "q_start", "q_end", "id")
 
 
 @query("W26_split_at_beats", """WITH n AS (SELECT l_quantity AS s, l_quantity + l_linenumber * 1.5 AS e, count(*) AS n FROM lineitem GROUP BY ALL),

@@ -251,7 +251,8 @@ def _(t):
 
 
 @query("W34_beam_groups", f"""WITH e AS (SELECT *, row_number() {LI_OVER}) AS i, l_partkey % 4 AS lv, [48,24,12,6][l_partkey % 4 + 1] AS d FROM lineitem),
-a AS (SELECT *, floor(coalesce(sum(d) {LI_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / CASE WHEN l_orderkey % 2 = 0 THEN 72 ELSE 48 END) AS g FROM e),
+s AS (SELECT *, coalesce(sum(d) {LI_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
+a AS (SELECT *, floor((s + coalesce(last_value(CASE WHEN l_partkey % 7 = 0 THEN l_linenumber * 24 - s END IGNORE NULLS) {LI_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) / CASE WHEN l_orderkey % 2 = 0 THEN 72 ELSE 48 END) AS g FROM s),
 n AS (SELECT *, CASE WHEN lv > 0 AND lag(lv) {LI_OVER}) > 0 AND lag(g) {LI_OVER}) = g THEN lag(lv) {LI_OVER}) ELSE 0 END AS pb, CASE WHEN lv > 0 AND lead(lv) {LI_OVER}) > 0 AND lead(g) {LI_OVER}) = g THEN lead(lv) {LI_OVER}) ELSE 0 END AS nx FROM a),
 x AS (SELECT *, unnest(range(1, lv+1)) AS level FROM n WHERE lv > 0 AND pb + nx > 0)
 SELECT l_orderkey, i, level::BIGINT AS level, CASE WHEN pb >= level AND nx >= level THEN 'continue' WHEN pb >= level THEN 'end' WHEN nx >= level THEN 'begin' WHEN pb = 0 THEN 'forward hook' ELSE 'backward hook' END AS beam FROM x""")
@@ -260,7 +261,8 @@ def _(t):
     e = Q.occurrence(t.lineitem, ["l_orderkey"], ORDER, "i").withColumn("lv", lv)
     dur = F.get(F.array(*[F.lit(x) for x in (48, 24, 12, 6)]), F.col("lv").cast("int"))
     group = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, 72).otherwise(48)
-    r = Q.beam_groups(e, ["l_orderkey"], ["i"], dur, F.col("lv"), group)
+    onset = F.when(F.pmod("l_partkey", F.lit(7)) == 0, F.col("l_linenumber") * 24)
+    r = Q.beam_groups(e, ["l_orderkey"], ["i"], dur, F.col("lv"), group, onset)
     return r.select("l_orderkey", "i", F.col("level").cast(L).alias("level"), "beam")
 
 

@@ -70,18 +70,22 @@ def quantize(notes: DataFrame, keys: list[str], start: str, end: str, step: int,
     return n.withColumn("q_end", q1).drop("__sb", "__eb", "__st", "__et", "__qb", "__qt")
 
 
-def trim_overlaps(notes: DataFrame, keys: list[str], start: str, end: str, pitch: str, id_: str, grid: Column) -> DataFrame:
+def trim_overlaps(notes: DataFrame, keys: list[str], start: str, end: str, pitch: str, id_: str, step: int, triplets: DataFrame) -> DataFrame:
     """Cut ends that run a little into the next note, and notes of one pitch that overlap; drop doubles.
 
-    A small overrun is at most one grid step and a quarter of the note.  Of several notes with one start and pitch
+    A small overrun is at most one grid step and a quarter of the note; the grid is that of the beat in which the next
+    note starts (`triplets`: keys and beat of the triplet beats; `step` elsewhere).  Of several notes with one start and pitch
     the first stays.  Within a pitch an end is cut at the next later start of that pitch.
     """
     starts = notes.select(*keys, start).distinct()
     s = Ordered.of(starts, keys, [start], probe=notes.select(*keys)).add(__next=lead(start)).done()
+    marks = triplets.select(*keys, F.col("beat").alias("__nb"), F.lit(TRIPLET).alias("__grid"))
+    s = s.withColumn("__nb", F.floor(F.col("__next") / QUARTER)).join(marks, [*keys, "__nb"], "left")
+    grid = F.coalesce("__grid", F.lit(step))
     n = notes.join(s, [*keys, start])
     over = F.col(end) - F.col("__next")
     small = (over > 0) & (over <= grid) & (over * 4 <= F.col(end) - F.col(start))
-    n = n.withColumn(end, F.when(small, F.col("__next")).otherwise(F.col(end))).drop("__next")
+    n = n.withColumn(end, F.when(small, F.col("__next")).otherwise(F.col(end))).drop("__next", "__nb", "__grid")
     by = n.groupBy(*keys, pitch, start).agg(F.min(F.struct(F.col(id_).alias("i"), F.col(end).alias("e"))).alias("__f"))
     o = Ordered.of(by, [*keys, pitch], [start], probe=notes.select(*keys, pitch)).add(__later=lead(start))
     e = F.least(F.col("__f.e"), F.coalesce("__later", F.col("__f.e")))

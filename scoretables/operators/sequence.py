@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .scan import Ordered, lag, last_value, lead, next_value, row_number, running_min, running_sum, total
 from .stats import gap_clusters, median_index, null_safe_join, quantiles
 
@@ -175,7 +176,7 @@ def head_fingerprint(keys: Column, rests: Column, n: int = 8) -> Column:
 
 def parallel_lines(lines: DataFrame, fingerprint: str, *line_id: str) -> DataFrame:
     """Lines that start alike, each with the first of its kind and how many there are; no pairs are formed."""
-    full = lines.filter(F.col(fingerprint) != "")
+    full = cut_lineage(lines.filter(F.col(fingerprint) != ""))  # the texts are read and matched once
     group = full.groupBy(fingerprint).agg(F.count(F.lit(1)).alias("n_parallel"), F.min(F.struct(*line_id)).alias("first_line"))
     return full.join(group.filter("n_parallel > 1"), fingerprint)
 
@@ -198,12 +199,17 @@ def system_gaps(bands: DataFrame, song, order, y0: str, y1: str, music: Column,
     return rows.select(*song, F.col("__b.i").alias("band"), (F.col("top") - F.col("__above.bottom")).alias("gap"))
 
 
-def beam_groups(elements: DataFrame, voice, order, dur: Column, level: Column, group_len: Column) -> DataFrame:
+def beam_groups(elements: DataFrame, voice, order, dur: Column, level: Column, group_len: Column, onset: Column | None = None) -> DataFrame:
     """(element, level, beam) for runs of beamable notes inside one beat.
 
+    An element stands where the one before it ends, or at its own `onset` where it has one, and the next ones follow it.
+
     `level` is the number of beams a note takes (0: none).  A note alone in its run has none.
     """
     o = Ordered.of(elements, voice, order).add(__at=running_sum(dur, before=True))
+    if onset is not None:
+        o = o.add(__shift=last_value(F.when(onset.isNotNull(), onset - F.col("__at"))))
+        o = o.with_column("__at", F.col("__at") + F.coalesce("__shift", F.lit(0)))
     o = o.with_column("__lv", level).with_column("__g", F.floor(F.col("__at") / group_len))
     o = o.add(__was=lag(F.struct("__lv", "__g")), __nxt=lead(F.struct("__lv", "__g")))
     linked = lambda side: (F.col("__lv") > 0) & (F.col(f"{side}.__lv") > 0) & (F.col(f"{side}.__g") == F.col("__g"))
@@ -214,7 +220,7 @@ def beam_groups(elements: DataFrame, voice, order, dur: Column, level: Column, g
     prev, nxt = F.col("__b") >= F.col("level"), F.col("__a") >= F.col("level")
     beam = (F.when(prev & nxt, "continue").when(prev, "end").when(nxt, "begin").when(F.col("__b") == 0, "forward hook")
             .otherwise("backward hook"))
-    return rows.withColumn("beam", beam).drop("__at", "__lv", "__g", "__was", "__nxt", "__b", "__a")
+    return rows.withColumn("beam", beam).drop("__at", "__shift", "__lv", "__g", "__was", "__nxt", "__b", "__a")
 
 
 def beat_clicks(measures: DataFrame, song, order, length: str, beats: str, beat_type: str) -> DataFrame:

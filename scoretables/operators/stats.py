@@ -59,12 +59,19 @@ def quantile_table(df: DataFrame, keys: list[str], picks: dict) -> DataFrame:
     """
     keys = list(keys)
     cols = list(dict.fromkeys(src for src, _ in picks.values()))
+    return _picked(_counted(df, keys, cols), keys, cols, picks)
+
+
+def _counted(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """(keys, __v, __x, __m): how often each value stands in each column (by its number)."""
     cells = F.array(*[F.struct(F.lit(i).alias("__v"), F.col(src).cast("double").alias("__x")) for i, src in enumerate(cols)])
     long = df.select(*keys, F.explode(cells).alias("__c")).select(*keys, "__c.*")
     long = long.filter(F.col("__x").isNotNull() & ~F.isnan("__x") & (F.abs("__x") != float("inf")))
-    counts = long.groupBy(*keys, "__v", "__x").agg(F.count(F.lit(1)).alias("__m"))
-    o = Ordered.of(counts, [*keys, "__v"], ["__x"], probe=long.select(*keys, "__v"))
-    rows = o.add(__cum=running_sum("__m"), __n=total("sum", "__m")).done()
+    return long.groupBy(*keys, "__v", "__x").agg(F.count(F.lit(1)).alias("__m"))
+
+
+def _picked(counts: DataFrame, keys: list[str], cols: list[str], picks: dict) -> DataFrame:
+    rows = Ordered.of(counts, [*keys, "__v"], ["__x"]).add(__cum=running_sum("__m"), __n=total("sum", "__m")).done()
     aggs = []
     for name, (src, pick) in picks.items():
         hit = (F.col("__v") == cols.index(src)) & (F.col("__cum") > pick(F.col("__n")))
@@ -109,12 +116,15 @@ def mean_finite(value: Column) -> Column:
 def content_box(df: DataFrame, keys: list[str], x: str, y: str, w: str, h: str) -> DataFrame:
     """Box holding the middle 96 % of the objects, and the y bands above and below it (NULL when empty)."""
     d = df.select(*keys, F.col(x).alias("x0"), F.col(y).alias("y0"), (F.col(x) + F.col(w)).alias("x1"), (F.col(y) + F.col(h)).alias("y1"))
-    box = quantile_table(d, keys, {"x0_q": ("x0", round_index(0.02)), "y0_q": ("y0", round_index(0.02)),
-                                   "x1_q": ("x1", round_index(0.98)), "y1_q": ("y1", round_index(0.98))})
-    tops = null_safe_join(d, box, keys)
-    tops = tops.select(*keys, F.when(F.col("y0") < F.col("y0_q"), F.col("y0")).alias("__head"),
-                       F.when(F.col("y0") > F.col("y1_q"), F.col("y0")).alias("__foot"))
-    bands = quantile_table(tops, keys, {"header_top": ("__head", round_index(0.05)), "footer_bottom": ("__foot", round_index(0.95))})
+    cols = ["x0", "y0", "x1", "y1"]
+    counts = _counted(d, keys, cols)
+    box = _picked(counts, keys, cols, {"x0_q": ("x0", round_index(0.02)), "y0_q": ("y0", round_index(0.02)),
+                                       "x1_q": ("x1", round_index(0.98)), "y1_q": ("y1", round_index(0.98))})
+    # the counted tops tell the bands; the rows are not read again
+    tops = null_safe_join(counts.filter(F.col("__v") == 1), box.select(*keys, "y0_q", "y1_q"), keys)
+    band = F.when(F.col("__x") < F.col("y0_q"), 0).when(F.col("__x") > F.col("y1_q"), 1)
+    tops = tops.select(*keys, band.alias("__v"), "__x", "__m").filter("__v IS NOT NULL")
+    bands = _picked(tops, keys, ["head", "foot"], {"header_top": ("head", round_index(0.05)), "footer_bottom": ("foot", round_index(0.95))})
     box = null_safe_join(box, bands, keys, "left")
     return box.select(
         *keys, F.col("x0_q").alias("x"), F.col("y0_q").alias("y"), (F.col("x1_q") - F.col("x0_q")).alias("w"),
@@ -160,9 +170,15 @@ def families(df: DataFrame, keys: list[str], size: str, width: str, y: str, tol:
 def body_rows(df: DataFrame, keys: list[str], height: str, share: float = 0.72) -> DataFrame:
     """Rows at least `share` as tall as the body of their line (the median of the upper half of the heights)."""
     pos = df.filter(F.col(height) > 0)
-    med = quantiles(pos, keys, height, {"__mid": floor_index(0.5)}).drop("n")
-    upper = null_safe_join(pos, med, keys).filter(F.col(height) >= F.col("__mid"))
-    top = quantiles(upper, keys, height, {"body": floor_index(0.5)}).drop("n")
+    heights = pos.groupBy(*keys, height).agg(F.count(F.lit(1)).alias("__m"))
+    half = floor_index(0.5)
+    o = Ordered.of(heights, keys, [height]).add(__cum=running_sum("__m"), __n=total("sum", "__m"))
+    o = o.add(__mid=total("min", F.when(F.col("__cum") > half(F.col("__n")), F.col(height))))
+    upper = F.col(height) >= F.col("__mid")
+    o = o.add(__nu=total("sum", F.when(upper, F.col("__m"))))
+    at = F.col("__cum") - (F.col("__n") - F.col("__nu"))  # place among the upper heights
+    body = F.min(F.when(upper & (at > half(F.col("__nu"))), F.col(height))).alias("body")
+    top = o.done().groupBy(*keys).agg(body)
     return null_safe_join(pos, top, keys).filter(F.col(height) >= F.col("body") * share)
 
 
