@@ -149,11 +149,12 @@ WORDS_SQL = "unnest(regexp_extract_all(lower(text), '[a-z]+'))"
 @query("A21_match_f1", f"""WITH k AS (SELECT count(*) AS n FROM benchmark), d AS (SELECT doc_id, doc_id % n AS item_id, text FROM documents, k),
 a AS (SELECT doc_id, item_id, tok, count(*) AS a FROM (SELECT doc_id, item_id, {WORDS_SQL} AS tok FROM d) GROUP BY ALL),
 b AS (SELECT item_id, tok, count(*) AS b FROM (SELECT item_id, {WORDS_SQL} AS tok FROM benchmark) GROUP BY ALL),
-m AS (SELECT doc_id, item_id, sum(a) AS la, sum(least(a, coalesce(b, 0))) AS mt FROM a LEFT JOIN b USING (item_id, tok) GROUP BY ALL),
-s AS (SELECT item_id, sum(b) AS lb FROM b GROUP BY ALL)
-SELECT doc_id, item_id, la::BIGINT AS len_a, lb::BIGINT AS len_b, mt::BIGINT AS matched, round(2*mt/(la+lb), 6)::DOUBLE AS f1, 2*mt/(la+lb) >= 0.5 AS is_match FROM m JOIN s USING (item_id)""")
+m AS (SELECT doc_id, sum(a) AS la, sum(least(a, coalesce(b, 0))) AS mt FROM a LEFT JOIN b USING (item_id, tok) GROUP BY ALL),
+s AS (SELECT item_id, sum(b) AS lb FROM b GROUP BY ALL),
+x AS (SELECT d.doc_id, d.item_id, coalesce(la, 0) AS la, coalesce(lb, 0) AS lb, coalesce(mt, 0) AS mt FROM d LEFT JOIN m USING (doc_id) LEFT JOIN s ON s.item_id = d.item_id)
+SELECT doc_id, item_id, la::BIGINT AS len_a, lb::BIGINT AS len_b, mt::BIGINT AS matched, CASE WHEN la + lb > 0 THEN round(2*mt/(la+lb), 6) ELSE 0 END::DOUBLE AS f1, mt > 0 AND 2*mt/(la+lb) >= 0.5 AS is_match FROM x""")
 def _(t):
-    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)).alias("token")
+    words = lambda c: F.explode_outer(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)).alias("token")
     n = t.benchmark.agg(F.count(F.lit(1))).scalar()
     d = t.texts.withColumn("item_id", F.pmod("doc_id", n)).select("doc_id", "item_id", words("text"))
     m = V.match_f1(d, t.benchmark.select("item_id", words("text")), "doc_id", "item_id", "token")

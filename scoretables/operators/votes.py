@@ -149,12 +149,14 @@ def match_f1(pairs_tokens: DataFrame, ref_tokens: DataFrame, item: str, ref: str
     """Agreement of each item with its reference text: 2 x shared tokens over all tokens of both.
 
     `pairs_tokens` (item, ref, token) holds the tokens of the items, `ref_tokens` (ref, token) those of the
-    references.  Each item is met with its own reference only.  Below `least` the text is a different one.
+    references; an item or reference without any has one row with a NULL token.  Each item is met with its own
+    reference only.  Below `least`, and where one side has no token, the text is a different one.
     """
-    a = pairs_tokens.groupBy(item, ref, token).agg(F.count(F.lit(1)).alias("__a"))
-    b = ref_tokens.groupBy(ref, token).agg(F.count(F.lit(1)).alias("__b"))
+    a = pairs_tokens.groupBy(item, ref, token).agg(F.count(token).alias("__a"))
+    b = ref_tokens.groupBy(ref, token).agg(F.count(token).alias("__b"))
     met = a.join(b, [ref, token], "left").groupBy(item, ref).agg(
         F.sum("__a").alias("len_a"), F.sum(F.least("__a", F.coalesce("__b", F.lit(0)))).alias("matched"))
-    size = ref_tokens.groupBy(ref).agg(F.count(F.lit(1)).alias("len_b"))
-    f1 = F.col("matched") * 2 / (F.col("len_a") + F.col("len_b"))
-    return met.join(size, ref).select(item, ref, "len_a", "len_b", "matched", f1.alias("f1"), (f1 >= least).alias("is_match"))
+    size = ref_tokens.groupBy(ref).agg(F.count(token).alias("len_b"))
+    met = met.join(size, ref, "left").withColumn("len_b", F.coalesce("len_b", F.lit(0)))
+    f1 = F.coalesce(F.try_divide(F.col("matched") * 2, F.col("len_a") + F.col("len_b")), F.lit(0.0))
+    return met.select(item, ref, "len_a", "len_b", "matched", f1.alias("f1"), ((f1 >= least) & (F.col("matched") > 0)).alias("is_match"))

@@ -65,9 +65,10 @@ def load_tables(spark: SparkSession, folder: str, names: list[str] | None = None
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """A small input that sits in a few splits, spread over the cores; large inputs pass through unchanged.
+    """An input of less than one split, dealt over the cores; any larger one passes through unchanged.
 
-    For work that is heavy per row (texts), where one split would keep one core busy and the others idle.
+    For work that is heavy per row (texts) on tables so small that one core would do all of it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 128 << 20
+    return df.repartition(spark.sparkContext.defaultParallelism, *key) if small else df

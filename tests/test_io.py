@@ -1,3 +1,5 @@
+import datetime
+import os
 import tempfile
 import uuid
 
@@ -63,3 +65,23 @@ def test_stream_pairs_like_the_batch(spark):
     finally:
         q.stop()
     assert sorted((r.t_on, r.t_off) for r in spark.table(name).collect()) == [(1, 5), (2, 7)]
+
+
+def test_stream_forgets_keys_past_their_time(spark):
+    d = folder()
+    schema = "file string, track int, seq int, tick bigint, type string, channel int, pitch int, ts timestamp"
+    at = lambda m: datetime.datetime(2024, 1, 1, m // 60, m % 60)
+    batches = [[("f", 0, 0, 1, "noteOn", 0, 60, at(0)), ("f", 0, 1, 2, "noteOn", 0, 61, at(0))], [("g", 0, 0, 1, "noteOn", 0, 60, at(600))],
+               [("g", 0, 1, 2, "noteOff", 0, 60, at(601))], [("f", 0, 2, 9, "noteOff", 0, 60, at(602))]]
+    name = "kept_" + uuid.uuid4().hex
+    os.makedirs(f"{d}/in")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/in")
+    q = pair_stream(stream, "ts", 60).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{d}/cp").start()
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/in/{i}")
+            q.processAllAvailable()
+        left = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    finally:
+        q.stop()
+    assert [(r.file, r.t_on, r.t_off) for r in spark.table(name).collect()] == [("g", 1, 2)] and left == 0
