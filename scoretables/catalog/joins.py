@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import sequence as Q
 from ..operators import shapes as H
+from ..operators.stats import numbered
 from ..plans import regress as R
 from .pitch import L
 from .registry import query
@@ -19,7 +20,7 @@ LI_RN = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {LI_ORDER})"
 
 def li_elements(t):
     """Line items as elements: id = order * 100 + place, pos = place."""
-    e = Q.occurrence(t.lineitem, ["l_orderkey"], ORDER, "pos")
+    e = numbered(t.lineitem, ["l_orderkey"], ORDER, "pos")
     return e.withColumn("element_id", F.col("l_orderkey") * 100 + F.col("pos"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequence as Q
+from ..operators.stats import numbered
 from ..plans import timeline as TL
 from .joins import LI_RN
 from .pitch import L
@@ -44,7 +45,7 @@ def _(t):
 
 
 def notes(t):
-    n = Q.occurrence(t.lineitem, SONG, ORDER, "note_ix")
+    n = numbered(t.lineitem, SONG, ORDER, "note_ix")
     return n.select(
         "l_orderkey", (F.col("l_linenumber") - 1).cast(L).alias("measure"), "note_ix", F.pmod("l_suppkey", F.lit(2)).alias("part"),
         F.pmod("l_partkey", F.lit(16)).cast("double").alias("pos"), (F.pmod("l_suppkey", F.lit(8)) + 1).cast("double").alias("dur"),
@@ -137,7 +138,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, s ORDE
 st AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY l_orderkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM z)
 SELECT k.l_orderkey, l_returnflag, ix::BIGINT AS ix, (CASE WHEN grouped THEN start + k ELSE ix - 1 END)::BIGINT AS slot FROM k JOIN g USING (l_orderkey) LEFT JOIN st ON st.l_orderkey = k.l_orderkey AND st.s IS NOT DISTINCT FROM k.s""")
 def _(t):
-    rows = Q.occurrence(t.lineitem, ["l_orderkey", "l_returnflag"], ORDER, "ix")
+    rows = numbered(t.lineitem, ["l_orderkey", "l_returnflag"], ORDER, "ix")
     named = (F.pmod("l_suppkey", F.lit(3)) == 0) | ((F.pmod("l_orderkey", F.lit(2)) == 0) & (F.col("ix") == 1))
     rows = rows.select("l_orderkey", "l_returnflag", "ix", F.when(named, F.col("l_linenumber")).alias("sys"))
     return TL.axis_slots(rows, SONG, "l_returnflag", ["ix"], "sys").select("l_orderkey", "l_returnflag", "ix", F.col("slot").cast(L).alias("slot"))

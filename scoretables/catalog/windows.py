@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import sequence as Q
 from ..operators import stats as S
 from ..operators.repeats import repeat_segments
+from ..operators.stats import numbered
 from .pitch import L
 from .registry import query
 from .stats import q_sql
@@ -216,7 +217,7 @@ m AS (SELECT user_id, i // 2 AS m, max(CASE WHEN event_type = 'view' THEN k % 4
 SELECT a.user_id, a.m AS measure, a.n FROM m a JOIN m b ON a.user_id = b.user_id AND b.m BETWEEN a.m AND a.m + a.n - 1 WHERE a.n >= 2
 GROUP BY a.user_id, a.m, a.n HAVING count(*) = a.n AND bool_and(b.rest) AND NOT bool_or(b.m > a.m AND (b.chg OR b.n > 0))""")
 def _(t):
-    e = Q.occurrence(ev(t), ["user_id"], TS, "r").withColumn("measure", F.floor((F.col("r") - 1) / 2))
+    e = numbered(ev(t), ["user_id"], TS, "r").withColumn("measure", F.floor((F.col("r") - 1) / 2))
     declared = F.when(F.col("event_type") == "view", F.pmod("k", F.lit(4)))
     return Q.multi_rest_runs(e, ["user_id"], "measure", declared, F.col("k") < 92, (F.col("event_type") == "signup") & (F.col("k") < 20))
 
@@ -228,7 +229,7 @@ k AS (SELECT m.l_orderkey, m.i, m.y0, max(q.i) AS top FROM y m JOIN y q ON m.l_o
 SELECT k.l_orderkey, k.i AS band, round(t.y0 - q.y1, 6)::DOUBLE AS gap FROM k JOIN y q ON q.l_orderkey = k.l_orderkey AND q.i = k.top JOIN y t ON t.l_orderkey = k.l_orderkey AND t.i = k.top + 1
 WHERE NOT (q.i = 1 AND q.title)""")
 def _(t):
-    b = Q.occurrence(t.lineitem, ["l_orderkey"], ORDER, "i").withColumn("y0", F.col("i") * 10.0 + F.pmod("l_partkey", F.lit(5)))
+    b = numbered(t.lineitem, ["l_orderkey"], ORDER, "i").withColumn("y0", F.col("i") * 10.0 + F.pmod("l_partkey", F.lit(5)))
     b = b.withColumn("y1", F.col("y0") + 4 + F.pmod("l_suppkey", F.lit(3)))
     flat = F.col("l_returnflag") == "R"
     g = Q.system_gaps(b, ["l_orderkey"], ["i"], "y0", "y1", (F.col("l_linestatus") == "F") & ~flat, flat, F.pmod("l_suppkey", F.lit(2)) == 0, 8.0)
@@ -258,7 +259,7 @@ x AS (SELECT *, unnest(range(1, lv+1)) AS level FROM n WHERE lv > 0 AND pb + nx
 SELECT l_orderkey, i, level::BIGINT AS level, CASE WHEN pb >= level AND nx >= level THEN 'continue' WHEN pb >= level THEN 'end' WHEN nx >= level THEN 'begin' WHEN pb = 0 THEN 'forward hook' ELSE 'backward hook' END AS beam FROM x""")
 def _(t):
     lv = F.pmod("l_partkey", F.lit(4))
-    e = Q.occurrence(t.lineitem, ["l_orderkey"], ORDER, "i").withColumn("lv", lv)
+    e = numbered(t.lineitem, ["l_orderkey"], ORDER, "i").withColumn("lv", lv)
     dur = F.get(F.array(*[F.lit(x) for x in (48, 24, 12, 6)]), F.col("lv").cast("int"))
     group = F.when(F.pmod("l_orderkey", F.lit(2)) == 0, 72).otherwise(48)
     onset = F.when(F.pmod("l_partkey", F.lit(7)) == 0, F.col("l_linenumber") * 24)
