@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .joins import _level, _levels, _spread
 from .scan import Ordered, running_min
 
 
@@ -55,16 +56,39 @@ def exact_then_fuzzy(objs: DataFrame, shapes: DataFrame, obj: str, key: str, sig
     return hits.unionByName(fuzzy)
 
 
+WIDE = 16
+
+
+def _wide_links(wide: DataFrame, every: DataFrame, page: list[str], m: float) -> DataFrame:
+    """(page, a, b): each wide box with every box within m of it; a pair meets in the grid of the larger one."""
+    level = _level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * m, m)
+    levels = F.array(*[F.lit(k) for k in _levels((wide, level))])
+    size = F.lit(m) * F.pow(F.lit(2.0), F.col("__lv"))
+
+    def cells(df, at, margin):
+        d = _spread(df, F.col("x0") - margin, F.col("x1") + margin, m, at).withColumnRenamed("__bk", "cx")
+        return d.withColumn("cy", F.explode(F.sequence(F.floor((F.col("y0") - margin) / size), F.floor((F.col("y1") + margin) / size))))
+
+    a = cells(wide, F.array(level), m).select(*page, "__lv", "cx", "cy", F.col("id").alias("a"), *[F.col(c).alias("a" + c) for c in ("x0", "y0", "x1", "y1")])
+    b = cells(every.withColumn("__own", level), F.filter(levels, lambda k: k >= F.col("__own")), 0).withColumnRenamed("id", "b").drop("__own")
+    near = [F.col(hi) + m >= F.col(lo) for lo, hi in (("x0", "ax1"), ("ax0", "x1"), ("y0", "ay1"), ("ay0", "y1"))]
+    return a.join(b, [*page, "__lv", "cx", "cy"]).filter(reduce(lambda p, q: p & q, near)).select(*page, "a", "b").distinct()
+
+
 def near_links(rects: DataFrame, page: list[str], id_: str, x: str, y: str, w: str, h: str, m: float) -> DataFrame:
     """Links (page, a, b) whose chains connect the same boxes as "within `m` of each other on both axes".
 
     Boxes that touch one grid cell of side `m` are all near each other, so each cell ties its boxes to the least of
     them, and two neighbouring cells need at most one link between those.  Side by side, the closest edges decide it;
-    corner to corner, one ordered pass does.  The links grow with the boxes, not with the pairs.
+    corner to corner, one ordered pass does.  The links grow with the boxes, not with the pairs.  Boxes of more than
+    `WIDE` cells on a side would fill the grid; they meet all others in grids of their own size instead.
     """
     keep = [*page, "cx", "cy"]
     x0, y0, x1, y1 = F.col(x), F.col(y), F.col(x) + F.col(w), F.col(y) + F.col(h)
     b = rects.select(*page, F.col(id_).alias("id"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > WIDE * m
+    of_wide = _wide_links(b.filter(wide), b, page, m)
+    b = b.filter(~wide)
     for lo, hi, cell in (("x0", "x1", "cx"), ("y0", "y1", "cy")):
         b = b.withColumn(cell, F.explode(F.sequence(F.floor(F.col(lo) / m), F.floor(F.col(hi) / m))))
     b = cut_lineage(b)  # read by several steps below
@@ -90,7 +114,7 @@ def near_links(rects: DataFrame, page: list[str], id_: str, x: str, y: str, w: s
         hit = o.filter((F.col("kind") == 1) & (F.col("mate") + F.col("yy") <= m)).done().select(*keep).distinct()
         there = reps.select(*page, (F.col("cx") - 1).alias("cx"), (F.col("cy") - sy).alias("cy"), F.col("rep").alias("b"))
         links.append(hit.join(reps, keep).join(there, keep).select(*page, F.col("rep").alias("a"), "b"))
-    out = reduce(lambda p, q: p.unionByName(q), links).filter("a <> b")
+    out = reduce(lambda p, q: p.unionByName(q), [*links, of_wide]).filter("a <> b")
     return out.select(*page, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -72,3 +72,27 @@ def test_fuzzy_lookup_agrees_with_brute_force(spark):
     s = spark.createDataFrame(shapes, "label bigint, sig array<bigint>").withColumn("key", F.xxhash64("sig"))
     got = {r.obj: (r.label, r.dist) for r in exact_then_fuzzy(o, s, "obj", "key", "sig", "label", 7, 32).collect()}
     assert got == want
+
+
+def test_a_huge_box_among_small_ones(spark):
+    import random
+
+    rnd = random.Random(4)
+    boxes = [(1, i, rnd.uniform(0, 4000), rnd.uniform(0, 4000), rnd.uniform(1, 9), rnd.uniform(1, 9)) for i in range(300)]
+    boxes += [(1, 900, 500.0, 500.0, 2000.0, 3000.0), (1, 901, 2503.0, 100.0, 1.0, 500.0), (1, 902, -9e6, -9e6, 10.0, 10.0)]
+    df = spark.createDataFrame(boxes, "page int, id int, x double, y double, w double, h double")
+    links = near_links(df, ["page"], "id", "x", "y", "w", "h", 4.0)
+    got = {r.node: r.root for r in components(links, "a", "b").collect()}
+    up = {b[1]: b[1] for b in boxes}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for _, i, x, y, w, h in boxes:
+        for _, j, x2, y2, w2, h2 in boxes:
+            if i < j and x2 <= x + w + 4 and x <= x2 + w2 + 4 and y2 <= y + h + 4 and y <= y2 + h2 + 4:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert got == {k: find(k) for k in up if any(find(k) == find(o) for o in up if o != k)}
