@@ -158,6 +158,18 @@ def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             yield batch.slice(a, b - a)
 
 
+#: Rows of a batch between the JVM and Python, where the session allows more: texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session hands over at most BATCH_ROWS rows at once from now on, so that a batch of texts stays small."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import U64, Texts, Words, grams, mix, pieces, shingle_sets, stream, table, within
+from .common import U64, Texts, Words, grams, mix, pieces, shingle_sets, small_batches, stream, table, within
 from .registry import query
 
 #: Bits of the largest shingle table (2 MB).
@@ -107,6 +107,7 @@ def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     Words are lower-cased (A-Z) and parted by white space.  An item with fewer than k words is one shingle, met by a
     document of just these words.  Items and documents without words, and those without an id, meet nothing.
     """
+    docs = small_batches(docs)
     known = cut_lineage(item_shingles(items, item_id, item_text, k))
     found = cut_lineage(hits(docs, shingle_table(known), doc_id, text, k))
     # A document with c of n shingles lacks n - c; each can be the least under any number of functions, so what is

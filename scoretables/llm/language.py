@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, held_out, pieces, table
+from .common import Texts, held_out, pieces, small_batches, table
 from .registry import query
 
 BUCKETS = 4096
@@ -119,6 +119,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     lang is only read to learn.  A null doc_id counts as not held out but is not learned from.  Repeated rows give the
     same; other columns don't matter; an empty table gives no rows.
     """
+    docs = small_batches(docs)
     coder = fit(docs, doc_id, text, lang, rows)
 
     def run(batches):

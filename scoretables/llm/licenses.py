@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, Texts, Words, pieces, table, within
+from .common import ALNUM, U64, Texts, Words, pieces, small_batches, table, within
 from .registry import query
 
 #: Phrases of the base labels: the words must stand one after another.
@@ -129,6 +129,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     other columns don't matter; an empty table gives no rows.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    docs = small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     hashed = [_hash_words(t) for t in templates]
     vocabulary = np.unique(np.concatenate(hashed)) if hashed else np.zeros(0, U64)

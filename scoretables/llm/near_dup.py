@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import U64, binary, mix, pieces, shingle_sets, stream, table
+from .common import U64, binary, mix, pieces, shingle_sets, small_batches, stream, table
 from .registry import query
 
 ROWS, BANDS = 4, 40
@@ -260,6 +260,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeat a doc_id count as one document, linked where any of their texts is.  A null doc_id is linked with nothing,
     has a null component_id and is kept.  Other columns of docs don't matter.  An empty table gives no rows.
     """
+    docs = small_batches(docs)
     sk = cut_lineage(sketches(docs, doc_id, text, k))
     tree = links(docs, sk, doc_id, text, k, percent)
     known = sk.filter("n_shingles > 0 AND id IS NOT NULL")

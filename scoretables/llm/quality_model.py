@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, held_out, pieces, stream, table
+from .common import Texts, held_out, pieces, small_batches, stream, table
 from .registry import query
 
 TAPS, FILTERS = 6, 12
@@ -150,6 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     is not learned from.  Rows that repeat a doc_id are scored each by its own text; a doc_id with several labels
     counts as 0 if one of them is.  Other columns don't matter; an empty table gives no rows.
     """
+    docs = small_batches(docs)
     net = fit(docs, labels, doc_id, text, quality, rows, each)
     parts = net.parts
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, U64, Texts, Words, grams, mix, pieces, table, within
+from .common import NOT_SPACE, U64, Texts, Words, grams, mix, pieces, small_batches, table, within
 from .registry import query
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -180,6 +180,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     labelled rows of both classes nothing is anomalous.  A null doc_id is judged as any other; repeated rows are
     judged alike; other columns don't matter; an empty table gives no rows.
     """
+    docs = small_batches(docs)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = statistics(docs, doc_id, text).withColumn("base_failed", failed)
     forest, threshold = fit(stats, labels, doc_id, quality, sample)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, Words, column, grams, mix, pieces, table, within
+from .common import U64, Texts, Words, column, grams, mix, pieces, small_batches, table, within
 from .registry import query
 
 GRAM = 5
@@ -126,6 +126,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     words; texts with fewer than n words, and rows without a doc_id, keep all and give no reference.  Rows with equal
     doc_id don't remove each other's words.  Other columns don't matter; an empty table gives no rows.
     """
+    docs = small_batches(docs)
     rows = docs.select(column(docs, doc_id, "bigint", "doc_id"), column(docs, text, "string", "text"))
     # Tells rows of one doc_id apart where there are any; it is shuffled with every row.
     repeated = not rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
