@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import pieces, small_batches, table
 from .registry import query
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pre-tokens that a worker remembers; it forgets all of them when there are more.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 #: Longer pre-tokens (bytes) are encoded each time.
 LONG = 64
 _WIDE = 8  # a leaf of the bitmap has 2**8 ranks
@@ -141,9 +141,12 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, remember: bool = True) -> DataFrame:
     """(doc_id, ids) for each row of docs; path names a rank file that every executor has.
 
+    remember: workers keep the pre-tokens met from task to task; without it they forget them after each, which costs
+    time and leaves their memory to other stages.
+
     A null or empty text has no ids.  Special tokens aren't looked for.  A null doc_id is kept, repeated rows are
     encoded alike, other columns don't matter, an empty table gives no rows.
     """
@@ -155,7 +158,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: st
             at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.astype(np.int32)))], ["doc_id", "ids"])
+        if not remember:
+            c.clear()
 
+    docs = small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -172,25 +178,27 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.mapInArrow(run, "doc_id bigint, ids array<int>, bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids, bytes)."""
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, remember: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes the ids, and gives digests of both.
 
-    def run(batches):
-        for b in batches:
-            sums = [hashlib.sha256(np.asarray(x.values).astype("<u4").tobytes() if x.is_valid else b"").hexdigest() for x in b.column("ids")]
-            n = [len(x) if x.is_valid else 0 for x in b.column("ids")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(sums, pa.string()), b.column("decoded_sha256")],
+    The same codec as in encode() and decode(), in one pass: each step of its own would hold a Python worker of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for part in pieces(batches, "text"):
+            ids = [c.encode(x or "") for x in part.column("text").to_pylist()]
+            sums = [[hashlib.sha256(raw).hexdigest() for raw in made] for made in ((x.tobytes() for x in ids), (c.decode(x) for x in ids))]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sums)],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not remember:
+            c.clear()
 
-    rows = decoded.select("doc_id", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    docs = small_batches(docs)
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes every text, decodes the ids, and gives the digests of both."""
-    return digests(decode(encode(docs, doc_id, text)))
-
-
 @query("op7_byte_bpe")
 def op7(spark, folder):
     return round_trip(table(spark, folder, "documents"))
