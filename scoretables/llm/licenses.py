@@ -1,11 +1,12 @@
 """License statements: exact set-similarity search of license templates in text blocks.
 
-A block is a line of a text, a template a short licence statement; both are sets of words.  A block meets a template
-when it holds at least `percent` of the template's words.  Words are ordered by how often they occur in all texts, rare
-ones first.  A block that meets a template holds one of the template's first n - o + 1 words (o: the words it must
-share), so blocks are looked up by those alone (prefix filter); it has o words at least (length filter), and from the
-place of its first shared word in the template's order, o must still be within reach (position filter).  The remaining
-pairs are counted in full.
+A template is a short licence statement, a block a stretch of a text; both are sets of words.  The query's blocks are
+windows of words: up to 1.25 times as many as the template has, from every word on, across line feeds and inside long
+lines.  `scan` can also take lines as blocks.  A block meets a template when it holds at least `percent` of the
+template's words.  Words are ordered by how often they occur in all texts, rare ones first.  A block that meets a
+template holds one of the template's first n - o + 1 words (o: the words it must share), so blocks are looked up by
+those alone (prefix filter); it has o words at least (length filter), and from the place of its first shared word in the
+template's order, o must still be within reach (position filter).  The remaining pairs are counted in full.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ class Templates:
         self.labels = [label for _, label in sets]
         self.sets = [np.sort(self.rank[np.searchsorted(every, s)]) for s, _ in sets]
         self.need = [-(-percent * len(s) // 100) for s in self.sets]
+        #: words of a window
+        self.width = [max(len(_hash_words(t)) * 5 // 4, o) for t, o in zip([t for t in templates if len(_hash_words(t))], self.need, strict=True)]
         self.prefix: dict[int, list[int]] = {}
         for i, (s, o) in enumerate(zip(self.sets, self.need, strict=True)):
             for r in s[: len(s) - o + 1].tolist():
@@ -103,6 +106,35 @@ class Templates:
                     found[i] = shared / len(s)
         return found
 
+    def windows(self, ranks: np.ndarray, words: Words) -> Iterator[tuple[int, int, int, float]]:
+        """(template, first word, word after the last, containment) of the windows of the batch that meet a template.
+
+        A window that meets a template also does so from its first template word on, so only those are starts.  Words
+        are looked for in the order of their ranks, and starts are dropped once too few words can still be found:
+        after the prefix those without any of it (prefix filter), then those out of reach (position filter).
+        """
+        for i, (s, o, width) in enumerate(zip(self.sets, self.need, self.width, strict=True)):
+            starts = np.flatnonzero(np.isin(ranks, s))
+            stop = np.minimum(starts + width, words.first[words.doc[starts] + 1])
+            long = stop - starts >= o
+            starts, stop = starts[long], stop[long]
+            shared, end = np.zeros(len(starts), np.int64), starts + 1
+            for j, r in enumerate(s.tolist()):
+                places = np.append(np.flatnonzero(ranks == r), len(ranks))
+                at = places[np.searchsorted(places, starts)]
+                shared += at < stop
+                end = np.where(at < stop, np.maximum(end, at + 1), end)
+                open_ = shared + len(s) - 1 - j >= o
+                starts, stop, shared, end = starts[open_], stop[open_], shared[open_], end[open_]
+                if not len(starts):
+                    break
+            # of windows that overlap the fullest, and of those the first
+            k = 0
+            while k < len(starts):
+                best = k + int(shared[k : np.searchsorted(starts, end[k])].argmax())
+                yield i, int(starts[best]), int(end[best]), float(shared[best] / len(s))
+                k = int(np.searchsorted(starts, end[best]))
+
 
 def _phrase_places(words: Words, h: np.ndarray, phrases: list[np.ndarray]) -> list[np.ndarray]:
     """Word numbers (in the batch) where each phrase starts."""
@@ -120,15 +152,18 @@ def _phrase_places(words: Words, h: np.ndarray, phrases: list[np.ndarray]) -> li
     return out
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, percent: int = 80) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, percent: int = 80, by: str = "lines") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) for each row of docs.
 
-    blocks: the lines that meet a template, as (line, label, containment), lines counted from 0.  score: the largest
-    containment of a template in a line, 1 where a base phrase stands.  A null or empty text has no words, places or
-    labels; its label columns are empty strings, its score 0.  A null doc_id is kept; repeated rows give the same;
-    other columns don't matter; an empty table gives no rows.
+    by: "windows" of words, as the query has it, or "lines".  blocks: those that meet a template, as (line, label,
+    containment), lines counted from 0; a window has the line of its first word, and of windows that overlap the fullest
+    counts.  score: the largest containment of a template in a block, 1 where a base phrase stands.  A null or empty
+    text has no words, places or labels; its label columns are empty strings, its score 0.  A null doc_id is kept;
+    repeated rows give the same; other columns don't matter; an empty table gives no rows.
     """
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
+    if by not in ("windows", "lines"):
+        raise ValueError(f"by: {by}")
     docs = small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     hashed = [_hash_words(t) for t in templates]
@@ -149,18 +184,25 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
                     base[d].add(label)
             more, blocks = [set() for _ in range(n)], [[] for _ in range(n)]
             ranks = index.ranks(h)
-            starts = np.array([r in index.prefix for r in range(len(index.words))] + [False])[ranks]
-            lines = Words(texts, _LINES)
-            line = np.searchsorted(lines.start, words.start, "right") - 1
             # every \n counts in the number of a line, also where lines are empty
             feeds = np.concatenate([[0], np.cumsum(~_LINES[texts.buf])])
-            for i in np.unique(line[starts]).tolist():
-                a, b = np.searchsorted(words.start, (lines.start[i], lines.end[i]))
-                own = np.unique(ranks[a:b])
-                d = int(lines.doc[i])
-                for t, share in index.meet(own[own >= 0], len(np.unique(h[a:b]))).items():
-                    more[d].add(index.labels[t])
-                    blocks[d].append({"line": int(feeds[lines.start[i]] - feeds[texts.offsets[d]]), "label": index.labels[t], "containment": share})
+
+            def add(d: int, byte: int, t: int, share: float) -> None:
+                more[d].add(index.labels[t])
+                blocks[d].append({"line": int(feeds[byte] - feeds[texts.offsets[d]]), "label": index.labels[t], "containment": share})
+
+            if by == "windows":
+                for t, a, _, share in index.windows(ranks, words):
+                    add(int(words.doc[a]), words.start[a], t, share)
+            else:
+                starts = np.array([r in index.prefix for r in range(len(index.words))] + [False])[ranks]
+                lines = Words(texts, _LINES)
+                line = np.searchsorted(lines.start, words.start, "right") - 1
+                for i in np.unique(line[starts]).tolist():
+                    a, b = np.searchsorted(words.start, (lines.start[i], lines.end[i]))
+                    own = np.unique(ranks[a:b])
+                    for t, share in index.meet(own[own >= 0], len(np.unique(h[a:b]))).items():
+                        add(int(lines.doc[i]), lines.start[i], t, share)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(words.count, pa.int64()), pa.array([len(p) for p in places], pa.int64()),
                  pa.array([min(p, default=None) for p in places], pa.int64()), pa.array([max(p, default=None) for p in places], pa.int64()),
@@ -175,4 +217,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
 
 @query("op8_license_scan")
 def op8(spark, folder):
-    return scan(table(spark, folder, "documents"))
+    return scan(table(spark, folder, "documents"), by="windows")

@@ -103,3 +103,22 @@ def licenses(text, phrases, templates, percent=80):
                 more.add(label)
                 blocks.append((n, label, len(own & s) / len(own)))
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), sorted(blocks)
+
+
+def license_windows(text, templates, percent=80):
+    """[(line, label, containment)] of the fullest of overlapping windows of words that meet a template."""
+    text, out = text or "", []
+    spans = [(m.group(), m.start()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))]
+    for t, label in templates.items():
+        own, width, hits = set(t.split()), len(t.split()) * 5 // 4, []
+        for i, (w, _) in enumerate(spans):
+            if w in own:
+                window = [x for x, _ in spans[i : i + width]]
+                shared = own & set(window)
+                if 100 * len(shared) >= percent * len(own):
+                    hits.append((i, i + 1 + max(window.index(x) for x in shared), len(shared)))
+        while hits:
+            i, end, n = max((h for h in hits if h[0] < hits[0][1]), key=lambda h: (h[2], -h[0]))
+            out.append((text.count("\n", 0, spans[i][1]), label, n / len(own)))
+            hits = [h for h in hits if h[0] >= end]
+    return sorted(out)

@@ -257,6 +257,26 @@ def test_license_scan(spark, docs, rows, empty):
     assert licenses.scan(more, templates={}).filter("labels <> base_labels").count() == 0
 
 
+def test_license_windows(docs, rows, spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    filler = " ".join(f"filler{i}" for i in range(20))
+    extra = [bsd, f"# {bsd}".replace("\n", "\n# "), "all\nrights\nreserved", f"all {filler} rights {filler} reserved", f"{filler} all rights reserved {filler} all rights reserved",
+             "x\n\nthis source code form is subject\nto the terms of the mozilla\npublic license", "all rights reserved " * 5, "all rights", "released under under the the the mit license"]
+    more = spark.createDataFrame([(10_000 + i, x) for i, x in enumerate(extra)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs.select("doc_id", "text").unionByName(more), by="windows").collect()}
+    for i, x in [*rows, *((10_000 + i, x) for i, x in enumerate(extra))]:
+        blocks = brute.license_windows(x, licenses.TEMPLATES)
+        assert sorted((b.line, b.label, b.containment) for b in got[i].blocks) == blocks, i
+        assert set(got[i].labels.split(",")) - {""} == {b[1] for b in blocks} | set(got[i].base_labels.split(",")) - {""}
+    assert [got[10_000 + i].labels for i in range(4)] == ["bsd-statement", "bsd-statement", "reserved-statement", ""]
+    assert len(got[10_004].blocks) == 2 and len(got[10_006].blocks) == 5
+
+
+def test_license_query_finds_statements_over_two_lines(spark, tmp_path):
+    spark.createDataFrame([(1, "all rights\nreserved")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.labels for r in QUERIES["op8_license_scan"](spark, str(tmp_path)).collect()] == ["reserved-statement"]
+
+
 def test_language_id_on_rows_kept_from_training(spark, docs, empty, loose):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = {r.doc_id: r.lang for r in all_docs.collect()}
