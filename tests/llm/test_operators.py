@@ -183,6 +183,37 @@ def test_secret_scan_without_labels_keeps_candidates(spark):
     assert [(r.word, r.is_secret) for r in secrets.scan(docs, path=None).collect()] == [(1, True)]
 
 
+def test_secret_candidates_are_whole(spark, empty):
+    texts = ["a QWERTYUIOPASDFGHJKLZ b", "api_key=Zx9!k and", 'x password="correct horse 7" y', "Authorization: Bearer ab.cd~12 z", '{"token":"p4$$","blob":"QUJDREVGR0hJSktMTU5P"}',
+             "auth:\n  token = s3cr3t.", "the word stands", "say secret value: xyz1, and", "token='it\\'s 1'", "aws_secret_access_key=ABCDEFGHIJKLMNOPQRST"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = secrets.features(secrets.candidates(docs, path=None), ["the", "word"]).collect()
+    got = collections.defaultdict(set)
+    for r in found:
+        got[r.doc_id].add((r.word, r.run, bool(r.keyword and r.assigned)))
+    assert got[0] == {(1, "QWERTYUIOPASDFGHJKLZ", False)} and got[1] == {(0, "Zx9!k", True)} and got[2] == {(1, "correct horse 7", True)}
+    assert got[3] == {(2, "ab.cd~12", True)} and got[4] == {(0, "p4$$", True), (0, "QUJDREVGR0hJSktMTU5P", False)}
+    assert (3, "s3cr3t", True) in got[5] and 6 not in got and (3, "xyz1", True) in got[7] and (0, "it\\'s 1", True) in got[8]
+    assert (0, "ABCDEFGHIJKLMNOPQRST", True) in got[9]
+    assert len({(r.doc_id, r.word, r.nth) for r in found}) == len(found)
+    assert secrets.candidates(empty).count() == 0
+
+
+def test_secrets_without_digits_and_short_ones_go(spark):
+    rng = np.random.default_rng(5)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+    key = lambda n: "".join(rng.choice(letters, n))
+    keys = [key(20) for _ in range(60)]
+    short = [f"{key(3)}!{i}#{key(3)}" for i in range(60)]
+    texts = [f'some api_key="{k}" here' for k in keys] + [f"my password={s} Pq and {s[:2]} stay" for s in short]
+    texts += [f"the number {4432507379035540 + 7919 * i} and the {'lich' * 3}{'ung' * (i % 7 + 2)} stand" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("source", F.lit("src1"))
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(clean[i] == f'some api_key="{secrets.MARK}" here' for i in range(60))
+    assert all(clean[60 + i] == f"my password={secrets.MARK} Pq and {s[:2]} stay" for i, s in enumerate(short))
+    assert all(clean[i] == texts[i] for i in range(120, 240))
+
+
 def test_sharding(spark, docs, rows, empty, loose):
     got = sharding.shard_documents(docs).collect()
     text = dict(rows)
