@@ -1,8 +1,8 @@
 """Quality rules: counts over each text, hard limits, and an isolation forest over the rates of those counts.
 
 Each tree of the forest splits a small random sample at random places until its rows stand alone.  Rows that part
-early from the rest (short mean path) are anomalies.  How short a path may be is set on labelled rows: the score that
-best parts the two classes while at most `max_lost` of the good rows lie beyond it.
+early from the rest (short mean path) are anomalies.  How short a path may be is set on all labelled rows, counted by
+score: the score that best parts the two classes while at most `max_lost` of the good rows lie beyond it.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import NOT_SPACE, U64, Texts, Words, grams, mix, pieces, small_batches, table, within
 from .registry import query
 
@@ -144,14 +146,21 @@ class IsolationForest:
         return 2.0 ** (-total / max(len(self.trees), 1) / self.usual)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, max_lost: float = 0.002) -> float:
-    """Score beyond which a row is anomalous: parts the labelled classes best among those that lose few good rows."""
+#: Places after the decimal point of a score, where scores are counted: so there are at most 10 ** 4 of them.
+PLACES = 4
+
+
+def calibrate(scores: np.ndarray, good: np.ndarray, max_lost: float = 0.002, counts: np.ndarray | None = None) -> float:
+    """Score beyond which a row is anomalous: parts the labelled classes best among those that lose few good rows.
+
+    counts: how often each (score, good) occurs, once without it.
+    """
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
     if not good.any() or good.all():
         return math.inf
-    g, b = np.sort(scores[good]), np.sort(scores[~good])
-    cut = np.unique(scores)
-    lost = 1 - np.searchsorted(g, cut, "right") / len(g)
-    caught = 1 - np.searchsorted(b, cut, "right") / len(b)
+    cut, at = np.unique(scores, return_inverse=True)
+    upto = [np.cumsum(np.bincount(at[x], counts[x], len(cut))) for x in (good, ~good)]
+    lost, caught = (1 - n / n[-1] for n in upto)
     ok = lost <= max_lost
     best = np.flatnonzero(ok)[(caught - lost)[ok].argmax()]
     # half way to the next score, so that rows like the ones seen fall on their side
@@ -159,17 +168,27 @@ def calibrate(scores: np.ndarray, good: np.ndarray, max_lost: float = 0.002) ->
 
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", sample: int = 8000) -> tuple[IsolationForest, float]:
-    """Forest over at most `sample` rows with a label (those of least id hash), and its threshold from their labels.
+    """Forest over at most `sample` rows with a label (those of least id hash), and its threshold from all labels.
 
-    The forest sees no label; it grows on the rows that the hard limits keep.
+    The forest sees no label; it grows on the rows that the hard limits keep.  The threshold comes from the counts of
+    (score, label) over all of these rows, whose scores are rounded to PLACES for it.
     """
+    names = [*COUNTS, *MORE]
     known = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(quality).cast("int").alias("good")).dropna().groupBy("id").agg(F.min("good").alias("good"))
-    rows = stats.filter("NOT base_failed").join(known, "id").orderBy(F.xxhash64("id"), *[*COUNTS, *MORE]).limit(sample).toPandas()
-    if rows.empty:
+    rows = cut_lineage(stats.filter("NOT base_failed").join(known, "id").select("id", "good", *names))
+    some = rows.orderBy(F.xxhash64("id"), *names).limit(sample).toPandas()
+    if some.empty:
         return IsolationForest(np.zeros((0, len(RATES)))), math.inf
-    x = rates({c: rows[c].to_numpy() for c in [*COUNTS, *MORE]})
-    forest = IsolationForest(x)
-    return forest, calibrate(forest.score(x), rows["good"].to_numpy() == 1)
+    forest = IsolationForest(rates({c: some[c].to_numpy() for c in names}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = forest.score(rates({c: b.column(c).to_numpy() for c in names}))
+                yield pa.RecordBatch.from_arrays([pa.array(np.round(s * 10**PLACES).astype(np.int64)), pc.equal(b.column("good"), 1)], ["score", "good"])
+
+    seen = rows.mapInArrow(run, "score bigint, good boolean").groupBy("score", "good").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    return forest, calibrate(seen["score"].to_numpy() / 10**PLACES, seen["good"].to_numpy(bool), counts=seen["n"].to_numpy())
 
 
 def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample: int = 8000) -> DataFrame:

@@ -137,6 +137,20 @@ def test_isolation_forest_finds_what_stands_apart():
     assert quality_rules.calibrate(s, np.arange(500) >= 5) < s[:5].min()
 
 
+def test_quality_threshold_comes_from_all_labels(spark):
+    rng = np.random.default_rng(2)
+    n = 3000
+    names = [*quality_rules.COUNTS, *quality_rules.MORE]
+    made = {c: rng.integers(100, 200, n) for c in names}
+    stats = spark.createDataFrame([(i, *(int(made[c][i]) for c in names), False) for i in range(n)], "id bigint, " + ", ".join(f"{c} bigint" for c in names) + ", base_failed boolean")
+    good = rng.random(n) < 0.9
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id bigint, quality int")
+    forest, threshold = quality_rules.fit(stats, labels, sample=200)
+    scores = np.round(forest.score(quality_rules.rates(made)), quality_rules.PLACES)
+    assert threshold == pytest.approx(quality_rules.calibrate(scores, good))
+    assert (scores[good] > threshold).mean() <= 0.002
+
+
 def test_quality_classifier_on_rows_kept_from_training(spark, empty, loose):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
