@@ -1,10 +1,11 @@
-"""Passages that an earlier document has too, by parsing documents relative to an indexed reference.
+"""Passages that an earlier document has too, by an exact index of windows.
 
-The reference is the corpus itself, cut into blocks: a window of n words belongs to the block of its anchor, the least
+The index is the corpus itself, cut into blocks: a window of n words belongs to the block of its anchor, the least
 hashed k-gram in it, and a block maps each of its windows to the least doc_id where it starts.  Neighbouring windows
 mostly share an anchor, and windows whose anchor no other document has are left out before anything is looked up.
-A document is parsed from left to right: a factor is the longest run of windows that start in one earlier document.
-Where a factor ends, the windows across its boundary are looked up as well, so no window is missed.
+Every window is looked up, so none is missed and no boundary needs a check of its own; a word goes if any window over it
+is found.  This is no Lempel-Ziv parse: a factor is a run of neighbouring windows with the same least document, so a
+passage of one document whose middle an earlier one has too makes several factors.
 
 Very frequent windows and anchors would make single blocks large.  Those that stand out in a sample of the documents (a
 bounded number) are resolved without a block: one aggregation gives their least documents, and each task has the list.
@@ -105,10 +106,9 @@ def _least_documents(docs: DataFrame, windows: np.ndarray, n: int) -> np.ndarray
 
 
 def factors(place: np.ndarray, source: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(start, length, source) of the parse; place (ascending) and source are the windows that an earlier document has.
+    """(start, length, source) of runs; place (ascending) and source are the windows that an earlier document has.
 
-    From the first such window a factor runs on while the next windows start in the same document.  The windows that
-    begin inside it and end beyond it are the boundary checks: what they find gives the next factors.
+    A factor runs on while the next windows have the same least document.
     """
     if not len(place):
         return []
@@ -137,7 +137,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     listed = _frequent(known, n)
     least = _least_documents(known, listed["window"], n)
 
-    # Whole copies of an earlier document need no parse.
+    # Whole copies of an earlier document need no look-up.
     first = known.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("doc_id").alias("source"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     same = known.select(*keys, F.xxhash64("text").alias("h"), F.md5("text").alias("m")).join(first, ["h", "m"]).filter("doc_id > source")
     copies = same.select(*keys, "source").distinct()
