@@ -42,9 +42,9 @@ def sketch(shingles: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text", k: int = 5) -> DataFrame:
-    """(item, size, shingle, n, in_sketch, need): the shingles of each distinct item set.
+    """(item, size, n, sketch_n, n_words, shingle, in_sketch): the shingles of each distinct item set.
 
-    need: how many shingles of the sketch a document holds at least if it holds `percent` of the set, see search().
+    An item with fewer than k words is one shingle of its n_words words.
     Equal sets are one item, named by the least id.
     """
 
@@ -54,15 +54,16 @@ def item_shingles(items: DataFrame, item_id: str = "item_id", text: str = "text"
             sums = [np.array([mix(s ^ U64(seed)).sum(dtype=U64) for s in sets], U64).view(np.int64) for seed in (7, 1 << 40)]
             lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             chosen = pa.array([np.isin(s, sketch(s, hashes_of(size_class(len(s))))) if len(s) else np.zeros(0, bool) for s in sets], pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(sums[0]), pa.array(sums[1]), lists, chosen], ["item", "h1", "h2", "shingles", "chosen"])
+            n_words = pa.array(Words(Texts(part.column("text"), True)).count, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(sums[0]), pa.array(sums[1]), lists, chosen, n_words], ["item", "h1", "h2", "shingles", "chosen", "n_words"])
 
     rows = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text).cast("string").alias("text")).dropna()
-    sets = rows.mapInArrow(run, "item bigint, h1 bigint, h2 bigint, shingles array<bigint>, chosen array<boolean>").filter(F.size("shingles") > 0)
-    one = sets.groupBy("h1", "h2").agg(F.min(F.struct("item", "shingles", "chosen")).alias("m")).select("m.*")
+    sets = rows.mapInArrow(run, "item bigint, h1 bigint, h2 bigint, shingles array<bigint>, chosen array<boolean>, n_words bigint").filter(F.size("shingles") > 0)
+    one = sets.groupBy("h1", "h2").agg(F.min(F.struct("item", "shingles", "chosen", "n_words")).alias("m")).select("m.*")
     n = F.size("shingles").cast("bigint")
-    return one.select("item", F.floor(F.log2(n)).cast("int").alias("size"), n.alias("n"), F.size(F.filter("chosen", lambda c: c)).alias("sketch_n"),
+    return one.select("item", F.floor(F.log2(n)).cast("int").alias("size"), n.alias("n"), F.size(F.filter("chosen", lambda c: c)).alias("sketch_n"), "n_words",
                       F.explode(F.arrays_zip("shingles", "chosen")).alias("s")).select(
-        "item", "size", "n", "sketch_n", F.col("s.shingles").alias("shingle"), F.col("s.chosen").alias("in_sketch"))
+        "item", "size", "n", "sketch_n", "n_words", F.col("s.shingles").alias("shingle"), F.col("s.chosen").alias("in_sketch"))
 
 
 def shingle_table(shingles: DataFrame) -> np.ndarray:
@@ -77,23 +78,22 @@ def shingle_table(shingles: DataFrame) -> np.ndarray:
     return out
 
 
-def hits(docs: DataFrame, bits: np.ndarray, doc_id: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
-    """(doc, shingle): the distinct shingles of each document that the bit table lets through."""
+def hits(docs: DataFrame, bits: np.ndarray, doc_id: str = "doc_id", text: str = "text", k: int = 5, shorter: tuple[int, ...] = ()) -> DataFrame:
+    """(doc, shingle): the distinct shingles of each document that the bit table lets through, of k words and of the shorter lengths."""
     mask = U64(len(bits) * 8 - 1)
 
     def run(batches):
         for part in pieces(batches, "text"):
             words = Words(Texts(part.column("text"), True))
             h = words.hashes()
-            at = np.flatnonzero(within(words.doc, k))
-            g = grams(h, k)[at]
-            d = words.doc[at]
-            for i in np.flatnonzero((words.count > 0) & (words.count < k)):
-                whole = h[words.first[i] : words.first[i + 1]]
-                g, d = np.append(g, grams(whole, len(whole))), np.append(d, i)
-            place = (g >> U64(20)) & mask
-            ok = (bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
-            g, d = g[ok], d[ok]
+            passed = []
+            for length in (k, *shorter):
+                at = np.flatnonzero(within(words.doc, length))
+                g, d = grams(h, length)[at], words.doc[at]
+                place = (g >> U64(20)) & mask
+                ok = (bits[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
+                passed.append((g[ok], d[ok]))
+            g, d = (np.concatenate(x) for x in zip(*passed, strict=True))
             _, first = np.unique(mix(g + d.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
             yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(d[first])), pa.array(g[first].view(np.int64))], ["doc", "shingle"])
 
@@ -104,12 +104,13 @@ def hits(docs: DataFrame, bits: np.ndarray, doc_id: str = "doc_id", text: str =
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(doc, item, containment) for each document that holds at least `percent` of an item's shingles.
 
-    Words are lower-cased (A-Z) and parted by white space.  An item with fewer than k words is one shingle, met by a
-    document of just these words.  Items and documents without words, and those without an id, meet nothing.
+    Words are lower-cased (A-Z) and parted by white space.  An item with fewer than k words is one shingle, met
+    wherever its words stand one after another.  Items and documents without words, and those without an id, meet nothing.
     """
     docs = small_batches(docs)
     known = cut_lineage(item_shingles(items, item_id, item_text, k))
-    found = cut_lineage(hits(docs, shingle_table(known), doc_id, text, k))
+    shorter = tuple(sorted(r.n_words for r in known.filter(F.col("n_words") < k).select("n_words").distinct().collect()))
+    found = cut_lineage(hits(docs, shingle_table(known), doc_id, text, k, shorter))
     # A document with c of n shingles lacks n - c; each can be the least under any number of functions, so what is
     # sure is: sketch_n - (n - c) of the sketch's shingles are held. The estimate may lie 5 errors below the threshold.
     t = percent / 100

@@ -267,6 +267,14 @@ def test_decontamination(spark, docs, rows, empty, loose):
     assert decontaminate.decontaminate(loose, items).count() == 6
 
 
+def test_decontamination_finds_short_items_inside_documents(spark):
+    texts = ["one two Alpha Beta three four five six", "alpha beta", "alpha x beta y z a b", "solo", "a b c d e solo", "beta alpha", "p q r s", "o p q r s t", "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "solo"), (3, "p q r s"), (4, "one two alpha beta three")], "item_id bigint, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {0: [1, 4], 1: [1], 2: [], 3: [2], 4: [2], 5: [], 6: [3], 7: [3], 8: []}
+
+
 def test_byte_bpe_agrees_with_the_library(docs, rows, empty, loose):
     import public_tokenizers
     import tiktoken
