@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import sequence as Q
 from ..operators import stats as S
 from .pitch import L
 from .registry import query
@@ -185,6 +186,6 @@ def _(t):
 @query("W8_occurrence_no", """WITH n AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)
 SELECT p_partkey, k, p_name || CASE WHEN k > 1 THEN '(' || k::VARCHAR || ')' ELSE '' END AS name FROM n""")
 def _(t):
-    n = S.numbered(t.part.select("p_partkey", "p_name"), ["p_name"], ["p_partkey"], "k")
+    n = Q.occurrence(t.part.select("p_partkey", "p_name"), ["p_name"], ["p_partkey"])
     suffix = F.when(F.col("k") > 1, F.concat(F.lit("("), F.col("k").cast("string"), F.lit(")"))).otherwise("")
     return n.select("p_partkey", "k", F.concat("p_name", suffix).alias("name"))

@@ -235,3 +235,8 @@ def beat_clicks(measures: DataFrame, song, order, length: str, beats: str, beat_
     last = F.ceil((F.col("__shift") + F.col(length) - 1e-9) / F.col("__beat")) - 1
     m = m.withColumn("__k", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     return m.select(*song, *order, (F.col("__pos") + F.col("__k") * F.col("__beat") - F.col("__shift")).alias("t"), (F.col("__k") == 0).alias("down"))
+
+
+def occurrence(df: DataFrame, keys, order, name="k") -> DataFrame:
+    """Which occurrence of its key a row is, from 1."""
+    return Ordered.of(df, keys, order).add(**{name: row_number()}).done()
