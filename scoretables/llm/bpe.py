@@ -178,25 +178,30 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.mapInArrow(run, "doc_id bigint, ids array<int>, bytes binary")
 
 
-def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, remember: bool = True) -> DataFrame:
+def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None, remember: bool = True, whole: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes every text, decodes the ids, and gives digests of both.
 
+    whole: the text and its ids come along as columns `text` and `ids`, for a corpus to train on.
     The same codec as in encode() and decode(), in one pass: each step of its own would hold a Python worker of its own.
     """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["text", "ids"] if whole else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for part in pieces(batches, "text"):
             ids = [c.encode(x or "") for x in part.column("text").to_pylist()]
             sums = [[hashlib.sha256(raw).hexdigest() for raw in made] for made in ((x.tobytes() for x in ids), (c.decode(x) for x in ids))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sums)],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), *(pa.array(x, pa.string()) for x in sums)]
+            if whole:
+                at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                cols += [part.column("text"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids).astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(cols, names)
         if not remember:
             c.clear()
 
     docs = small_batches(docs)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", text string, ids array<int>" if whole else ""))
 
 
 @query("op7_byte_bpe")

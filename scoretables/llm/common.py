@@ -5,6 +5,7 @@ A null text has no words. Hashes are 64 bits wide; where equality decides a resu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,28 +45,9 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed * 1_000_003)) * U64(0x9E3779B97F4A7C15))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown as texts need them."""
-
-    def __init__(self, seed: int):
-        self.table = stream(seed, 256)
-        self.base = int(stream(seed + 1, 1)[0]) | 1
-        self.up = self.down = np.ones(1, U64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, CHUNK_BYTES + 1)
-            inverse = pow(self.base, -1, 1 << 64)
-            made = []
-            for b in (self.base, inverse):
-                x = np.full(n, b, U64)
-                x[0] = 1
-                made.append(np.cumprod(x, dtype=U64))
-            self.up, self.down = made
-        return self.up, self.down
-
-
-_POWERS = [_Powers(11), _Powers(23)]
+#: Words of up to so many bytes are hashed in lanes of eight, longer ones (rare) by a digest.
+LANES = 8
+_SEEDS = stream(11, 4)
 
 
 class Texts:
@@ -104,13 +86,30 @@ class Words:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(texts.n), self.count)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        """64-bit hash of each word."""
-        p, buf = _POWERS[which], self.texts.buf
-        up, down = p.upto(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, U64)
-        np.cumsum(p.table[buf] * up[: len(buf)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each word: two states take up eight bytes a step and are joined at the end."""
+        buf = self.texts.buf
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[: len(buf)] = buf
+        eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+        size = self.end - self.start
+        x = mix(size.astype(U64) * _SEEDS[0] + _SEEDS[1])
+        y = x ^ _SEEDS[2]
+        on = np.flatnonzero(size <= 8 * LANES)
+        lane = 0
+        while len(on):
+            w = eight[self.start[on] + 8 * lane]
+            w &= U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * np.minimum(size[on] - 8 * lane, 8).astype(U64))
+            x[on] = mix(x[on] ^ w)
+            if lane:
+                y[on] = mix((y[on] + w) * (_SEEDS[3] | U64(1)))
+            lane += 1
+            on = on[size[on] > 8 * lane]
+        out = mix(x + y * U64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(size > 8 * LANES).tolist():
+            digest = hashlib.blake2b(memoryview(padded)[self.start[i] : self.end[i]], digest_size=8).digest()
+            out[i] = int.from_bytes(digest, "little")
+        return out
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -129,10 +128,10 @@ def within(doc: np.ndarray, k: int) -> np.ndarray:
     return doc[k - 1 :] == doc[: len(doc) - k + 1] if len(doc) >= k else np.zeros(0, bool)
 
 
-def shingle_sets(column: pa.Array, k: int, lower: bool = True, which: int = 0) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, k: int, lower: bool = True) -> list[np.ndarray]:
     """Sorted distinct k-word shingle hashes of each text; with fewer words the whole sequence counts as one."""
     words = Words(Texts(column, lower))
-    h = words.hashes(which)
+    h = words.hashes()
     g = grams(h, k)
     out = []
     for d in range(words.texts.n):

@@ -384,5 +384,18 @@ def test_pipeline_takes_loose_and_empty_tables(spark, empty, loose):
         assert frame.count() <= start.count()
 
 
+def test_pipeline_judges_rows_of_one_id_each_by_itself(spark):
+    words = [f"{a}{b}" for a in ("ka", "mo", "ri", "te", "su") for b in ("lan", "den", "vor", "mit", "sel", "bar", "tun", "gen", "fal", "rad", "hol", "wes")]
+    x, y, z = " ".join(words), " ".join(reversed(words)), " ".join(words[::2] + words[1::2])
+    rows = [(7, x), (7, y), (7, x), (None, z), (None, "too short"), (None, z), (8, x)]
+    frame = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = [None, [(None, z), (None, z), (7, x), (7, x), (7, y), (8, x)], [(None, z), (7, y), (8, x)]]
+    for (name, stage), left in zip(corpus_pipeline.STAGES, [*want[1:], want[2], want[2], want[2]], strict=True):
+        frame = stage(spark, frame, FOLDER)
+        assert sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] or 0, r[1])) == sorted(left, key=lambda r: (r[0] or 0, r[1])), name
+    r = frame.filter("doc_id = 7").first()
+    assert bytes(bpe.codec().decode(np.array(r.ids))).decode() == y and r.n_tokens == len(r.ids)
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
