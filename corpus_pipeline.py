@@ -1,4 +1,7 @@
-"""The cleaning of a corpus in five stages, each written as Parquet and read again by the next."""
+"""The cleaning of a corpus in five stages, each written as Parquet and read again by the next.
+
+The last one gives the corpus to train on: doc_id, text, token ids and digests of each row that is left.
+"""
 
 from __future__ import annotations
 
@@ -12,30 +15,45 @@ from scoretables.llm.common import table
 from scoretables.session import shared_folder
 
 
-def _keep(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id the verdict (doc_id, kept) keeps; several verdicts of one doc_id must all keep it.
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key for each row: its doc_id, or a digest of id and text where the id is null or stands in several rows.
 
-    Rows without a doc_id can't be told apart and stay.  Only ids of rows that go are shuffled beside the documents.
+    So every row is judged by itself.  The digests lie above all usual ids; rows equal in both share a key, and a verdict.
+    Only ids are shuffled, unless some repeat.
     """
+    digest = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.md5("text")), 1).bitwiseOR(F.lit(1 << 62))
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("bigint"), digest))
+    marked = docs.join(again, F.col("doc_id") == F.col("__again"), "left")
+    return marked.withColumn(KEY, F.when(F.col("__again").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("bigint")).otherwise(digest)).drop("__again")
+
+
+def _keep(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
+    """The rows whose key the verdict (doc_id: the key, kept) keeps.  Only keys of rows that go are shuffled beside the documents."""
     gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return keyed.join(gone, F.col(KEY) == F.col("__gone"), "left_anti").drop(KEY)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels")))
+    docs = _keyed(docs)
+    return _keep(docs, quality_rules.judge(docs, table(spark, sf_dir, "labels").withColumnRenamed("doc_id", KEY), doc_id=KEY))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; rows that repeat a doc_id stay one row."""
-    verdict = near_dup.near_duplicates(docs)
-    repeated = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    once = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.md5("text"), F.xxhash64(*docs.columns))).alias("r"))
-    docs = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("r.*"))
-    return _keep(docs, verdict)
+    """One row of each group; of rows equal in id and text one."""
+    docs = _keyed(docs)
+    own = F.col(KEY).eqNullSafe(F.col("doc_id").cast("bigint"))
+    docs = docs.filter(own).unionByName(docs.filter(~own).dropDuplicates([KEY]))
+    return _keep(docs, near_dup.near_duplicates(docs, doc_id=KEY))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    verdict = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    docs = _keyed(docs)
+    verdict = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), doc_id=KEY)
     return _keep(docs, verdict.select("doc_id", (~F.col("contaminated")).alias("kept")))
 
 
@@ -44,7 +62,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, remember=False)
+    return bpe.round_trip(docs, remember=False, whole=True)
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scan", secret_scan), ("byte_bpe", tokens)]
