@@ -88,16 +88,27 @@ def li_sizes(t):
         F.col("l_linenumber").cast("double").alias("w"), F.pmod("l_partkey", F.lit(800)).cast("double").alias("y"))
 
 
-@query("W10_gap_cluster_rel", f"{FAM}, {CLUSTER} SELECT g, cluster, min(s) AS low, max(s) AS high, sum(n)::BIGINT AS n FROM cl GROUP BY ALL")
+# sizes that rise in small steps, so that only the running median parts them
+DRIFT_SQL = "WITH RECURSIVE v AS (SELECT l_returnflag AS g, round(5 * pow(1.015, l_partkey % 90) * (1 + (l_suppkey % 5) / 400.0) + CASE WHEN l_partkey % 90 > 60 THEN 4 ELSE 0 END, 4) AS s FROM lineitem)"
+
+
+@query("W10_gap_cluster_rel", f"""{DRIFT_SQL}, a AS (SELECT g, list(s ORDER BY s) AS xs FROM v GROUP BY g),
+p AS (SELECT g, list(i ORDER BY i) AS firsts FROM (SELECT g, s, min(r) - 1 AS i FROM (SELECT g, s, row_number() OVER (PARTITION BY g ORDER BY s) AS r FROM v) GROUP BY g, s) GROUP BY g),
+st(g, xs, firsts, s0) AS (SELECT g, xs, firsts, 0::BIGINT FROM a JOIN p USING (g) UNION ALL SELECT g, xs, firsts, nx FROM (
+  SELECT g, xs, firsts, list_min(list_filter(firsts, lambda i: i > s0 AND abs(xs[i + 1] - xs[s0 + (i - s0) // 2 + 1]) / greatest(xs[s0 + (i - s0) // 2 + 1], 0.01) > 0.06)) AS nx FROM st) WHERE nx IS NOT NULL),
+e AS (SELECT g, xs, s0, row_number() OVER (PARTITION BY g ORDER BY s0) - 1 AS cluster, coalesce(lead(s0) OVER (PARTITION BY g ORDER BY s0), len(xs)) AS until FROM st)
+SELECT g, cluster, xs[s0 + 1] AS low, xs[until] AS high, until - s0 AS n FROM e""")
 def _(t):
-    c = S.gap_clusters(li_sizes(t), ["g"], "s", 0.06, relative=True)
-    return c.groupBy("g", "cluster").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.sum("n").alias("n"))
+    k = F.pmod("l_partkey", F.lit(90))
+    size = 5 * F.pow(F.lit(1.015), k) * (1 + F.pmod("l_suppkey", F.lit(5)) / 400.0) + F.when(k > 60, 4).otherwise(0)
+    sizes = t.lineitem.select(F.col("l_returnflag").alias("g"), F.round(size, 4).alias("s"))
+    return S.median_clusters(sizes, ["g"], "s", 0.06).groupBy("g", "cluster").agg(F.min("s").alias("low"), F.max("s").alias("high"), F.sum("n").alias("n"))
 
 
 @query("F5_drop_noise_groups", f"""{FAM}, {CLUSTER}, k AS (SELECT g, cluster, sum(n) AS n FROM cl GROUP BY ALL)
 SELECT g, cluster, n::BIGINT AS n FROM (SELECT *, sum(n) OVER (PARTITION BY g) AS a FROM k) WHERE n >= greatest(8, 0.25 * a)""")
 def _(t):
-    c = S.gap_clusters(li_sizes(t), ["g"], "s", 0.06, relative=True).groupBy("g", "cluster").agg(F.sum("n").alias("n"))
+    c = S.median_clusters(li_sizes(t), ["g"], "s", 0.06).groupBy("g", "cluster").agg(F.sum("n").alias("n"))
     return S.drop_noise(c, ["g"], 0.25)
 
 

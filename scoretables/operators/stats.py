@@ -6,13 +6,16 @@ distinct values then gives every quantile in one pass, also for a group that hol
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pitch import js_round
-from .scan import ALL, Ordered, lag, row_number, running_sum, total
+from ..session import cut_lineage
+from .scan import ALL, BLOCK, Ordered, lag, last_value, row_number, running_sum, total
 
 
 def floor_index(p: float):
@@ -148,6 +151,81 @@ def gap_clusters(df: DataFrame, keys: list[str], value: str, tol, relative: bool
     return o.done().drop("__prev", "__new", "__tol")
 
 
+def _median_starts(tol: float):
+    """Marks the rows that start a cluster; rows (value, n, first) come sorted, `first` at the start of each stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ends, size, at = [], [], 0, 0
+        for b in batches:
+            starts = []
+            for v, n, first in zip(b.column("__x").to_pylist(), b.column("n").to_pylist(), b.column("__first").to_pylist(), strict=True):
+                start = first
+                if not first:
+                    while ends[at] <= size // 2:  # the median only moves up
+                        at += 1
+                    start = abs(v - values[at]) / max(values[at], 0.01) > tol
+                if start:
+                    values, ends, size, at = [], [], 0, 0
+                size += n
+                values.append(v)
+                ends.append(size)
+                starts.append(int(start))
+            yield b.append_column("__start", pa.array(starts, pa.int32()))
+
+    return run
+
+
+def _median_rounds(rows: DataFrame, by: list[str], tol: float, max_rows: int) -> DataFrame:
+    """(by, __at) of the cluster starts of long stretches; rows: (by, __x, __at), __at being how many values come before.
+
+    Each round finds the next start of every stretch: each value is held against the one half way back to the current
+    start, which an ordered pass brings to it.  A cluster without a gap spans a factor of 1 + tol at least, so there are
+    as many rounds as such factors in a stretch, however many values it has.
+    """
+    current = cut_lineage(rows.groupBy(*by).agg(F.lit(0).cast("long").alias("__s")))
+    starts = [current]
+    while not current.isEmpty():
+        live = null_safe_join(rows, current, by).filter(F.col("__at") >= F.col("__s"))
+        held = live.select(*by, F.col("__at").alias("__pos"), F.lit(0).alias("__kind"), "__at", "__x", F.col("__x").alias("__held"))
+        asked = live.filter(F.col("__at") > F.col("__s")).select(
+            *by, (F.col("__s") + F.floor((F.col("__at") - F.col("__s")) / 2)).alias("__pos"), F.lit(1).alias("__kind"), "__at", "__x", F.lit(None).cast("double").alias("__held"))
+        o = Ordered.of(held.unionByName(asked), by, ["__pos", "__kind", "__at"], max_rows=max_rows).add(__mid=last_value("__held"))
+        far = F.abs(F.col("__x") - F.col("__mid")) / F.greatest(F.col("__mid"), F.lit(0.01)) > tol
+        current = cut_lineage(o.df.filter((F.col("__kind") == 1) & far).groupBy(*by).agg(F.min("__at").alias("__s")))
+        starts.append(current)
+    return reduce(lambda a, b: a.unionByName(b), starts).withColumnRenamed("__s", "__at")
+
+
+def median_clusters(df: DataFrame, keys: list[str], value: str, tol: float, name: str = "cluster") -> DataFrame:
+    """Distinct values per group with a cluster number: a new one where a value is further than `tol` from the median of
+    the cluster so far, relative to that median (0.01 at least).
+
+    In sorted order the median of a cluster is its value half way between its start and here.  A step of more than `tol`
+    from the value before always starts a cluster, as the median is no larger than that value; so the stretches between
+    such steps are walked on their own, in tasks that hold many of them, and long ones (`scoretables.maxGroupRows`
+    distinct values) in rounds over all tasks.  Equal values never part.  NULL and NaN are left out.
+    Returns (keys, value, n, cluster), clusters counted from 0; join back on (keys, value) to label rows.
+    """
+    x = F.col(value).cast("double")
+    parts = gap_clusters(df.filter(x.isNotNull() & ~F.isnan(x)), keys, value, tol, relative=True, name="__part").withColumn("__x", x)
+    by = [*keys, "__part"]
+    o = Ordered.of(parts, by, [value], probe=None).add(__at=running_sum("n", before=True))
+    rows = o.done().withColumn("__first", F.col("__at") == 0)
+    long = None
+    if o.blocked:
+        rows = o.df.withColumn("__first", F.col("__at") == 0)
+        long, rows = cut_lineage(rows.filter(F.col(BLOCK) >= 0).drop(BLOCK)), rows.filter(F.col(BLOCK) < 0).drop(BLOCK)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", __start int"
+    walked = rows.repartition(*by).sortWithinPartitions(*by, value).mapInArrow(_median_starts(tol), ddl)
+    if long is not None:
+        starts = _median_rounds(long.select(*by, "__x", "__at"), by, tol, o.max_rows).withColumn("__start", F.lit(1))
+        marked = null_safe_join(long, starts, [*by, "__at"], "left")
+        walked = walked.unionByName(marked.withColumn("__start", F.coalesce("__start", F.lit(0))))
+    walked = cut_lineage(walked.select(*keys, value, "n", "__start"))
+    o = Ordered.of(walked, keys, [value]).add(**{name: running_sum("__start")})
+    return o.with_column(name, F.col(name) - 1).done().select(*keys, value, "n", name)
+
+
 def drop_noise(clusters: DataFrame, keys: list[str], share: float = 0.1, least: int = 8) -> DataFrame:
     """Keep groups (column `n`) of at least `least` members and `share` of all members under `keys`."""
     sums = clusters.groupBy(*keys).agg(F.sum("n").alias("__all"))
@@ -157,7 +235,7 @@ def drop_noise(clusters: DataFrame, keys: list[str], share: float = 0.1, least:
 
 def families(df: DataFrame, keys: list[str], size: str, width: str, y: str, tol: float = 0.06, share: float = 0.001) -> DataFrame:
     """Per size cluster: centre, range, count, median width and the y spread; noise clusters left out."""
-    lab = gap_clusters(df, keys, size, tol, relative=True).drop("n")
+    lab = median_clusters(df, keys, size, tol).drop("n")
     rows = null_safe_join(df, lab, [*keys, size])
     by = [*keys, "cluster"]
     span = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(size).alias("low"), F.max(size).alias("high"))
