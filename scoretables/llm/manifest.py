@@ -82,13 +82,13 @@ def grow(leaves: DataFrame, fanout: int = FANOUT) -> tuple[list[DataFrame], Data
     """The runs of each level, lowest first, and (part, h, level): the last node of each part and the level it is on."""
     nodes, levels, ends = leaves.select(PART, "idx", "h"), [], []
     while True:
-        many = open_parts(nodes)
-        ends.append(nodes.filter("idx = 0").join(many, PART, "left_anti").select(PART, "h", F.lit(len(levels)).alias("level")))
+        many, first = open_parts(nodes), nodes.filter("idx = 0")
+        ends.append(first.join(many, PART, "left_anti").select(PART, "h", F.lit(len(levels)).alias("level")))
         if many.isEmpty():
             break
-        # only the first nodes may be all of a part, so only they are looked at by part
-        done = ends[-1].select(PART, F.lit(0).cast("bigint").alias("idx"))
-        runs = cut_lineage(runs_of(nodes.join(done, [PART, "idx"], "left_anti"), fanout))
+        # only the first nodes may be all of a part, so only they are looked up by part
+        live = nodes.filter("idx > 0").unionByName(first.join(many, PART, "left_semi"))
+        runs = cut_lineage(runs_of(live, fanout))
         levels.append(runs)
         nodes = runs.select(PART, "idx", F.sha2(F.array_join("hs", ""), 256).alias("h"))
     out = ends[0]
@@ -153,7 +153,8 @@ def manifest(docs: DataFrame, doc_id: str = "doc_id", part: str = "lang", column
     # parts as texts that sort null first and otherwise by their bytes
     key = F.coalesce(F.concat(F.lit("1"), F.col(part).cast("string")), F.lit("0"))
     rows = docs.select(key.alias(PART), F.col(doc_id).cast("bigint").alias("doc_id"), digest(values).alias("h"), digest(changed).alias("tampered"))
-    leaves = cut_lineage(numbered(rows, ["doc_id", "h"]))
+    # written before ranges are taken, which reads them twice
+    leaves = cut_lineage(numbered(cut_lineage(rows), ["doc_id", "h"]))
     levels, ends = grow(leaves, fanout)
 
     # the last nodes of the parts are the leaves of one more tree
