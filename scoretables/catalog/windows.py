@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence as Q
@@ -168,14 +169,24 @@ def _(t):
     return Q.segment_by_title(t.conversations, ["conv_id"], ["turn"], F.col("role") == "user").select("conv_id", "turn", "segment")
 
 
-@query("W16_expected_next", f"""{BOOK}, v AS (SELECT book, index - printed AS o, count(*) AS n, min(index) AS f FROM bp WHERE printed IS NOT NULL GROUP BY ALL),
-w AS (SELECT book, o FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, f) AS r FROM v) WHERE r = 1 AND n >= 3)
-SELECT index, CASE WHEN index - o IN (printed, printed - 2, index - 3) THEN index - o ELSE printed END AS page FROM bp LEFT JOIN w USING (book)""")
+# readings of a page: what was read first, two less, and what the running number might be
+CHAIN = """WITH RECURSIVE bp AS (SELECT o_custkey % 50 AS book, o_orderkey AS idx, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS r, CASE WHEN o_orderpriority = '5-LOW' THEN NULL
+  WHEN o_orderstatus = 'F' THEN o_orderkey - 3 ELSE o_orderkey - o_custkey % 7 END AS printed FROM orders),
+c AS (SELECT *, [printed, printed - 2, CASE WHEN idx % 3 > 0 THEN r + 40 END, CASE WHEN idx % 2 > 0 THEN lag(printed) OVER (PARTITION BY book ORDER BY idx) + 1 END] AS cands FROM bp),
+f(book, r, idx, page, last) AS (SELECT book, r, idx, printed, printed FROM c WHERE r = 1 UNION ALL
+  SELECT book, r, idx, page, coalesce(page, l + 1) FROM (SELECT c.book, c.r, c.idx, f.last AS l, CASE WHEN coalesce(list_contains(c.cands, f.last + 1), false) THEN f.last + 1 ELSE c.printed END AS page FROM f JOIN c ON c.book = f.book AND c.r = f.r + 1))"""
+
+
+@query("W16_expected_next", f"""{CHAIN} SELECT idx AS "index", page FROM f""")
 def _(t):
     from ..plans.book import expected_pages
 
-    pages = book_pages(t).withColumn("cands", F.array("printed", F.col("printed") - 2, F.col("index") - 3))
-    return expected_pages(pages, "book", "index", "printed", "titles", "cands").select("index", "page")
+    by = Window.partitionBy("book").orderBy("index")
+    r, was = F.row_number().over(by), F.lag("printed").over(by)
+    i = F.col("index")
+    cands = F.array("printed", F.col("printed") - 2, F.when(i % 3 > 0, r + 40), F.when(i % 2 > 0, was + 1))
+    pages = book_pages(t).withColumn("cands", cands)
+    return expected_pages(pages, "book", "index", "printed", "cands").select("index", "page")
 
 
 WORDS = "regexp_extract_all(line, '[A-Za-z]+')"
