@@ -161,21 +161,29 @@ def cascade(rules: DataFrame, contexts: DataFrame, conditions: list[str], order:
     rule latest in `order` wins.
 
     Rules that state the same conditions with the same values are one before they meet a context: per property the
-    latest of them.  Then there is one equi-join for each set of stated conditions.
+    latest of them.  Each is posted under one of its conditions, the one that fewest contexts meet; contexts look up all
+    their values among the postings in one equi-join, and the other conditions are checked there.  So the work doesn't
+    depend on how many sets of conditions there may be.  A rule without conditions meets all contexts.
     """
     ctx = contexts.select(*conditions).distinct()
+    names = [f"__{p}" for p in props]
     last = [F.max(F.when(F.col(p).isNotNull(), F.struct(F.col(order).alias("o"), F.col(p).alias("v")))).alias(f"__{p}") for p in props]
-    parts = []
-    for bits in range(2 ** len(conditions)):
-        on = [c for i, c in enumerate(conditions) if bits >> i & 1]
-        kind = reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in on else F.col(c).isNull() for c in conditions])
-        r = rules.filter(kind)
-        if on:
-            parts.append(ctx.join(r.groupBy(*on).agg(*last), on).select(*conditions, *[f"__{p}" for p in props]))
-        else:
-            parts.append(attach(ctx, r.agg(*last)))
-    met = reduce(lambda a, b: a.unionByName(b), parts)
-    best = met.groupBy(*conditions).agg(*[F.max(f"__{p}").alias(f"__{p}") for p in props])
+    stated = F.filter(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).cast("string").alias("is")) for i, c in enumerate(conditions)]), lambda x: x["is"].isNotNull())
+    one = rules.groupBy(*conditions).agg(*last).withColumn("__stated", stated)
+
+    values = ctx.select(*conditions, F.explode(stated).alias("__e")).select(*conditions, "__e.*")
+    met_by = values.groupBy("at", "is").agg(F.count(F.lit(1)).alias("__n"))
+    rule = F.struct(*conditions).alias("__rule")
+    each = one.filter(F.size("__stated") > 0).select(rule, *names, F.explode("__stated").alias("__e")).select("__rule", *names, "__e.*")
+    each = each.join(met_by, ["at", "is"], "left")
+    # a value that no context has leaves the rule out
+    posted = each.groupBy("__rule").agg(F.min_by(F.struct("at", "is"), F.struct(F.coalesce("__n", F.lit(0)), "at")).alias("__post"), F.count_if(F.col("__n").isNull()).alias("__unmet"),
+                                        *[F.first(n).alias(n) for n in names]).filter("__unmet = 0")
+    posted = posted.select("__rule", *names, "__post.*")
+    fits = reduce(lambda a, b: a & b, [F.col(f"__rule.{c}").isNull() | F.coalesce(F.col(f"__rule.{c}") == F.col(c), F.lit(False)) for c in conditions])
+    met = values.join(posted, ["at", "is"]).filter(fits).select(*conditions, *names)
+    free = attach(ctx, one.filter(F.size("__stated") == 0).agg(*[F.max(n).alias(n) for n in names]))
+    best = met.unionByName(free).groupBy(*conditions).agg(*[F.max(n).alias(n) for n in names])
     return best.select(*conditions, *[F.col(f"__{p}.v").alias(p) for p in props])
 
 
