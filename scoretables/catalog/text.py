@@ -94,18 +94,16 @@ def _(t):
 WORDS = ["m f", "P.P.", "sfz", "D.C. al Fine", "Fine.", "To Coda", "coda", "d.s. al coda", "poco rit.", "allegro"]
 
 
-TERMS = ["fine", "coda", "d.c", "d.s", "poco", "rit", "allegro", "molto", "tempo"]
-
 
 @query("T8_words", f"""WITH k(i, dynamic, jump, stays, term) AS (VALUES (0, 'mf', NULL, false, false), (1, 'pp', NULL, false, false), (2, 'sfz', NULL, false, false),
  (3, NULL, 'DaCapo', true, true), (4, NULL, 'Fine', false, true), (5, NULL, 'ToCoda', true, true), (6, NULL, 'Coda', false, true), (7, NULL, 'DalSegno', true, true), (8, NULL, NULL, false, true), (9, NULL, NULL, false, true)),
 w AS (SELECT p_partkey % 10 AS i, p_size % 3 = 0 AS long, CASE WHEN p_size % 3 = 0 THEN p_name END AS name FROM part)
 SELECT {sql_list(WORDS)}[i + 1] || coalesce(' ' || name, '') AS txt, CASE WHEN NOT long THEN dynamic END AS dynamic, CASE WHEN NOT long OR stays THEN jump END AS jump,
- term OR (long AND list_has_any(string_split(lower(name), ' '), {sql_list(TERMS)})) AS term, count(*) AS n FROM w JOIN k USING (i) GROUP BY ALL""")
+ term OR (long AND list_has_any(string_split(lower(name), ' '), {sql_list(X.TERMS)})) AS term, count(*) AS n FROM w JOIN k USING (i) GROUP BY ALL""")
 def _(t):
     txt = F.concat(pick(WORDS, "p_partkey"), F.when(F.pmod("p_size", F.lit(3)) == 0, F.concat(F.lit(" "), F.col("p_name"))).otherwise(""))
     return tally(t.part.select(txt.alias("txt")), "txt", X.dynamic("txt").alias("dynamic"), X.jump("txt").alias("jump"),
-                 X.has_term("txt", TERMS).alias("term"))
+                 X.has_term("txt").alias("term"))
 
 
 CREDITS = ["词曲：", "作词: ", "编 曲：", "译配:", "打谱：", "Arr: ", "", ""]
