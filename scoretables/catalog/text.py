@@ -165,15 +165,20 @@ def _(t):
 IS_SECTION = "regexp_replace(lower({w}), '\\s*[0-9]+$', '') IN " + str(tuple(X.SECTION_WORDS))
 
 
-@query("T12_classify_line", f"""WITH {LINES}, s AS (SELECT lang, trim(line) AS t, string_split_regex(regexp_replace(trim(line), '{X.BRACKETED}', ' ', 'g'), '\\s+') AS ws FROM lines),
-b AS (SELECT lang, t, array_to_string(list_filter(ws, lambda w, i: NOT ({IS_SECTION.replace('{w}', 'w')}) AND NOT (regexp_full_match(w, '[0-9]+') AND i > 1 AND coalesce({IS_SECTION.replace('{w}', 'ws[i - 1]')}, false))), ' ') AS bare FROM s),
+# credits in smaller print: Latin text in brackets, a Latin name before roles (at the end, as any two characters before a role), a year
+SMALL_CREDIT = (f"regexp_matches(t, '{X.LATIN_BRACKETED.replace(chr(39), chr(39) * 2)}') OR regexp_matches(t, '^\\D{{2,}}[,，(（ ]\\s*(?:1[0-9]|20)[0-9]{{2}}[)）]?$') "
+                "OR (length(regexp_replace(t, '\\s', '', 'g')) > 2 AND regexp_matches(regexp_replace(t, '\\s', '', 'g'), '^..+(词曲|作词|作曲|编曲|词|曲|詞|译|譯)$'))")
+
+
+@query("T12_classify_line", f"""WITH {LINES}, s AS (SELECT lang, trim(line) AS t, length(line) % 2 = 0 AS small, string_split_regex(regexp_replace(trim(line), '{X.BRACKETED}', ' ', 'g'), '\\s+') AS ws FROM lines),
+b AS (SELECT lang, t, small, array_to_string(list_filter(ws, lambda w, i: NOT ({IS_SECTION.replace('{w}', 'w')}) AND NOT (regexp_full_match(w, '[0-9]+') AND i > 1 AND coalesce({IS_SECTION.replace('{w}', 'ws[i - 1]')}, false))), ' ') AS bare FROM s),
 k AS (SELECT *, length(replace(sp, ' ', '')) AS total, regexp_extract_all(sp, '{CHORD_RE}', 1) AS toks FROM (SELECT *, {SPACED_SQL.replace('{x}', 'bare')} AS sp FROM b)),
 h AS (SELECT *, len(toks) AS ntok, coalesce(list_sum(list_transform(toks, lambda x: length(x))), 0) AS hit, lower(regexp_extract(t, '^(\\w+)', 1)) AS word FROM k)
 SELECT lang, CASE WHEN t <> '' AND (trim(bare) = '' OR (regexp_matches(bare, '[A-Za-z]') AND CASE WHEN ntok >= 2 THEN hit >= total*0.85 ELSE ntok = 1 AND hit = total END)) THEN 'annotation'
-  WHEN word IN ('the', 'and', 'words', 'music') THEN 'credit' WHEN word IN ('copyright', 'license') OR t LIKE '©%' THEN 'rights'
+  WHEN word IN ('the', 'and', 'words', 'music') OR (small AND ({SMALL_CREDIT})) THEN 'credit' WHEN word IN ('copyright', 'license') OR t LIKE '©%' THEN 'rights'
   WHEN regexp_matches(t, '[（(]\\d+[)）]\\s*$') THEN 'toc' WHEN regexp_matches(t, '[0-9)]\\s*$') THEN 'index' ELSE 'text' END AS kind, count(*) AS n FROM h GROUP BY ALL""")
 def _(t):
-    kind = X.classify_line("line", credit=FIRST_WORDS, rights=RIGHTS, index=r"[0-9)]\s*$")
+    kind = X.classify_line("line", credit=FIRST_WORDS, rights=RIGHTS, index=r"[0-9)]\s*$", smaller=F.length("line") % 2 == 0)
     return tally(doc_lines(t), "lang", kind.alias("kind"))
 
 

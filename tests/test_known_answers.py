@@ -175,3 +175,28 @@ def test_reconcile(spark):
     found = spark.createDataFrame([("b", 1, 5), ("b", 1, 6), ("b", 4, 1)], "book string, number bigint, page bigint")
     got = {(r.kind, r.number) for r in J.toc_reconcile(found, toc, "book", "number", "page").collect()}
     assert got == {("missing", 2), ("missing", 3), ("extra", 4), ("duplicate", 1), ("page", 1)}
+
+
+def test_metronome_marks(spark):
+    texts = {"= 7  2": None, "= 7 2": 72, "=72": 72, "= 1 2 0": 120, "= 1  20": None, "= 1  20 = 96": 96, "= c. 66": 66, "＝circa 80": 80, "= C 80": None, "= . 80": None, "= 300": None, "= 29": None, "= 1=40": 40, "速 = 80": None, "": None}
+    got = {r.t: r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.metronome("t").alias("m")).collect()}
+    assert {t: m and m.bpm for t, m in got.items()} == texts
+    assert got["= c. 66"].circa and not got["=72"].circa and got["＝circa 80"].circa
+
+
+def test_credits_in_smaller_print(spark):
+    texts = ["(John Laudon)", "（A. B-C）", "(words 3)", "John Laudon 词曲", "J. Smith 作词、作曲", "John Laudon", "盛晓玫 词曲", "Words by X"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [(r.small, r.large) for r in rows.select("i", X.is_credit("t", smaller=F.lit(True)).alias("small"), X.is_credit("t", smaller=F.lit(False)).alias("large")).orderBy("i").collect()]
+    assert got == [(True, False), (True, False), (False, False), (True, False), (True, False), (False, False), (True, False), (True, True)]
+
+
+def test_line_offsets_stay_in_their_row(spark):
+    text = "\n".join("x" * (i % 7) + "é" * (i % 3) for i in range(1500))
+    rows = spark.createDataFrame([(1, "ab\r\nc\n\nd"), (1, "zz\ny"), (2, ""), (3, None), (4, text)], "d int, t string")
+    table = X.line_table(rows, "d", "t")
+    assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.d, r.line_no, r.line, r.offset) for r in table.filter("d < 4").collect())
+    assert got == [(1, 0, "ab", 0), (1, 0, "zz", 0), (1, 1, "c", 3), (1, 1, "y", 3), (1, 2, "", 5), (1, 3, "d", 6), (2, 0, "", 0)]
+    for r in table.filter("d = 4").collect():
+        assert text[r.offset : r.offset + len(r.line)] == r.line and text[: r.offset].count("\n") == r.line_no
