@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import notes as N
 from .pitch import L
 from .registry import query
-from .votes import EV, ev
+from .votes import EV, ev, with_k
 
 # A user's events as notes of a file: start from the event number, length from the value in the properties.
 NOTES = "n AS (SELECT user_id % 20 AS part, event_id AS id, event_id * 7 AS s, event_id * 7 + 5 + k AS e, 60 + k % 4 AS pitch, k FROM ev)"
@@ -18,16 +18,27 @@ def ev_notes(t):
                         (F.col("event_id") * 7 + 5 + F.col("k")).alias("e"), (F.pmod("k", F.lit(4)) + 60).alias("pitch"), "k")
 
 
-@query("W24_pair_on_off", f"""{EV}, a AS (SELECT user_id, k % 2 AS pitch, event_id, ts, event_type = 'click' AS on_, row_number() OVER (PARTITION BY user_id, k % 2 ORDER BY ts, event_id) AS r FROM ev WHERE event_type IN ('click', 'view')),
+PAIRS = f"""{EV}, a AS (SELECT user_id, k % 2 AS pitch, event_id, ts, event_type = 'click' AS on_, row_number() OVER (PARTITION BY user_id, k % 2 ORDER BY ts, event_id) AS r FROM ev WHERE event_type IN ('click', 'view')),
 b AS (SELECT *, sum(CASE WHEN on_ THEN 1 ELSE -1 END) OVER (PARTITION BY user_id, pitch ORDER BY r) AS bal FROM a),
 c AS (SELECT *, min(bal) OVER (PARTITION BY user_id, pitch ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY user_id, pitch, on_ ORDER BY r) AS k FROM c WHERE on_ OR NOT (bal < least(0, coalesce(low, 0))))
-SELECT user_id, pitch, k, max(event_id) FILTER (on_) AS t_on, max(event_id) FILTER (NOT on_) AS t_off FROM d GROUP BY ALL""")
+SELECT user_id, pitch, k, max(event_id) FILTER (on_) AS t_on, max(event_id) FILTER (NOT on_) AS t_off FROM d GROUP BY ALL"""
+
+
+@query("W24_pair_on_off", PAIRS)
 def _(t):
     e = ev(t).withColumn("pitch", F.pmod("k", F.lit(2)))
     return N.pair_on_off(e, ["user_id", "pitch"], ["ts", "event_id"], "event_id", F.col("event_type") == "click", F.col("event_type") == "view")
 
 
+@query("W24_pair_on_off_stream", PAIRS)
+def _(t):
+    from ..streaming.ordered import pair_table
+
+    kind = F.col("event_type")
+    return pair_table(t.spark, f"{t.folder}/events.parquet", lambda e: with_k(e).withColumn("pitch", F.pmod("k", F.lit(2))), ["user_id", "pitch"], "ts", "event_id", "event_id", kind == "click", kind == "view")
+
+
 METERS = "mt AS (SELECT user_id % 20 AS part, event_id * 7 AS ats, 2 + k % 5 AS beats, [2, 4, 8][k % 3 + 1] AS bt FROM ev WHERE k > 97), en AS (SELECT part, max(e) + 1 AS until FROM n GROUP BY ALL)"
 GRID = f"""{METERS}, m0 AS (SELECT part, (floor(ats/6.0 + 0.5)*6)::BIGINT AS ats, beats, bt, 1 AS r FROM mt UNION ALL SELECT part, 0, 4, 4, 0 FROM en),
 m1 AS (SELECT part, ats, arg_max(beats, r) AS beats, arg_max(bt, r) AS bt FROM m0 GROUP BY ALL),

@@ -15,9 +15,13 @@ from .text import LINES, doc_lines
 K = "json_extract(props, '$.k')::BIGINT"
 
 
-def ev(t):
+def with_k(events):
     """Events with the number in their properties."""
-    return t.events.withColumn("k", F.get_json_object("props", "$.k").cast(L)).drop("props")
+    return events.withColumn("k", F.get_json_object("props", "$.k").cast(L)).drop("props")
+
+
+def ev(t):
+    return with_k(t.events)
 
 
 EV = f"WITH ev AS (SELECT event_id, ts, user_id, event_type, value, {K} AS k FROM events)"
