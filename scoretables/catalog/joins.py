@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
@@ -9,6 +11,8 @@ from ..operators import sequence as Q
 from ..operators import shapes as H
 from ..operators.stats import numbered
 from ..plans import regress as R
+from ..session import shared_folder
+from ..sources.store import Store
 from .pitch import L
 from .registry import query
 from .text import doc_lines, LINES
@@ -256,7 +260,10 @@ def _(t):
 @query("S8_upsert_latest", f"""WITH {BASE}, {NOW}, p AS (SELECT * FROM n WHERE key % 3 = 0) SELECT key, class, used, scratch FROM p UNION ALL SELECT key, class, used, scratch FROM b WHERE key NOT IN (SELECT key FROM p)""")
 def _(t):
     base, now = runs(t)
-    return R.upsert_latest(base, now.filter(F.pmod("key", F.lit(3)) == 0), ["key"])
+    store = Store(t.spark, f"{shared_folder(t.spark)}/report-{uuid.uuid4().hex}", ["key"])
+    store.upsert(base)
+    store.upsert(now.filter(F.pmod("key", F.lit(3)) == 0))
+    return store.read()
 
 
 @query("J16_refrain_or_verse", """WITH l AS (SELECT conv_id, turn // 2 AS note, turn, turn % 3 AS verse, CASE WHEN length(text) % 4 = 0 THEN '' ELSE text END AS txt, role = 'system' AS ref, conv_id % 3 AS pass FROM conversations),

@@ -11,6 +11,7 @@ from ..functions.text import natural_key
 from ..session import shared_folder
 from ..sources import files as S
 from ..sources.musicxml import musicxml_measures, musicxml_notes
+from ..sources.store import Store
 from ..sources.tables import BOUND, load_tables
 from .pitch import L
 from .registry import query
@@ -99,5 +100,6 @@ def _(t):
     def work(df, cached=False):
         return df.select("key", F.md5("text").alias("digest"), F.length("text").cast(L).alias("size"), F.lit(cached).alias("cached"))
 
-    before = work(docs.filter("doc_id % 2 = 0").dropDuplicates(["key"]), True)
-    return S.incremental_apply(docs, before, "key", work).select("digest", "size", "cached")
+    store = Store(t.spark, f"{shared_folder(t.spark)}/cache-{uuid.uuid4().hex}", ["key"])
+    store.upsert(work(docs.filter("doc_id % 2 = 0").dropDuplicates(["key"]), True))
+    return store.apply(docs, work).select("digest", "size", "cached")
