@@ -7,20 +7,23 @@ later, the masks counted for the old one are retracted and counted again as repe
 counters by (part, mask, labels), whose sums are right once all files are read.  From the 2 ** n sums of a part follow
 the counts for all n! orders, as a filter's removals depend only on the set of filters before it.
 
-State is keyed by the digest of a text and kept in RocksDB with checkpoints in the shared folder, as is the stream's
-output, so a lost executor or a restart repeats no change.  Before rows are dealt to the state, each batch of a task is
-reduced to one row for each text: rows beyond the batch's least id are repeats already.
+State is keyed by the digest of a text, several digests to a bucket, and kept in RocksDB with checkpoints in the shared
+folder, as is the stream's output, so a lost executor or a restart repeats no change.  Before rows are dealt to the
+state, each batch of a task is reduced to one row for each text: rows beyond the batch's least id are repeats already.
 """
 
 from __future__ import annotations
 
+import io
 import itertools
 import math
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -43,7 +46,10 @@ FILTERS: dict[str, Callable[[Column, Column], Column]] = {
 BATCHES = 4
 LABELS = ["quality", "toxic"]
 COUNTED = "part string, mask int, quality int, toxic int, delta bigint"
-STATE = "doc_id bigint, masks array<struct<part:string,mask:int,quality:int,toxic:int,n:bigint>>"
+#: State of a bucket of texts: the rows counted for each text's least id, as Arrow bytes.
+STATE = "rows binary"
+#: Buckets of texts for each partition of the state, so that a bucket stays small and a key isn't a single text.
+BUCKETS = 16
 
 
 def masked(docs: DataFrame, filters: dict, doc_id: str = "doc_id", text: str = "text", part: str = "source") -> DataFrame:
@@ -55,61 +61,57 @@ def masked(docs: DataFrame, filters: dict, doc_id: str = "doc_id", text: str = "
     return rows.select(F.sha2("text", 256).alias("text_key"), "doc_id", "part", sum(bits[1:], bits[0]).cast("int").alias("mask"))
 
 
-def _by_text(batches: Iterator[pa.RecordBatch], repeat: int) -> Iterator[pa.RecordBatch]:
-    """One row for each text and kind of row with its least id; the others' counts come under a key of their own.
+FIELDS = ["part", "mask", *LABELS]
+#: A row to the state: counts of one text and id, or (without an id) counts that no later row changes.
+TOLD = pa.schema([("bucket", pa.int64()), ("text_key", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("quality", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())])
+
+
+def _judged(rows: pd.DataFrame, repeat: int) -> pd.DataFrame:
+    """rows (with ids) with `beyond`: whether the text has a smaller id among them."""
+    least = rows.groupby("text_key", sort=False)["doc_id"].transform("min")
+    return rows.assign(beyond=(rows["doc_id"] > least).to_numpy(bool))
+
+
+def _by_text(batches: Iterator[pa.RecordBatch], repeat: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch counted by text, id and kind; rows beyond the batch's least id of their text are repeats for good.
 
     A null id gives no reference and is no repeat.
     """
-    fields = ["part", "mask", *LABELS]
     for b in batches:
-        rows = b.to_pandas(integer_object_nulls=False)
-        known = rows["doc_id"].notna()
-        ids = pd.array(b.column("doc_id"), dtype="Int64")
-        rows["doc_id"] = ids
-        least = rows["doc_id"].groupby(rows["text_key"]).transform("min")
-        beyond = known & (rows["doc_id"] > least).fillna(False).astype(bool)
-        rows.loc[beyond, "mask"] |= repeat
-        settled = beyond | ~known
-        rows.loc[settled, "doc_id"] = pd.NA
-        # counts that no later row changes need no text; they are spread over as many keys as there are kinds
-        rows.loc[settled, "text_key"] = ""
-        out = rows.groupby(["text_key", "doc_id", *fields], dropna=False, sort=False).size().rename("n").reset_index()
-        loose = out["text_key"] == ""
-        out.loc[loose, "text_key"] = "-" + out.loc[loose, "part"] + "-" + out.loc[loose, "mask"].astype(str)
-        yield pa.RecordBatch.from_pandas(out[["text_key", "doc_id", *fields, "n"]], schema=pa.schema(
-            [("text_key", pa.string()), ("doc_id", pa.int64()), ("part", pa.string()), ("mask", pa.int32()), ("quality", pa.int32()), ("toxic", pa.int32()), ("n", pa.int64())]), preserve_index=False)
+        if not b.num_rows:
+            continue
+        known = b.column("doc_id").is_valid()
+        rows = _judged(b.filter(known).to_pandas(), repeat)
+        rows.loc[rows["beyond"], "mask"] |= repeat
+        first = rows[~rows["beyond"]].groupby(["text_key", "doc_id", *FIELDS], sort=False).size().rename("n").reset_index()
+        first["bucket"] = [int(k[:15], 16) % buckets for k in first["text_key"]]
+        loose = pd.concat([rows.loc[rows["beyond"], FIELDS], b.filter(pa.compute.invert(known)).select(FIELDS).to_pandas()])
+        loose = loose.groupby(FIELDS, sort=False).size().rename("n").reset_index()
+        # settled counts may go to any bucket
+        loose["bucket"] = [zlib.crc32(f"{p} {m}".encode()) % buckets for p, m in zip(loose["part"], loose["mask"], strict=True)]
+        for part in (first, loose.assign(text_key="", doc_id=None)):
+            yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type, from_pandas=True) for f in TOLD], schema=TOLD)
 
 
 def _updates(repeat: int):
-    """What the rows of one text change, given the least id met before."""
+    """What new rows of a bucket of texts change, given the rows counted for each text's least id so far."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        least, counted, out = None, [], []
-        if state.exists:
-            least, masks = state.get
-            counted = [tuple(m) for m in masks]
-        before = (least, len(counted))
-        for rows in frames:
-            for doc_id, part, mask, quality, toxic, n in zip(rows["doc_id"], rows["part"], rows["mask"], rows["quality"], rows["toxic"], rows["n"], strict=True):
-                row = (part, int(mask), int(quality), int(toxic), int(n))
-                if pd.isna(doc_id):
-                    out.append(row)
-                elif least is None or doc_id < least:
-                    for p, m, q, t, k in counted:
-                        out += [(p, m, q, t, -k), (p, m | repeat, q, t, k)]
-                    least, counted = int(doc_id), [row]
-                    out.append(row)
-                elif doc_id == least:
-                    counted.append(row)
-                    out.append(row)
-                else:
-                    out.append((row[0], row[1] | repeat, *row[2:]))
-        if counted and (least, len(counted)) != before:
-            total: dict[tuple, int] = {}
-            for *kind, n in counted:
-                total[tuple(kind)] = total.get(tuple(kind), 0) + n
-            state.update((least, [(*kind, n) for kind, n in total.items()]))
-        yield pd.DataFrame(out, columns=["part", "mask", *LABELS, "delta"])
+        new = pd.concat(list(frames))
+        settled = new["doc_id"].isna()
+        out = [new.loc[settled, [*FIELDS, "n"]]]
+        new = new.loc[~settled, ["text_key", "doc_id", *FIELDS, "n"]].astype({"doc_id": "int64"})
+        if len(new):
+            old = pd.read_feather(io.BytesIO(state.get[0])) if state.exists else new.iloc[:0]
+            both = _judged(pd.concat([old, new], ignore_index=True), repeat)
+            was, beyond = (both.index < len(old)), both["beyond"]
+            back = both[was & beyond]
+            out += [both.loc[~was & ~beyond, [*FIELDS, "n"]], both[beyond].assign(mask=both["mask"] | repeat)[[*FIELDS, "n"]], back.assign(n=-back["n"])[[*FIELDS, "n"]]]
+            kept = both[~beyond].groupby(["text_key", "doc_id", *FIELDS], sort=False)["n"].sum().reset_index()
+            sink = io.BytesIO()
+            kept.to_feather(sink, compression="uncompressed")
+            state.update((sink.getvalue(),))
+        yield pd.concat(out).groupby(FIELDS, sort=False)["n"].sum().rename("delta").reset_index().astype({"mask": "int32", "quality": "int32", "toxic": "int32", "delta": "int64"})
 
     return update
 
@@ -140,8 +142,9 @@ def counters(spark: SparkSession, path: str, labels: DataFrame | None, filters:
         flags = flags.groupBy("__id").agg(*[F.max(x).alias(x) for x in LABELS])
         rows = rows.join(flags, F.col("doc_id") == F.col("__id"), "left")
         rows = rows.select("text_key", "doc_id", "part", "mask", *[F.coalesce((F.col(x) == 1).cast("int"), F.lit(0)).alias(x) for x in LABELS])
-    rows = rows.mapInArrow(lambda b: _by_text(b, repeat), "text_key string, doc_id bigint, part string, mask int, quality int, toxic int, n bigint")
-    changes = rows.groupBy("text_key").applyInPandasWithState(_updates(repeat), COUNTED, STATE, "append", GroupStateTimeout.NoTimeout)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.mapInArrow(lambda b: _by_text(b, repeat, buckets), "bucket bigint, text_key string, doc_id bigint, part string, mask int, quality int, toxic int, n bigint")
+    changes = rows.groupBy("bucket").applyInPandasWithState(_updates(repeat), COUNTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
