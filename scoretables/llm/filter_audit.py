@@ -7,9 +7,10 @@ later, the masks counted for the old one are retracted and counted again as repe
 counters by (part, mask, labels), whose sums are right once all files are read.  From the 2 ** n sums of a part follow
 the counts for all n! orders, as a filter's removals depend only on the set of filters before it.
 
-State is keyed by the digest of a text, several digests to a bucket, and kept in RocksDB with checkpoints in the shared
-folder, as is the stream's output, so a lost executor or a restart repeats no change.  Before rows are dealt to the
-state, each batch of a task is reduced to one row for each text: rows beyond the batch's least id are repeats already.
+State is keyed by the digest of a text, several digests to a bucket, and kept by the session's state store (RocksDB, if
+the session names it, where state outgrows memory) with checkpoints in the shared folder, as is the stream's output, so
+a lost executor or a restart repeats no change.  Before rows are dealt to the state, each batch of a task is reduced to
+one row for each text: rows beyond the batch's least id are repeats already.
 """
 
 from __future__ import annotations
@@ -146,16 +147,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame | None, filters:
     rows = rows.mapInArrow(lambda b: _by_text(b, repeat, buckets), "bucket bigint, text_key string, doc_id bigint, part string, mask int, quality int, toxic int, n bigint")
     changes = rows.groupBy("bucket").applyInPandasWithState(_updates(repeat), COUNTED, STATE, "append", GroupStateTimeout.NoTimeout)
 
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        started = changes.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/changes").trigger(availableNow=True).start()
-    finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+    started = changes.writeStream.format("parquet").option("checkpointLocation", f"{where}/checkpoint").option("path", f"{where}/changes").trigger(availableNow=True).start()
     started.awaitTermination()
     said = spark.read.schema(COUNTED).parquet(f"{where}/changes")
     return said.groupBy("part", "mask", *LABELS).agg(F.sum("delta").alias("n")).filter("n <> 0")
