@@ -15,7 +15,7 @@ from scoretables.llm.common import table
 from scoretables.session import shared_folder
 
 
-KEY = "__row_key"
+KEY, LOOSE = "__row_key", "__loose"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -24,18 +24,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
     So every row is judged by itself.  The digests lie above all usual ids; rows equal in both share a key, and a verdict.
     Only ids are shuffled, unless some repeat.
     """
-    digest = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.md5("text")), 1).bitwiseOR(F.lit(1 << 62))
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("__again"))
+    key = F.col("doc_id").cast("bigint")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
-        return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("bigint"), digest))
-    marked = docs.join(again, F.col("doc_id") == F.col("__again"), "left")
-    return marked.withColumn(KEY, F.when(F.col("__again").isNull() & F.col("doc_id").isNotNull(), F.col("doc_id").cast("bigint")).otherwise(digest)).drop("__again")
+        return docs.withColumn(KEY, key)
+    digest = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.md5("text")), 1).bitwiseOR(F.lit(1 << 62))
+    marked = docs.join(again.filter("__again IS NOT NULL"), F.col("doc_id") == F.col("__again"), "left")
+    return marked.withColumn(KEY, F.when(F.col("__again").isNull() & F.col("doc_id").isNotNull(), key).otherwise(digest)).withColumnRenamed("__again", LOOSE)
 
 
 def _keep(keyed: DataFrame, verdict: DataFrame) -> DataFrame:
     """The rows whose key the verdict (doc_id: the key, kept) keeps.  Only keys of rows that go are shuffled beside the documents."""
     gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return keyed.join(gone, F.col(KEY) == F.col("__gone"), "left_anti").drop(KEY)
+    return keyed.join(gone, F.col(KEY) == F.col("__gone"), "left_anti").drop(KEY, LOOSE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group; of rows equal in id and text one."""
     docs = _keyed(docs)
-    own = F.col(KEY).eqNullSafe(F.col("doc_id").cast("bigint"))
-    docs = docs.filter(own).unionByName(docs.filter(~own).dropDuplicates([KEY]))
+    if LOOSE in docs.columns:
+        own = F.col(KEY).eqNullSafe(F.col("doc_id").cast("bigint"))
+        docs = docs.filter(own).unionByName(docs.filter(~own).dropDuplicates([KEY]))
     return _keep(docs, near_dup.near_duplicates(docs, doc_id=KEY))
 
 
