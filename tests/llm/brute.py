@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import re
 
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -58,6 +59,23 @@ def substring(docs, n=13):
     return out
 
 
+def placed(key, shards):
+    """(region, rack, shard) by weighted hash draws among the children at each level."""
+    way = ()
+    for depth in range(3):
+        below = collections.Counter()
+        for s in shards:
+            path = (s.region, s.rack, s.shard)
+            if s.weight > 0 and path[:depth] == way:
+                below[path[: depth + 1]] += s.weight
+        draw = {}
+        for child, weight in below.items():
+            digest = hashlib.md5(f"{'/'.join(map(str, child))}:{key}".encode()).hexdigest()
+            draw[child] = -math.log((int(digest[:13], 16) + 0.5) / 2**52) / weight
+        way = min(below, key=lambda c: (draw[c], c))
+    return way
+
+
 def rule_counts(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = text or ""

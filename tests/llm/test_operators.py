@@ -242,16 +242,45 @@ def test_sharding(spark, docs, rows, empty, loose):
     assert sharding.shard_documents(loose).count() == 6
 
 
-def test_sharding_moves_rows_only_into_what_grows(spark):
+def test_sharding_by_descent(spark, docs, rows):
+    """Each row stands where draws among the children at each level put it, now and with one more shard."""
+    old = sharding.tree(16)
+    assert sharding.grow(old) == sharding.tree(17)
+    for r in sharding.shard_documents(docs).collect():
+        assert (r.region, r.rack, r.shard) == brute.placed(r.doc_id, old)
+        assert r.grown_shard == brute.placed(r.doc_id, sharding.grow(old))[2]
+    uneven = [sharding.Shard(0, 0, 0, 1.0), sharding.Shard(1, 0, 0, 0.0), sharding.Shard(2, 0, 1, 2.5), sharding.Shard(3, 7, 0, 0.5)]
+    got = sharding.place(spark.range(500), F.col("id").cast("string"), uneven).collect()
+    assert all((r.region, r.rack, r.shard) == brute.placed(r.id, uneven) for r in got) and {r.shard for r in got} == {0, 2, 3}
+    with pytest.raises(ValueError):
+        sharding.place(spark.range(1), F.lit(""), [sharding.Shard(0, 0, 0, 0.0)])
+
+
+def test_sharding_of_loose_rows(spark):
+    rows = [(None, "a"), (None, None), (3, "b"), (3, "b"), (3, "c"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("shard", F.lit("x")).withColumn("slot", F.lit("y"))
+    got = sharding.shard_documents(df).collect()
+    way = {i: brute.placed("" if i is None else i, sharding.tree(16))[2] for i in (None, 3, 4)}
+    want = sorted(((i is None, i or 0, len(t or "") + 1, zlib.crc32((t or "").encode()), way[i]) for i, t in rows))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32, r.shard) for r in got) == want
+    for shard in set(way.values()):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_sharding_moves_rows_only_below_what_grows(spark):
     rows = spark.range(4000)
     key = F.col("id").cast("string")
     old = sharding.tree(10)
     new = [sharding.Shard(s.shard, s.region, s.rack, 3.0 if s.shard == 5 else 1.0) for s in old]
     both = sharding.place(sharding.place(rows, key, old), key, new, "now", "r", "k").collect()
     moved = [r for r in both if r.shard != r.now]
-    assert moved and all(r.now == 5 for r in moved)
+    # shard 5 stands in rack 2 of region 1: only that region gains rows, and of rows that were there only that rack
+    assert moved and all(r.r == 1 for r in moved)
+    assert all(r.now == 5 for r in moved if r.rack == 2) and all(r.k == 2 for r in moved if r.region == 1)
     counts = collections.Counter(r.now for r in both)
     assert 2.2 < counts[5] / (sum(counts[i] for i in counts if i != 5) / 9) < 4
+    more = sharding.place(sharding.place(rows, key, old), key, sharding.grow(old), "now", "r", "k").collect()
+    assert {r.now for r in more if r.shard != r.now} == {10}
     assert sharding.slots(spark.range(100).withColumnRenamed("id", "doc_id").withColumn("shard", F.lit(0)), rows_each=7).agg(F.max("slot"), F.count_distinct("slot")).first() == (99, 100)
 
 
