@@ -1,54 +1,131 @@
 """Notes of MusicXML texts as rows.
 
-Not a full reader: parts, measures, attributes, notes, backup and forward.  Items of a measure are taken in the
-order of the text, which an XML row reader would lose between sibling tags.
+Not a full reader: parts, measures, attributes, notes, backup and forward of partwise scores.  The tags of a text are
+walked once, in their order, with a small state (part, measure, cursor, head of the chord), so comments, CDATA,
+entities and either kind of quotes are read as XML has them.  A text stays in its row until it has become measures:
+nothing is shuffled, and rows that share an id are not mixed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+WHOLE = re.compile(r"[+-]?[0-9]{1,18}")
+SIGNS = ["divisions", "fifths", "beats", "beat_type"]
+#: Where a measure's signs and a note's values stand below their own tag.
+SIGN_AT = {"divisions": "divisions", "key/fifths": "fifths", "time/beats": "beats", "time/beat-type": "beat_type"}
+NOTE_AT = {"pitch/step": "step", "pitch/alter": "alter", "pitch/octave": "octave", "type": "dur_type", "voice": "voice", "staff": "staff", "duration": "duration"}
+NOTE = [("item_ix", pa.int32()), ("step", pa.string()), ("alter", pa.int32()), ("octave", pa.int32()), ("dur_div", pa.int32()), ("dur_type", pa.string()), ("voice", pa.int32()), ("staff", pa.int32()),
+        ("onset_div", pa.int32()), ("is_rest", pa.bool_()), ("is_chord", pa.bool_()), ("is_grace", pa.bool_()), ("tie_stop", pa.bool_())]
+NOTE_SQL = ", ".join(f"{name}: {'string' if kind == pa.string() else 'boolean' if kind == pa.bool_() else 'int'}" for name, kind in NOTE)
+
+
+def _whole(text: str | None) -> int | None:
+    value = int(text) if text and WHOLE.fullmatch(text) else None
+    return value if value is not None and -(1 << 31) <= value < 1 << 31 else None
+
+
+class Measures:
+    """Measures of one text, filled tag by tag."""
+
+    def __init__(self):
+        self.done: list[dict] = []
+        self.path: list[str] = []
+        self.chars: list[str] = []
+        self.part = self.measure = -1
+        self.now: dict | None = None  # the open measure
+        self.got: dict | None = None  # what the open note, backup or forward has shown
+
+    def start(self, tag: str, attributes: dict):
+        self.path.append(tag)
+        self.chars.clear()
+        if len(self.path) == 2 and tag == "part":
+            self.part, self.measure = self.part + 1, -1
+        elif len(self.path) == 3 and tag == "measure" and self.path[1] == "part":
+            self.measure += 1
+            self.now = {"part_ix": self.part, "measure_ix": self.measure, "notes": []}
+            self.item, self.at, self.head = -1, 0, 0
+        elif self.now is not None and len(self.path) == 4 and tag in ("note", "backup", "forward"):
+            self.item += 1
+            self.got = {}
+        elif self.got is not None and len(self.path) == 5 and (tag in ("chord", "grace", "rest") or tag == "tie" and attributes.get("type") == "stop"):
+            self.got[tag] = True
+
+    def end(self, tag: str):
+        below, text = "/".join(self.path[4:]), "".join(self.chars).strip()
+        if self.got is not None and text and below in NOTE_AT:
+            self.got.setdefault(NOTE_AT[below], text)
+        elif self.now is not None and text and below in SIGN_AT and self.path[3] == "attributes":
+            self.now.setdefault(SIGN_AT[below], _whole(text))
+        elif self.got is not None and len(self.path) == 4:
+            self._item(tag, self.got)
+            self.got = None
+        elif self.now is not None and len(self.path) == 3:
+            self.done.append(self.now)
+            self.now = None
+        self.path.pop()
+        self.chars.clear()
+
+    def _item(self, tag: str, got: dict):
+        chord, grace = "chord" in got, "grace" in got
+        length = 0 if grace else _whole(got.get("duration")) or 0
+        if not chord:
+            self.head = self.at
+        if tag == "note":
+            number = {name: _whole(got.get(name)) for name in ("alter", "octave", "voice", "staff")}
+            self.now["notes"].append({
+                "item_ix": self.item, "step": got.get("step"), "alter": number["alter"] or 0, "octave": number["octave"], "dur_div": length, "dur_type": got.get("dur_type"),
+                "voice": 1 if number["voice"] is None else number["voice"], "staff": 1 if number["staff"] is None else number["staff"],
+                "onset_div": self.head, "is_rest": "rest" in got, "is_chord": chord, "is_grace": grace, "tie_stop": "tie" in got})
+        if not chord:
+            self.at += -length if tag == "backup" else length
+
 
-PART = r"(?s)(<part\s[^>]*>.*?</part>)"
-MEASURE = r"(?s)(<measure\b[^>]*>.*?</measure>)"
-ITEM = r"(?s)(<note\b.*?</note>|<backup>.*?</backup>|<forward>.*?</forward>)"
+def measures_of(text: bytes | None) -> list[dict]:
+    """Measures of a UTF-8 text with their notes; where it stops being XML, those that were whole before."""
+    state = Measures()
+    if text:
+        reader = expat.ParserCreate("UTF-8")  # whatever the file was written in, it is UTF-8 as a column
+        reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = state.start, state.end, state.chars.append
+        try:
+            reader.Parse(text, True)
+        except expat.ExpatError:
+            pass
+    return state.done
 
 
-def _tag(src, name: str) -> Column:
-    got = F.regexp_extract(src, rf"<{name}(?:\s[^>]*)?>\s*([^<]*?)\s*</{name}>", 1)
-    return F.when(got != "", got)
+def _measures(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, part_ix, measure_ix, signs, notes), one row per measure."""
+    notes = pa.list_(pa.struct(NOTE))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a text at a time, however long its neighbours are
+                rows = measures_of(batch.column(1)[i].as_py())
+                numbers = [pa.array([r.get(c) for r in rows], pa.int32()) for c in ("part_ix", "measure_ix", *SIGNS)]
+                own = batch.column(0).take(pa.array([i] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *numbers, pa.array([r["notes"] for r in rows], notes)], [doc, "part_ix", "measure_ix", *SIGNS, "notes"])
 
-def _int(src, name: str) -> Column:
-    return _tag(src, name).try_cast("int")
+    out = T.StructType([T.StructField(doc, texts.schema[doc].dataType), *[T.StructField(c, T.IntegerType()) for c in ("part_ix", "measure_ix", *SIGNS)],
+                        T.StructField("notes", T.DataType.fromDDL(f"array<struct<{NOTE_SQL}>>"))])
+    return texts.select(doc, F.col(text).cast("string").cast("binary").alias("__text")).mapInArrow(run, out)
 
 
 def musicxml_measures(texts: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, part_ix, measure_ix, xml, divisions, fifths, beats, beat_type); attributes only where they change."""
-    p = texts.select(doc, F.posexplode(F.regexp_extract_all(text, F.lit(PART), 1)).alias("part_ix", "__part"))
-    m = p.select(doc, "part_ix", F.posexplode(F.regexp_extract_all("__part", F.lit(MEASURE), 1)).alias("measure_ix", "xml"))
-    return m.select("*", *[_int("xml", tag).alias(name) for tag, name in (("divisions", "divisions"), ("fifths", "fifths"), ("beats", "beats"), ("beat-type", "beat_type"))])
+    """(doc, part_ix, measure_ix, divisions, fifths, beats, beat_type); signs are null where a measure has none."""
+    return _measures(texts, doc, text).drop("notes")
 
 
 def musicxml_notes(texts: DataFrame, doc: str, text: str) -> DataFrame:
     """One row per note with its onset in divisions inside the measure; chord members share their head's onset."""
-    m = musicxml_measures(texts, doc, text)
-    i = m.select(doc, "part_ix", "measure_ix", F.posexplode(F.regexp_extract_all("xml", F.lit(ITEM), 1)).alias("item_ix", "__x"))
-    chord, grace = F.col("__x").contains("<chord"), F.col("__x").contains("<grace")
-    dur = F.when(grace, 0).otherwise(F.coalesce(_int("__x", "duration"), F.lit(0)))
-    kind = F.regexp_extract("__x", r"^<(\w+)", 1)
-    move = F.when(kind == "backup", -dur).when(chord, 0).otherwise(dur)
-    i = i.withColumn("kind", kind).withColumn("is_chord", chord).withColumn("dur_div", dur).withColumn("__move", move)
-    # the items of a measure come from one row, so these windows are no longer than a measure
-    w = Window.partitionBy(doc, "part_ix", "measure_ix").orderBy("item_ix")
-    i = i.withColumn("__at", F.coalesce(F.sum("__move").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    head = F.last(F.when(~F.col("is_chord"), F.col("__at")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    i = i.withColumn("onset_div", F.when(F.col("is_chord"), head).otherwise(F.col("__at"))).filter("kind = 'note'")
-    return i.select(
-        doc, "part_ix", "measure_ix", "item_ix", _tag("__x", "step").alias("step"), F.coalesce(_int("__x", "alter"), F.lit(0)).alias("alter"),
-        _int("__x", "octave").alias("octave"), "dur_div", _tag("__x", "type").alias("dur_type"), F.coalesce(_int("__x", "voice"), F.lit(1)).alias("voice"),
-        F.coalesce(_int("__x", "staff"), F.lit(1)).alias("staff"), "onset_div", F.col("__x").contains("<rest").alias("is_rest"), "is_chord",
-        F.col("__x").contains("<grace").alias("is_grace"), F.col("__x").rlike("<tie [^>]*type=\"stop\"").alias("tie_stop"))
+    return _measures(texts, doc, text).select(doc, "part_ix", "measure_ix", F.inline("notes"))
 
 
 def ingest_musicxml(spark: SparkSession, path: str) -> DataFrame:

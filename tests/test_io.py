@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from scoretables.sources import files as S
-from scoretables.sources.musicxml import ingest_musicxml
+from scoretables.sources.musicxml import ingest_musicxml, musicxml_measures, musicxml_notes
 from scoretables.streaming.pairing import pair_stream
 
 
@@ -49,6 +49,33 @@ def test_musicxml_files(spark):
     assert got == [("C", 0, 1), ("E", 0, 1), ("D", 4, 1), ("G", 2, 2)]
 
 
+def test_musicxml_is_read_as_xml(spark):
+    """Comments, CDATA, entities, single quotes and empty tags; no shuffle; rows of one id stay apart."""
+    one = """<?xml version='1.0' encoding='UTF-16'?><!DOCTYPE score-partwise SYSTEM 'partwise.dtd'>
+<score-partwise><part-list><score-part id='P1'/></part-list><part id='P1'><!-- <measure><note/></measure> -->
+<measure number='1'><attributes><divisions> 4 </divisions><key><fifths>-2</fifths></key><time><beats>3</beats><beat-type>4</beat-type></time></attributes>
+<note><!-- <chord/> <duration>9</duration> --><pitch><step><![CDATA[C]]></step><alter>0.5</alter><octave>5</octave></pitch><duration>2</duration><tie type = 'stop'/><type>eighth</type></note>
+<note><chord/><pitch><step>&#69;</step><octave>5</octave></pitch><duration>2</duration><lyric><text>&lt;rest</text></lyric></note>
+<note/><direction><offset>7</offset></direction><backup foot='1'><duration>2</duration></backup>
+<note><rest/><duration>99999999999</duration><staff>2</staff></note></measure>
+<measure number='2'><note><grace/><pitch><step>A</step><octave>3</octave></pitch><duration>5</duration></note><note><rest/><duration>1</duration></note></measure></part>
+<part><measure/></part></score-partwise>"""
+    two = "<score-partwise><part id='a'><measure><note><duration>1</duration></note></measure><measure><note><rest/>"
+    df = spark.createDataFrame([(7, one, "x"), (7, two, "y"), (8, None, "z"), (None, "", "z"), (9, "plain", "z"), (10, two, "z")], "id int, text string, notes string")
+    notes = musicxml_notes(df, "id", "text")
+    got = [(r.part_ix, r.measure_ix, r.item_ix, r.step, r.alter, r.octave, r.dur_div, r.onset_div, r.staff, r.is_rest, r.is_chord, r.is_grace, r.tie_stop) for r in notes.filter("id = 7").collect()]
+    first = [(0, 0, 0, "C", 0, 5, 2, 0, 1, False, False, False, True), (0, 0, 1, "E", 0, 5, 2, 0, 1, False, True, False, False), (0, 0, 2, None, 0, None, 0, 2, 1, False, False, False, False),
+             (0, 0, 4, None, 0, None, 0, 0, 2, True, False, False, False), (0, 1, 0, "A", 0, 3, 0, 0, 1, False, False, True, False), (0, 1, 1, None, 0, None, 1, 0, 1, True, False, False, False)]
+    cut = [(0, 0, 0, None, 0, None, 1, 0, 1, False, False, False, False)]
+    assert sorted(map(str, got)) == sorted(map(str, first + cut))
+    assert notes.filter("id IS NULL OR id > 7").count() == 1
+    assert "Exchange" not in notes._jdf.queryExecution().executedPlan().toString()
+    signs = musicxml_measures(df, "id", "text").filter("id = 7").collect()
+    assert sorted(((r.part_ix, r.measure_ix, r.divisions, r.fifths, r.beats, r.beat_type) for r in signs), key=str) == sorted(
+        [(0, 0, 4, -2, 3, 4), (0, 1, None, None, None, None), (1, 0, None, None, None, None), (0, 0, None, None, None, None)], key=str)
+    assert musicxml_notes(df.limit(0), "id", "text").count() == 0
+
+
 def test_stream_pairs_like_the_batch(spark):
     d = folder()
     schema = "file string, track int, seq int, tick bigint, type string, channel int, pitch int"
