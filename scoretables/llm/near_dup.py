@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import U64, binary, mix, pieces, shingle_sets, small_batches, stream, table
+from .oracles import NEAR_DUPLICATES
 from .registry import query
 
 ROWS, BANDS = 4, 40
@@ -273,6 +274,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
 
 
-@query("op9_near_duplicates")
+@query("op9_near_duplicates", NEAR_DUPLICATES)
 def op9(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, Texts, Words, column, grams, mix, pieces, small_batches, table, within
+from .oracles import SUBSTRING_DEDUP
 from .registry import query
 
 GRAM = 5
@@ -215,7 +216,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     return out.unionByName(blank).mapInArrow(parse, "doc_id bigint, n_words bigint, n_removed bigint, factors array<struct<start: bigint, length: bigint, source: bigint>>, kept string")
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", SUBSTRING_DEDUP)
 def op1(spark, folder):
     out = dedup(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("bigint").alias("n_factors"))
