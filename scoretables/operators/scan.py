@@ -27,6 +27,7 @@ ALL = "__all"
 # Largest group and rows of the large groups, per plan and size of its inputs asked in this session.  They only
 # choose between two ways to the same result, so a stale entry costs time, never rows.
 _SIZES: dict[tuple, tuple[int, int]] = {}
+MOST_SIZES = 1_000  # beyond these, the oldest answers are forgotten
 
 
 def col(c: Column | str) -> Column:
@@ -115,6 +116,8 @@ class Ordered:
         size = int(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
         plan = (asked.sparkSession.sparkContext.applicationId, asked.semanticHash(), size, max_rows)
         if plan not in _SIZES:
+            while len(_SIZES) >= MOST_SIZES:
+                _SIZES.pop(next(iter(_SIZES)))
             got = counts.agg(F.max("__n").alias("top"), F.sum(F.when(F.col("__n") > max_rows, F.col("__n"))).alias("rows")).first()
             _SIZES[plan] = (got["top"] or 0, got["rows"] or 0)
         top, rows = _SIZES[plan]
