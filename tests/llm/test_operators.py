@@ -296,6 +296,21 @@ def test_decontamination(spark, docs, rows, empty, loose):
     assert decontaminate.decontaminate(loose, items).count() == 6
 
 
+def test_values_of_rows_without_an_id_and_of_repeated_ones(spark, loose, labels):
+    """Quality rules and BPE take each row by itself; decontamination judges rows of one id together."""
+    order = lambda out: sorted(out, key=str)
+    rows = [(r.doc_id, r.text) for r in loose.collect()]
+    judged = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.judge(loose, labels.limit(0)).collect()]
+    assert order(judged) == order([(i, *brute.rule_counts(x), True, False) for i, x in rows])
+    items = spark.createDataFrame([(9, PASSAGE)], "item_id bigint, text string")
+    met = [(r.doc_id, r.n_items, list(r.item_ids), r.containment, r.contaminated) for r in decontaminate.decontaminate(loose, items).collect()]
+    assert order(met) == order([(i, 0, [], 0.0, False) if i is None else (i, 1, [9], 1.0, True) for i, _ in rows])
+    trips = [(r.doc_id, r.decoded_sha256) for r in bpe.round_trip(loose).collect()]
+    assert order(trips) == order([(i, hashlib.sha256((x or "").encode()).hexdigest()) for i, x in rows])
+    words = spark.createDataFrame([(1, "x" * 1000 + " b c d e"), (2, "y" * 1000 + " b c d e"), (3, "x" * 1000 + " b c d e")], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(words).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_decontamination_finds_short_items_inside_documents(spark):
     texts = ["one two Alpha Beta three four five six", "alpha beta", "alpha x beta y z a b", "solo", "a b c d e solo", "beta alpha", "p q r s", "o p q r s t", "alpha"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
