@@ -41,7 +41,11 @@ def _levels(*columns: tuple[DataFrame, Column]) -> list[int]:
 
 
 def _spread(df: DataFrame, lo: Column, hi: Column, width, levels: Column) -> DataFrame:
-    """Rows once for each bucket (`__lv`, `__bk`) that [lo, hi] touches at the given levels."""
+    """Rows once for each bucket (`__lv`, `__bk`) that [lo, hi] touches at the given levels.
+
+    Spark's estimate of a side's size doesn't count what explode() makes of it, so it would send far more than it means
+    to through the driver: joins of spread rows are hinted as merge joins.
+    """
     rows = df.withColumn("__lv", F.explode(levels))
     size = F.lit(width) * F.pow(F.lit(2.0), F.col("__lv"))
     return rows.withColumn("__bk", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
@@ -62,7 +66,7 @@ def overlap_join(notes: DataFrame, bars: DataFrame, keys: list[str], note: tuple
     b = _spread(b, F.col(bar[0]), F.col(bar[1]), width, F.filter(levels, lambda x: x >= F.col("__bl")))
     size = F.lit(width) * F.pow(F.lit(2.0), F.col("__lv"))
     first = F.greatest(F.floor(F.col(note[0]) / size), F.floor(F.col(bar[0]) / size))
-    met = n.join(b, [*keys, "__lv", "__bk"]).filter(
+    met = n.join(b.hint("merge"), [*keys, "__lv", "__bk"]).filter(
         (F.col("__lv") == F.greatest("__nl", "__bl")) & (F.col("__bk") == first) & (F.col(note[1]) > F.col(bar[0])) & (F.col(note[0]) < F.col(bar[1])))
     return met.withColumn("from_", F.greatest(note[0], bar[0])).withColumn("to_", F.least(note[1], bar[1])).drop("__bk", "__lv", "__nl", "__bl")
 
@@ -105,7 +109,7 @@ def point_in_range(points: DataFrame, spans: DataFrame, keys: list[str], pos: st
     levels = F.array(*[F.lit(x) for x in _levels((bound, level))])
     bound = _spread(bound, F.col("__lo"), F.col("__hi"), 1, F.array(level))
     spots = _spread(points.select(*keys, pos).distinct(), F.col(pos), F.col(pos), 1, levels)
-    fixed = spots.join(bound, [*keys, "__lv", "__bk"]).filter(F.col(pos).between(F.col("__lo"), F.col("__hi")))
+    fixed = spots.join(bound.hint("merge"), [*keys, "__lv", "__bk"]).filter(F.col(pos).between(F.col("__lo"), F.col("__hi")))
     fixed = fixed.groupBy(*keys, pos).agg(F.min_by("__s", f"__s.{order}").alias("__f"))
     free = s.filter("__a").groupBy(*keys).agg(F.min_by("__s", f"__s.{order}").alias("__r"))
     met = points.join(fixed, [*keys, pos], "left").join(free, keys, "left")
@@ -130,7 +134,7 @@ def containment_join(frames: DataFrame, lines: DataFrame, page: list[str], frame
     ln = lines.withColumn("__lv", F.explode(levels))
     ln = ln.withColumn("__cx", F.floor(lx / size)).withColumn("__cy", F.floor(ly / size))
     inside = (lx >= fx - tol) & (ly >= fy - tol) & (lx + lw <= fx + fw + tol) & (ly + lh <= fy + fh + tol)
-    return f.join(ln, [*page, "__lv", "__cx", "__cy"]).filter(inside).drop("__lv", "__cx", "__cy")
+    return f.join(ln.hint("merge"), [*page, "__lv", "__cx", "__cy"]).filter(inside).drop("__lv", "__cx", "__cy")
 
 
 def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFrame:

@@ -72,7 +72,7 @@ def _wide_links(wide: DataFrame, every: DataFrame, page: list[str], m: float) ->
     a = cells(wide, F.array(level), m).select(*page, "__lv", "cx", "cy", F.col("id").alias("a"), *[F.col(c).alias("a" + c) for c in ("x0", "y0", "x1", "y1")])
     b = cells(every.withColumn("__own", level), F.filter(levels, lambda k: k >= F.col("__own")), 0).withColumnRenamed("id", "b").drop("__own")
     near = [F.col(hi) + m >= F.col(lo) for lo, hi in (("x0", "ax1"), ("ax0", "x1"), ("y0", "ay1"), ("ay0", "y1"))]
-    return a.join(b, [*page, "__lv", "cx", "cy"]).filter(reduce(lambda p, q: p & q, near)).select(*page, "a", "b").distinct()
+    return a.join(b.hint("merge"), [*page, "__lv", "cx", "cy"]).filter(reduce(lambda p, q: p & q, near)).select(*page, "a", "b").distinct()
 
 
 def near_links(rects: DataFrame, page: list[str], id_: str, x: str, y: str, w: str, h: str, m: float) -> DataFrame:

@@ -18,10 +18,11 @@ def expand_passes(passes: DataFrame, measures: DataFrame, song: list[str]) -> Da
     `measures`: measure, len.  Play order is (pass_ix, measure).
 
     A pass meets the blocks of measures it covers, so neither a long song nor many passes form pairs that don't play.
+    The passes' rows for blocks may be many more than Spark's estimate says, so they are not to be broadcast.
     """
     block = 64
     p = passes.filter(F.col("end_mid") > F.col("mid")).withColumn("__bk", F.explode(F.sequence(F.floor(F.col("mid") / block), F.floor((F.col("end_mid") - 1) / block))))
-    met = p.join(measures.withColumn("__bk", F.floor(F.col("measure") / block)), [*song, "__bk"]).drop("__bk")
+    met = p.hint("merge").join(measures.withColumn("__bk", F.floor(F.col("measure") / block)), [*song, "__bk"]).drop("__bk")
     return met.filter((F.col("measure") >= F.col("mid")) & (F.col("measure") < F.col("end_mid")))
 
 

@@ -69,3 +69,21 @@ def test_passes_meet_only_measures_they_play(spark):
     passes = spark.createDataFrame([(1, p, p * 3, p * 3 + 3, 1, 0.0, None) for p in range(100)] + [(1, 200, 60, 70, 1, 0.0, None)], "song int, pass_ix int, mid int, end_mid int, pass int, offset double, until double")
     got = expand_passes(passes, measures, ["song"]).select("pass_ix", "measure").collect()
     assert sorted(map(tuple, got)) == sorted([(p, p * 3 + k) for p in range(100) for k in range(3)] + [(200, m) for m in range(60, 70)])
+
+
+def joins_of(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [name for name in ("BroadcastHashJoin", "SortMergeJoin") if name in plan]
+
+
+def test_rows_spread_over_buckets_are_not_broadcast(spark, tmp_path):
+    """Files small enough for a broadcast whose rows become many more by explode()."""
+    spark.range(2000).selectExpr("id AS s", "id * 1.0D AS lo", "id + 900.0D AS hi", "1 AS o", "false AS a", "0.0D AS y", "9.0D AS w").write.parquet(f"{tmp_path}/r")
+    r = spark.read.parquet(f"{tmp_path}/r")
+    n = r.selectExpr("s", "lo AS t0", "lo + 1 AS t1")
+    assert joins_of(J.overlap_join(n, r.select("s", "lo", "hi"), ["s"], ("t0", "t1"), ("lo", "hi"), 4)) == ["SortMergeJoin"]
+    assert "SortMergeJoin" in joins_of(J.point_in_range(r.selectExpr("s", "lo AS pos"), r, ["s"], "pos", "lo", "hi", F.col("a"), "o"))
+    frames, lines = r.selectExpr("s", "lo AS fx", "y AS fy", "w AS fw", "w AS fh"), r.selectExpr("s", "lo AS x", "y", "w", "w AS h")
+    assert joins_of(J.containment_join(frames, lines, ["s"], ["fx", "fy", "fw", "fh"], ["x", "y", "w", "h"], 1.0, 4.0)) == ["SortMergeJoin"]
+    passes = r.selectExpr("s", "0 AS mid", "6400 AS end_mid")
+    assert joins_of(expand_passes(passes, r.selectExpr("s", "o AS measure"), ["s"])) == ["SortMergeJoin"]
