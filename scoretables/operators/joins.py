@@ -141,7 +141,8 @@ def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFram
     """(keep, pos, ch, fixed): the characters to replace, each by the first rule its context fits.
 
     `rules`: rule_no, ch, prev2, prev, next, at_end, fixed; NULL in a condition means any.  Rules are keyed by
-    their character and carried as one short array per character, so other characters drop out at the join.
+    their character and carried as one short array per character, so other characters drop out at the join.  They are
+    written by hand and go to every task: dealt by character, the texts' rows would gather in one task for each.
     """
     by_ch = rules.groupBy("ch").agg(
         F.sort_array(F.collect_list(F.struct("rule_no", "prev2", "prev", "next", "at_end", "fixed"))).alias("__rules"))
@@ -153,7 +154,7 @@ def rule_fix(df: DataFrame, text: str, rules: DataFrame, *keep: str) -> DataFram
         return F.struct(i.alias("pos"), ch.alias("ch"), at(-2).alias("p2"), at(-1).alias("p1"), at(1).alias("nx"), (i == F.size("__chars") - 1).alias("end"))
 
     rows = df.select(*keep, chars.alias("__chars")).select(*keep, F.explode(F.transform("__chars", near)).alias("__c"))
-    rows = rows.select(*keep, "__c.*").join(by_ch, "ch")
+    rows = rows.select(*keep, "__c.*").join(F.broadcast(by_ch), "ch")
     fits = F.filter("__rules", lambda r: reduce(lambda a, b: a & b, [
         r[c].isNull() | F.coalesce(r[c] == F.col(v), F.lit(False)) for c, v in (("prev2", "p2"), ("prev", "p1"), ("next", "nx"), ("at_end", "end"))]))
     rows = rows.select(*keep, "pos", "ch", F.get(fits, F.lit(0))["fixed"].alias("fixed"))

@@ -87,3 +87,11 @@ def test_rows_spread_over_buckets_are_not_broadcast(spark, tmp_path):
     assert joins_of(J.containment_join(frames, lines, ["s"], ["fx", "fy", "fw", "fh"], ["x", "y", "w", "h"], 1.0, 4.0)) == ["SortMergeJoin"]
     passes = r.selectExpr("s", "0 AS mid", "6400 AS end_mid")
     assert joins_of(expand_passes(passes, r.selectExpr("s", "o AS measure"), ["s"])) == ["SortMergeJoin"]
+
+
+def test_rules_meet_the_characters_where_they_are(spark):
+    """A shuffle by character would send one character's rows of all texts to one task."""
+    rules = spark.createDataFrame([(1, "a", None, "b", None, None, "A"), (2, "a", None, None, None, True, "#")], "rule_no int, ch string, prev2 string, prev string, next string, at_end boolean, fixed string")
+    fixed = J.rule_fix(spark.createDataFrame([(1, "baab"), (2, "aaa"), (None, "ba"), (3, None), (4, "")], "d int, line string"), "line", rules, "d")
+    assert joins_of(fixed) == ["BroadcastHashJoin"]
+    assert sorted(map(tuple, fixed.collect()), key=str) == sorted([(1, 1, "a", "A"), (2, 2, "a", "#"), (None, 1, "a", "A")], key=str)
