@@ -12,7 +12,7 @@ from ..session import shared_folder
 from ..sources import files as S
 from ..sources.musicxml import musicxml_measures, musicxml_notes
 from ..sources.store import Store
-from ..sources.tables import BOUND, load_tables
+from ..sources.tables import BOUND, dealt, load_tables
 from .pitch import L
 from .registry import query
 
@@ -23,6 +23,10 @@ def _(t):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Bytes of the part table whose scores make one partition: some 40,000 rows, forty times as large as texts.
+PART_PIECE = 256 << 10
+
+
 def scores(t):
     """A small score per part row, its notes taken from the columns."""
     s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -34,7 +38,7 @@ def scores(t):
         F.lit("</duration></note><backup><duration>"), s(F.floor(F.col("p_size") / 2)), F.lit("</duration></backup><note><rest/><duration>3</duration><voice>2</voice></note></measure><measure number=\"2\"><forward><duration>"),
         s(F.pmod("p_partkey", F.lit(9))), F.lit('</duration></forward><note><grace/><pitch><step>A</step><octave>3</octave></pitch></note><note><pitch><step>B</step><octave>3</octave></pitch><duration>4</duration>'
                                                '<tie type="stop"/></note></measure></part></score-partwise>'))
-    return t.part.select("p_partkey", text.alias("text"))
+    return dealt(t.part, PART_PIECE).select("p_partkey", text.alias("text"))
 
 
 @query("S2_ingest_musicxml", """WITH n AS (SELECT p_partkey, 0 AS measure_ix, 0 AS item_ix, substr('CDEFGAB', (p_partkey % 7 + 1)::INT, 1) AS step, 0 AS alter, 4 AS octave, p_size AS dur, 1 AS voice, 0 AS onset, false AS is_rest, false AS tie FROM part UNION ALL

@@ -72,3 +72,12 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     spark = df.sparkSession
     small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 128 << 20
     return df.repartition(spark.sparkContext.defaultParallelism, *key) if small else df
+
+
+def dealt(df: DataFrame, piece: int) -> DataFrame:
+    """Rows dealt evenly, a partition for each `piece` bytes of the files they come from, one for each core at least.
+
+    For small rows of which large ones are made: splits and row groups of files say nothing about that work.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // piece)))

@@ -112,3 +112,16 @@ def test_stream_forgets_keys_past_their_time(spark):
     finally:
         q.stop()
     assert [(r.file, r.t_on, r.t_off) for r in spark.table(name).collect()] == [("g", 1, 2)] and left == 0
+
+
+def test_scores_of_one_small_file_are_read_by_many_tasks(spark, tmp_path):
+    """Parts of a single row group: the texts made of them are dealt, and their measures leave a task together."""
+    from scoretables.catalog import QUERIES
+
+    spark.range(3000).selectExpr("IF(id % 10 = 9, NULL, id) AS p_partkey", "'n' AS p_name", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 50 AS INT) AS p_size", "1.0D AS p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name, per in (("S2_ingest_musicxml", 5), ("S2_musicxml_measures", 2)):
+        got = QUERIES[name](spark, str(tmp_path))
+        sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < sum(sizes) / 2
+        assert got.filter("p_partkey = 7").count() == per
+        assert sum(sizes) == 2700 * per
