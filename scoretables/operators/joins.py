@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import Ordered, last_value, lead, next_value
+from .scan import Ordered, deal, last_value, lead, next_value
 from .stats import attach
 
 
@@ -225,12 +225,12 @@ def misaligned_onsets(onsets: DataFrame, peers: DataFrame, keys: list[str], x: s
     Peers in order of x: the next one on each side, or the next with another time behind it, settles each onset,
     so no pairs are formed.
     """
-    p = peers.select(*keys, x, t).distinct().withColumn("__kind", F.lit(0))
-    q = onsets.select(*keys, x, t).distinct().withColumn("__kind", F.lit(1))
-    both = p.unionByName(q)
-    spot = F.when(F.col("__kind") == 0, F.struct(F.col(x).alias("x"), F.col(t).alias("t")))
+    p = peers.select(*keys, x, t).withColumn("__kind", F.lit(0))
+    q = onsets.select(*keys, x, t).withColumn("__kind", F.lit(1))
     raw = peers.select(*keys).unionByName(onsets.select(*keys))
-    o = Ordered.of(both, keys, [x, "__kind", t], probe=raw).with_column("__spot", spot)
+    both = deal(p.unionByName(q), keys, raw).distinct()
+    spot = F.when(F.col("__kind") == 0, F.struct(F.col(x).alias("x"), F.col(t).alias("t")))
+    o = Ordered.of(both, keys, [x, "__kind", t], probe=raw, placed=True).with_column("__spot", spot)
     o = o.add(__lp=last_value("__spot", before=True), __np=next_value("__spot", before=True))
     # on a peer: the nearest peer of another time on either side, carried along runs of one time
     o = o.with_column("__lo", F.when((F.col("__kind") == 0) & (F.col("__lp.t") != F.col(t)), F.col("__lp.x")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pitch import js_round
-from .scan import Ordered, lead, row_number, running_min, running_sum
+from .scan import Ordered, deal, lead, row_number, running_min, running_sum
 
 # Ticks per quarter and the triplet grid.
 QUARTER = 48
@@ -119,10 +119,10 @@ def split_at_beats(notes: DataFrame, start: str, end: str, beat: float) -> DataF
 
 def max_concurrency(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Voices a bar needs: the most spans (start, end counted once each) that sound at one time."""
-    d = spans.select(*keys, start, end).distinct()
+    d = deal(spans.select(*keys, start, end), keys, spans).distinct()
     ev = d.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
     ev = ev.groupBy(*keys, F.col("e.t").alias("t"), F.col("e.d").alias("d")).agg(F.sum("e.d").alias("s"))
-    o = Ordered.of(ev, keys, ["t", "d"], probe=spans.select(*keys)).add(__open=running_sum("s"))
+    o = Ordered.of(ev, keys, ["t", "d"], probe=spans, placed=True).add(__open=running_sum("s"))
     return o.df.groupBy(*keys).agg(F.max("__open").cast("bigint").alias("voices"))
 
 

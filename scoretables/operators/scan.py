@@ -21,12 +21,13 @@ from ..session import cut_lineage
 
 MAX_ROWS_CONF = "scoretables.maxGroupRows"
 MAX_ROWS = 2_000_000
+TASK_ROWS = 1_000_000  # rows of one task where there are more than the cores would take at that number
 LEAST_SUMMARIES = 1_000  # block summaries of a group are cut up only beyond this number, however small max_rows is
 BLOCK = "__block"
 ALL = "__all"
-# Largest group and rows of the large groups, per plan and size of its inputs asked in this session.  They only
+# Largest group, rows of the large groups and all rows, per plan and size of its inputs asked in this session.  They only
 # choose between two ways to the same result, so a stale entry costs time, never rows.
-_SIZES: dict[tuple, tuple[int, int]] = {}
+_SIZES: dict[tuple, tuple[int, int, int]] = {}
 MOST_SIZES = 1_000  # beyond these, the oldest answers are forgotten
 
 
@@ -96,6 +97,37 @@ def _merge(kind: str, a: Column, b: Column) -> Column:
     return F.coalesce(a, b)
 
 
+def _max_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
+
+
+def _sizes(df: DataFrame, keys: list[str], max_rows: int) -> tuple[DataFrame, int, int, int]:
+    """Rows per key; the largest of these counts, the rows of keys with more than `max_rows`, and all rows."""
+    asked = df.select(*keys)
+    counts = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    size = int(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    plan = (asked.sparkSession.sparkContext.applicationId, asked.semanticHash(), size, max_rows)
+    if plan not in _SIZES:
+        while len(_SIZES) >= MOST_SIZES:
+            _SIZES.pop(next(iter(_SIZES)))
+        got = counts.agg(F.max("__n").alias("top"), F.sum(F.when(F.col("__n") > max_rows, F.col("__n"))).alias("rows"), F.sum("__n").alias("all")).first()
+        _SIZES[plan] = (got["top"] or 0, got["rows"] or 0, got["all"] or 0)
+    return counts, *_SIZES[plan]
+
+
+def _by_rows(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    if rows <= TASK_ROWS * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(-(-rows // TASK_ROWS), *keys)
+
+
+def deal(df: DataFrame, keys: list[str], probe: DataFrame) -> DataFrame:
+    """Many rows in groups that fit a task, dealt by key, so that steps by these and more columns need no shuffle of their
+    own; any others as they are.  `probe`: as for Ordered.of(), and the same one there, so the rows are counted once."""
+    _, top, _, rows = _sizes(probe, keys, _max_rows(df))
+    return _by_rows(df, keys, rows) if keys and top <= _max_rows(df) else df
+
+
 class Ordered:
     """Rows grouped by `keys` and ordered by `order` (ascending), ready for passes."""
 
@@ -103,25 +135,22 @@ class Ordered:
         self.df, self.keys, self.order, self.blocked, self.max_rows = df, keys, order, blocked, max_rows
 
     @classmethod
-    def of(cls, df: DataFrame, keys, order, probe: DataFrame | None = None, max_rows: int | None = None) -> "Ordered":
-        """`probe`: a cheaper frame with the same keys whose groups are at least as large as those of `df`."""
+    def of(cls, df: DataFrame, keys, order, probe: DataFrame | None = None, max_rows: int | None = None, placed: bool = False) -> "Ordered":
+        """`probe`: a cheaper frame with the same keys whose groups are at least as large as those of `df`.
+
+        Many rows are dealt by key to as many tasks as TASK_ROWS asks for: left to itself, adaptive execution joins
+        partitions up to the number of cores, and a task's sorts grow with the input.  `placed`: `df` comes from a pass
+        over these keys, so its rows stay where they are.
+        """
         keys, order = list(keys), list(order)
         if not keys:
             df = df.withColumn(ALL, F.lit(0))
             keys, probe = [ALL], None
         if max_rows is None:
-            max_rows = int(df.sparkSession.conf.get(MAX_ROWS_CONF, str(MAX_ROWS)))
-        asked = (df if probe is None else probe).select(*keys)
-        counts = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        size = int(asked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        plan = (asked.sparkSession.sparkContext.applicationId, asked.semanticHash(), size, max_rows)
-        if plan not in _SIZES:
-            while len(_SIZES) >= MOST_SIZES:
-                _SIZES.pop(next(iter(_SIZES)))
-            got = counts.agg(F.max("__n").alias("top"), F.sum(F.when(F.col("__n") > max_rows, F.col("__n"))).alias("rows")).first()
-            _SIZES[plan] = (got["top"] or 0, got["rows"] or 0)
-        top, rows = _SIZES[plan]
+            max_rows = _max_rows(df)
+        counts, top, rows, every = _sizes(df if probe is None else probe, keys, max_rows)
         if top <= max_rows:
+            df = df if placed else _by_rows(df, keys, every)
             return cls(df, keys, order, False, max_rows)
         big = counts.filter(F.col("__n") > max_rows).select(*[F.col(k).alias(f"__k_{k}") for k in keys])
         same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])

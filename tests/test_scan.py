@@ -77,3 +77,25 @@ def test_rows_of_played_measures_are_counted(tiny_groups):
     passes = spark.createDataFrame([(1, p, 0, 40, 1, 0.0, None) for p in range(20)], "song int, pass_ix int, mid int, end_mid int, pass int, offset double, until double")
     out = played_measures(passes, measures, ["song"])
     assert out.count() == 800 and out.agg(F.max("onset")).first()[0] == 799 * 4.0
+
+
+def test_many_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks of a pass hold a bounded number of rows, whatever the cores; the results don't change."""
+    from scoretables.operators import scan
+    from scoretables.operators.joins import misaligned_onsets
+    from scoretables.operators.notes import max_concurrency
+    from scoretables.plans.timeline import endings_from_passes
+
+    rows = spark.range(6000).selectExpr("IF(id % 300 = 0, NULL, id % 300) AS g", "CAST(id % 7 AS DOUBLE) AS s", "CAST(id % 7 + id % 4 AS DOUBLE) AS e", "id % 11 AS measure", "id % 3 + 1 AS pass", "id")
+
+    def results():
+        a = max_concurrency(rows, ["g"], "s", "e")
+        b = misaligned_onsets(rows.filter("id % 600 < 300"), rows.filter("id % 600 >= 300"), ["g"], "s", "e", 2.0)
+        c = endings_from_passes(rows.select("g", "measure", "pass"), ["g"])
+        d = Ordered.of(rows, ["g"], ["id"]).add(r=row_number()).done()
+        return d.rdd.getNumPartitions(), [sorted(map(str, x.collect())) for x in (a, b, c, d)]
+
+    _, plain = results()
+    monkeypatch.setattr(scan, "TASK_ROWS", 100)
+    n, got = results()
+    assert n == 60 and got == plain and plain[0] and plain[1] and plain[3]
