@@ -193,7 +193,7 @@ def system_gaps(bands: DataFrame, song, order, y0: str, y1: str, music: Column,
     o = o.with_column("__own", 1 - flag(close)).add(__sys=running_sum("__own", before=True))
     sys = o.df.groupBy(*song, "__sys").agg(
         F.min(y0).alias("top"), F.max_by(F.struct(F.col(y1).alias("bottom"), (music & ~F.col("__flat")).alias("music"), title.alias("title"), F.col("__i").alias("i")), "__i").alias("__b"))
-    s = Ordered.of(sys, song, ["__sys"], probe=bands.select(*song)).add(__above=lag("__b"))
+    s = Ordered.of(sys, song, ["__sys"], probe=bands.select(*song), placed=True).add(__above=lag("__b"))
     rows = s.done().filter(F.col("__b.music") & F.col("__above").isNotNull())
     rows = rows.filter(~((F.col("__above.i") == 1) & F.col("__above.title")))
     return rows.select(*song, F.col("__b.i").alias("band"), (F.col("top") - F.col("__above.bottom")).alias("gap"))
