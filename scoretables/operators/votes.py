@@ -152,9 +152,11 @@ def match_f1(pairs_tokens: DataFrame, ref_tokens: DataFrame, item: str, ref: str
     references; an item or reference without any has one row with a NULL token.  Each item is met with its own
     reference only.  Below `least`, and where one side has no token, the text is a different one.
     """
-    a = pairs_tokens.groupBy(item, ref, token).agg(F.count(token).alias("__a"))
     b = ref_tokens.groupBy(ref, token).agg(F.count(token).alias("__b"))
-    met = a.join(b, [ref, token], "left").groupBy(item, ref).agg(
+    # tokens that the reference doesn't have are counted as one, before anything is shuffled where the references are few
+    shared = F.when(F.col("__b").isNotNull(), F.col(token)).alias("__shared")
+    a = pairs_tokens.join(b, [ref, token], "left").groupBy(item, ref, shared).agg(F.count(token).alias("__a"), F.max("__b").alias("__b"))
+    met = a.groupBy(item, ref).agg(
         F.sum("__a").alias("len_a"), F.sum(F.least("__a", F.coalesce("__b", F.lit(0)))).alias("matched"))
     size = ref_tokens.groupBy(ref).agg(F.count(token).alias("len_b"))
     met = met.join(size, ref, "left").withColumn("len_b", F.coalesce("len_b", F.lit(0)))
