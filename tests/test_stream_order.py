@@ -62,3 +62,30 @@ def test_going_on_from_the_checkpoint(spark, tmp_path):
     want = batch(spark, all_rows[:400])
     assert told(stream(spark, docs, folder, idle=10**7, delay="10 minutes")) == want
     assert told(stream(spark, docs, folder, idle=10**7, delay="10 minutes", close=False)) == want
+
+
+def test_keys_without_pairs_make_no_frames():
+    import pandas as pd
+
+    from scoretables.streaming.ordered import Pairing
+
+    class State(list):
+        def appendList(self, rows):
+            self.extend(rows)
+
+    class Handle:
+        timers = []
+
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    p = Pairing(["g"], 10)
+    p.init(Handle())
+    rows = pd.DataFrame({"ms_": [5, 3], "seq_": [1, 2], "at_": [7, 8], "on_": [True, False]})
+    assert list(p.handleInputRows((1,), iter([rows]), None)) == []
+    assert list(p.waiting) == [(5, 1, 7, True), (3, 2, 8, False)] and Handle.timers == [3]
