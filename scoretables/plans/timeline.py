@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.scan import Ordered, lag, last_value, lead, row_number, running_sum
+from ..operators.scan import Ordered, deal, lag, last_value, lead, row_number, running_sum
 from ..operators.sequence import flag, merge_ties
 from ..session import cut_lineage
 
@@ -151,8 +151,8 @@ def endings_from_passes(played: DataFrame, song: list[str]) -> DataFrame:
     `played`: song, measure, pass.  Neighbouring measures with equal passes form a segment.  Segments after one
     that split its passes among them - none twice, all covered, at least two - are its endings.
     """
-    per = played.groupBy(*song, "measure").agg(F.sort_array(F.collect_set("pass")).alias("set"))
-    o = Ordered.of(per, song, ["measure"], probe=played.select(*song)).add(__was=lag(F.struct("measure", "set")), __nx=lead("set"))
+    per = deal(played.select(*song, "measure", "pass"), song, played).groupBy(*song, "measure").agg(F.sort_array(F.collect_set("pass")).alias("set"))
+    o = Ordered.of(per, song, ["measure"], probe=played, placed=True).add(__was=lag(F.struct("measure", "set")), __nx=lead("set"))
     same = (F.col("__was.measure") == F.col("measure") - 1) & (F.col("__was.set") == F.col("set"))
     o = o.with_column("__new", 1 - flag(same)).add(seg=running_sum("__new"))
     segs = o.df.groupBy(*song, "seg").agg(F.min("measure").alias("run_from"), (F.max("measure") + 1).alias("run_end"), F.first("set").alias("set"),
