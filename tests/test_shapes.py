@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scoretables.operators import shapes
 from scoretables.operators.shapes import components, connected_frames, exact_then_fuzzy, near_links
 
 
@@ -96,3 +97,29 @@ def test_a_huge_box_among_small_ones(spark):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     assert got == {k: find(k) for k in up if any(find(k) == find(o) for o in up if o != k)}
+
+
+def test_boxes_are_shuffled_once_by_tiles(spark, monkeypatch):
+    """Chains over the borders of tiles, copies, boxes without id and with turned edges connect as they do by the cells' own joins."""
+    rnd = random.Random(11)
+    boxes = []
+    for i in range(700):
+        page, key = rnd.choice(["a", "b", None]), None if rnd.random() < 0.02 else rnd.randrange(650)
+        boxes.append((page, key, rnd.uniform(-130, 130), rnd.uniform(-130, 130), rnd.choice([0.0, 3.0, 9.0, -5.0]), rnd.choice([0.0, 0.5, 7.0])))
+    boxes += [("a", 700, 5.0, 5.0, None, 1.0), ("b", 701, 5.0, 5.0, 100.0, 1.0), ("c", 702, 0.0, 0.0, 1.0, 1.0), ("c", 703, 1e15, 0.0, 1.0, 1.0), ("c", 704, 2.0, 2.0, -400.0, 1.0)]
+    df = spark.createDataFrame(boxes, "page string, id bigint, x double, y double, w double, h double")
+    args = (df, ["page"], "id", "x", "y", "w", "h", 3.0)
+    monkeypatch.setattr(shapes, "TILE", 16)
+    monkeypatch.setattr(shapes, "BUCKET_ROWS", 100)
+    links = near_links(*args)
+    monkeypatch.setattr(shapes, "TILE_ROWS", 0)
+    slow = near_links(*args)
+    found = [[tuple(r) for r in d.collect()] for d in (links, slow)]
+    trees = [roots(705, [(a, b) for _, a, b in got]) for got in found]
+    assert trees[0] == trees[1] and len(set(trees[0].values())) < 600
+    ends = [{(page, i) for page, *ab in got for i in ab} for got in found]
+    assert ends[0] == ends[1] and {page for page, _ in ends[0]} == {"a", "b", "c"}
+
+    monkeypatch.undo()
+    plan = near_links(df.filter("abs(w) < 10 and abs(x) < 1000"), *args[1:])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
