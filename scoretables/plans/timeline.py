@@ -32,6 +32,7 @@ def played_measures(passes: DataFrame, measures: DataFrame, song: list[str]) ->
     rows = rows.withColumn("cut_from", F.when(F.col("measure") == F.col("mid"), F.coalesce("offset", F.lit(0.0))).otherwise(0.0))
     rows = rows.withColumn("cut_to", F.when(F.col("measure") == F.col("end_mid") - 1, F.col("until")))
     rows = rows.withColumn("sounds", F.least("len", F.coalesce("cut_to", "len")) - F.col("cut_from"))
+    rows = cut_lineage(rows)  # counted, then passed
     o = Ordered.of(rows, song, ["pass_ix", "measure"]).add(onset=running_sum("sounds", before=True))
     return o.done()
 
@@ -48,6 +49,7 @@ def build_timeline(passes: DataFrame, measures: DataFrame, notes: DataFrame, son
     t0 = F.col("onset") + F.col("pos") - F.col("cut_from")
     n = n.select(*song, "part", "pitch", t0.alias("t0"), (t0 + F.col("dur")).alias("t1"), "pass_ix", "measure", "note_ix", "pass",
                  F.coalesce("velocity", F.lit(float(DEFAULT_VELOCITY))).alias("velocity"), "tie_stop")
+    n = cut_lineage(n)  # counted, then passed
     return merge_ties(n, [*song, "part", "pitch"], ["t0", "pass_ix", "measure", "note_ix"], "t0", "t1", F.col("tie_stop"), "velocity", "pass")
 
 
