@@ -15,10 +15,11 @@ def flag(cond: Column) -> Column:
     return F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0)
 
 
-def carry_attr(df: DataFrame, keys, order, attrs: Column, left: Column, right: Column, default: Column, name="in_force") -> DataFrame:
+def carry_attr(df: DataFrame, keys, order, attrs: Column, left: Column, right: Column, default: Column, name="in_force", probe: DataFrame | None = None) -> DataFrame:
     """Value in force per measure: a change on the right barline acts from the next measure on; a change in the
-    measure's own attributes beats one on its left barline, which beats the one left over from before."""
-    o = Ordered.of(df, keys, order).add(__pending=lag(right))
+    measure's own attributes beats one on its left barline, which beats the one left over from before.  `probe`: as for
+    Ordered.of()."""
+    o = Ordered.of(df, keys, order, probe=probe).add(__pending=lag(right))
     o = o.with_column("__now", F.coalesce(attrs, left, F.col("__pending"))).add(**{name: last_value("__now")})
     return o.with_column(name, F.coalesce(F.col(name), default)).done().drop("__pending", "__now")
 

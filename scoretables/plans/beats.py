@@ -12,18 +12,19 @@ from ..operators.stats import null_safe_join
 EPS = 1e-6
 
 
-def beat_check(measures: DataFrame, lengths: DataFrame, song: list[str], measure: str, voice: str, length: str, absolute: bool = False, pickup: bool = True, seen: str | None = None) -> DataFrame:
+def beat_check(measures: DataFrame, lengths: DataFrame, song: list[str], measure: str, voice: str, length: str, absolute: bool = False, pickup: bool = True, seen: str | None = None, probe: DataFrame | None = None) -> DataFrame:
     """(song, measure, kind, want, got) for measures of a wrong length.
 
     `measures`: song, measure, wants (array of allowed lengths in quarters), implicit; `lengths`: song, measure,
     voice, length.  The voice whose first element comes first in the measure (`seen`: its place) is the main one, without
     places the lowest.  Pardoned: empty and implicit measures, a pickup (first and
     last fill one, or the first alone short), and neighbours that are both short and fill one together.  Kind
-    `voice`: another voice is not as long as the main one (`absolute`: longer only).
+    `voice`: another voice is not as long as the main one (`absolute`: longer only).  `probe`: as for Ordered.of(), else
+    the measures.
     """
     main = lengths.groupBy(*song, measure).agg(F.min(F.struct(F.col(seen or voice).alias("s"), F.col(voice).alias("v"), F.col(length).alias("q"))).alias("__main"))
     m = null_safe_join(measures, main, [*song, measure], "left").withColumn("__got", F.coalesce("__main.q", F.lit(0.0)))
-    o = Ordered.of(m, song, [measure], probe=measures.select(*song)).add(__r=row_number(), __n=total("sum", F.lit(1).cast("long")))
+    o = Ordered.of(m, song, [measure], probe=measures.select(*song) if probe is None else probe).add(__r=row_number(), __n=total("sum", F.lit(1).cast("long")))
     here = F.struct(F.col("__got").alias("got"), F.col("wants").alias("wants"))
     o = o.add(__first=total("max", F.when(F.col("__r") == 1, here)), __last=total("max", F.when(F.col("__r") == F.col("__n"), here)))
 
