@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -31,11 +32,15 @@ LONG = 64
 _WIDE = 8  # a leaf of the bitmap has 2**8 ranks
 _LOW = (1 << _WIDE) - 1
 _BIT = [1 << i for i in range(max(1 << _WIDE, (1 << 20) >> _WIDE))]
+_UNKNOWN = -2  # a byte that has no rank and no neighbour to join
 
 
 class RankQueue:
     """Buckets of places by rank and the bitmap over them; empty between two pre-tokens.
 
+    Buckets are numbered from the last rank down (`Codec.key_of`), so the lowest rank is the highest bit of the bitmap, which
+    an integer tells by its length.
+
     A bucket is a place, or a heap of places where several wait.  `Codec.merged` works on these parts directly: it
     pushes and pops a few times for each pre-token, and calls would cost more than the work.
     """
@@ -54,7 +59,12 @@ class Codec(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values()) + 1)
+        self.last = max(self.ranks.values())
+        self.key_of = {k: self.last - v for k, v in self.ranks.items()}
+        self.queue = RankQueue(self.last + 1)
+        single = [bytes([i]) for i in range(256)]
+        self.byte_ids = [self.ranks.get(x, _UNKNOWN) for x in single]
+        self.byte_pairs = [[self.key_of.get(x + y, -1) for y in single] for x in single]
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -62,61 +72,81 @@ class Codec(dict):
         if (whole := ranks.get(word)) is not None:
             return [whole]
         n = len(word)
-        get, buckets, leaves, bit, top = ranks.get, self.queue.buckets, self.queue.leaves, _BIT, 0
+        get, buckets, leaves, bit, low, wide, last, top = self.key_of.get, self.queue.buckets, self.queue.leaves, _BIT, _LOW, _WIDE, self.last, 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(word[i : i + 2], -1) for i in range(n - 1)] + [-1]
-        fresh = [(r, i) for i, r in enumerate(pair) if r >= 0]
-        while True:
-            for rank, i in fresh:  # push
-                waiting = buckets[rank]
+        ids = [*map(self.byte_ids.__getitem__, word)]
+        rows = self.byte_pairs
+        pair = [rows[x][y] for x, y in zip(word, word[1:], strict=False)]
+        for i, key in enumerate(pair):  # push
+            if key >= 0:
+                waiting = buckets[key]
                 if waiting is None:
-                    buckets[rank] = i
-                    leaves[rank >> _WIDE] |= bit[rank & _LOW]
-                    top |= bit[rank >> _WIDE]
+                    buckets[key] = i
+                    leaf = key >> wide
+                    leaves[leaf] |= bit[key & low]
+                    top |= bit[leaf]
                 elif waiting.__class__ is int:
-                    buckets[rank] = [waiting, i] if waiting < i else [i, waiting]
+                    buckets[key] = [waiting, i]  # places come in order
                 else:
-                    heappush(waiting, i)
-            fresh = []
-            if not top:
-                break
-            leaf = (top & -top).bit_length() - 1  # pop
+                    waiting.append(i)
+        pair.append(-1)
+        while top:
+            leaf = top.bit_length() - 1  # pop
             bits = leaves[leaf]
-            rank = leaf << _WIDE | (bits & -bits).bit_length() - 1
-            waiting = buckets[rank]
+            place = bits.bit_length() - 1
+            key = (leaf << wide) + place
+            waiting = buckets[key]
             if waiting.__class__ is int:
                 i, waiting = waiting, None
             else:
                 i = heappop(waiting)
             if not waiting:
-                buckets[rank] = None
-                leaves[leaf] = bits = bits & (bits - 1)
+                buckets[key] = None
+                leaves[leaf] = bits = bits ^ bit[place]
                 if not bits:
-                    top &= top - 1
-            if pair[i] != rank:
+                    top ^= bit[leaf]
+            if pair[i] != key:
                 continue  # stale
+            ids[i] = last - key
             j = after[i]
             k = after[i] = after[j]
-            pair[j] = pair[i] = -1
+            ids[j] = pair[j] = pair[i] = -1
+            h = before[i]
             if k < n:
                 before[k] = i
                 new = pair[i] = get(word[i : after[k]], -1)
-                if new >= 0:
-                    fresh.append((new, i))
-            h = before[i]
+                if new >= 0:  # push
+                    waiting = buckets[new]
+                    if waiting is None:
+                        buckets[new] = i
+                        leaf = new >> wide
+                        leaves[leaf] |= bit[new & low]
+                        top |= bit[leaf]
+                    elif waiting.__class__ is int:
+                        buckets[new] = [waiting, i] if waiting < i else [i, waiting]
+                    else:
+                        heappush(waiting, i)
             if h >= 0:
                 new = pair[h] = get(word[h:k], -1)
-                if new >= 0:
-                    fresh.append((new, h))
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i : after[i]]])
-            i = after[i]
-        return out
+                if new >= 0:  # push
+                    waiting = buckets[new]
+                    if waiting is None:
+                        buckets[new] = h
+                        leaf = new >> wide
+                        leaves[leaf] |= bit[new & low]
+                        top |= bit[leaf]
+                    elif waiting.__class__ is int:
+                        buckets[new] = [waiting, h] if waiting < h else [h, waiting]
+                    else:
+                        heappush(waiting, h)
+        if _UNKNOWN in ids:
+            raise KeyError(word)
+        return [x for x in ids if x >= 0]
 
     def __missing__(self, token: str) -> bytes:
         word = token.encode()
-        packed = np.array(self.merged(word), "<u4").tobytes()
+        ids = self.merged(word)
+        packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= LONG:
             if len(self) >= REMEMBERED:
                 self.clear()
